@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _winnow
-from ._common import durable
+from ._common import durable, runs
 
 #: Classes of one fingerprint from which its windows are dealt out by anchor offset, and the width of such a deal.
 SPLIT_CLASSES = 48
@@ -46,7 +46,7 @@ def _extract(reader: Reader, span: int, k: int, columns: list[str]):
         for batch in batches:
             keys = batch.column("_key").to_numpy()
             raw = byte_columns(batch, "text")
-            for lo, hi in _runs([len(x) for x in raw], 8 << 20):
+            for lo, hi in runs([len(x) for x in raw], 8 << 20):
                 units = [reader(x) for x in raw[lo:hi]]
                 lengths = np.array([len(u) for u in units], np.int64)
                 for group in _winnow.pieces(lengths, span):
@@ -62,18 +62,6 @@ def _extract(reader: Reader, span: int, k: int, columns: list[str]):
     return run
 
 
-def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges of at most ``most`` in sum, or single items."""
-    lo = held = 0
-    for i, n in enumerate(sizes):
-        if i > lo and held + n > most:
-            yield lo, i
-            lo, held = i, 0
-        held += n
-    if sizes:
-        yield lo, len(sizes)
-
-
 PART = "fp long, sub int, _key long, start int, n int, data binary"
 RANGES = "_key long, a int, b int"
 
@@ -85,7 +73,7 @@ def _cut(cutter, span: int):
         for batch in batches:
             raw, keys = byte_columns(batch, "text"), batch.column("_key").to_pylist()
             wanted = batch.column("segs")
-            for lo, hi in _runs([len(x) for x in raw], 8 << 20):
+            for lo, hi in runs([len(x) for x in raw], 8 << 20):
                 rows: list[tuple] = []
                 for i in range(lo, hi):
                     take = cutter(raw[i])
@@ -148,7 +136,8 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, *, reader: Reader, cut
     each window's first occurrence by (key, start); keep="none" covers all.
     """
     found = lambda cols, ddl: docs.mapInArrow(_extract(reader, span, k, cols), ddl)
-    recurring = found(["fp"], "fp long").groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
+    # written, so that the join below deals out both sides itself and a skewed fingerprint can be split
+    recurring = durable(spark, found(["fp"], "fp long").groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "recurring")
     instances = durable(
         spark,
         found(["_key", "start", "n", "off", "fp", "sh"], "_key long, start int, n int, off int, fp long, sh long").join(recurring, "fp"),
@@ -162,7 +151,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, *, reader: Reader, cut
         ),
         "classes",
     )
-    several = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    several = durable(spark, classes.groupBy("fp").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1"), "several")
     segs = (
         classes.join(several, "fp")
         .select(F.col("one._key").alias("_key"), F.struct(F.col("one.start").alias("start"), "n", "off", "fp", F.col("classes").cast("int").alias("classes")).alias("seg"))
