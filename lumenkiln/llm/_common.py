@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Every ASCII byte that is no letter or digit becomes a space, A-Z becomes a-z; other bytes stay.
 NORMAL = bytes(
@@ -49,3 +54,38 @@ def keyed(spark: SparkSession, df: DataFrame, id_col: str, *columns: str) -> Dat
     order = [F.col(id_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns]]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return durable(spark, ranged.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
+def annotated(docs: DataFrame, work, ddl: str, *, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """One result row per row of docs: ``id`` (or, with carry, the whole input as ``row``) and work's columns.
+
+    work takes a list of texts (UTF-8 bytes or None) of bounded total size and
+    returns one list per column of ddl.  Only id and text are read unless carry is set.
+    """
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(id_col).alias("id")
+    chosen = docs.select(kept, F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([chosen.schema[0], *T._parse_datatype_string(ddl).fields])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            for lo, hi in runs(lengths, 4 << 20):
+                part = batch.slice(lo, hi - lo)
+                found = work(part.column(1).cast(pa.binary()).to_pylist())
+                columns = [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema.names)
+
+    return chosen.mapInArrow(run, schema)
+
+
+def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges of at most ``most`` in sum, or single items."""
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if i > lo and held + n > most:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if sizes:
+        yield lo, len(sizes)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op6_byte_bpe
+from .decontaminate import op8_decontaminate
+from .language_id import op2_language_id
+from .minhash_dedup import op1_minhash_dedup
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
