@@ -136,7 +136,7 @@ def decontaminate(
     shape = T.StructType([T.StructField("id", T.LongType()), *T._parse_datatype_string(ddl).fields])
     arrow = to_arrow_schema(shape)
     done = both.mapInArrow(join_ranges, shape).withColumnRenamed("id", "_key")
-    return base.join(done, "_key").selectXX
+    return base.join(done, "_key").select("row" if carry else "id", *[f.name for f in shape.fields[1:]])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
