@@ -2,20 +2,22 @@
 
 Documents with the same shingle set are one class, found by hash before anything else, so copies
 cost no pairs.  Classes meet in banded buckets.  A bucket of n classes first gives n - 1 candidate pairs,
-all with its smallest member.  Similar documents may both be unlike that hub, so buckets
-whose members are not in one component afterwards get further hubs, taken from all components but the bucket's
-largest, until every pair across components of a bucket had one of the two as a hub.  Only such pairs
-can still change a component.  Candidates are confirmed on the full sets.
+all with its smallest member.  Similar documents may both be unlike that hub; so in buckets whose
+members are not in one component afterwards, the pairs across components are compared too, as only
+these can still change a component.  There a bitmap of each set bounds the intersection from
+above, and pairs that the bound rules out are never emitted.  Candidates are confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import durable, keyed, table
@@ -26,8 +28,10 @@ from ._winnow import mix64
 BANDS, ROWS = 24, 5
 _BINS = BANDS * ROWS
 _EDGES = np.array([(i << 64) // _BINS for i in range(_BINS)], np.uint64)
-#: Hubs a bucket gets in its second, third ... turn; from the last on, all that are left.
-HUBS = (8, 64, 1 << 40)
+#: 64-bit words of a bitmap, and codes that it holds at most; larger sets are thinned by powers of two.
+WORDS, HELD = 32, 256
+#: Standard deviations by which a thinned set's similarity may fall short before a pair is ruled out.
+SLACK = 5.5
 
 
 def shingles(raw: bytes, size: int) -> np.ndarray:
@@ -80,19 +84,60 @@ def bands(sign: np.ndarray) -> np.ndarray:
     return mix64((mix64(rows) * _BAND_MULT).sum(axis=1, dtype=np.uint64) + _BAND_SALT).view(np.int64)
 
 
+def bitmaps(codes: np.ndarray) -> tuple[int, list[tuple[int, int, np.ndarray]]]:
+    """The level of thinning, and (codes, bits short of codes, bitmap) at this level and the next."""
+    level = max(0, int(np.ceil(np.log2(max(len(codes), 1) / HELD))))
+    out = []
+    for t in (level, level + 1):
+        held = codes[: np.searchsorted(codes, np.uint64((1 << 64 - t) - 1), "right")] if t else codes
+        bits = np.zeros(WORDS * 64, bool)
+        bits[(held & np.uint64(WORDS * 64 - 1)).astype(np.int64)] = True
+        out.append((len(held), len(held) - int(bits.sum()), np.packbits(bits).view("<i8")))
+    return level, out
+
+
+def _may_be_similar(percent: int) -> Column:
+    """Whether the bitmaps (columns x0 ... and y0 ...) leave room for the similarity."""
+    common = reduce(add, [F.bit_count(F.col(f"x{i}").bitwiseAND(F.col(f"y{i}"))) for i in range(WORDS)])
+    most = common + F.least("x_short", "y_short")
+    both = F.col("x_held") + F.col("y_held")
+    least = percent / 100 - F.when(F.col("level") > 0, SLACK * F.sqrt(0.5 / F.greatest(both, F.lit(1)))).otherwise(1e-9)
+    return most >= least * (both - most)
+
+
+def _with_bitmaps(rows: DataFrame, letter: str) -> DataFrame:
+    """Each row once for its own level of thinning and once for the next, the bitmap as columns."""
+    levels = F.explode(F.array(F.struct(F.col("sketch.level").alias("level"), F.col("sketch.own").alias("map")), F.struct((F.col("sketch.level") + 1).alias("level"), F.col("sketch.next").alias("map"))))
+    rows = rows.withColumn("own_level", F.col("sketch.level")).withColumn("at", levels)
+    return rows.select(
+        *[c for c in rows.columns if c not in ("at", "sketch", "own_level")], F.col("at.level").alias("level"), (F.col("at.level") > F.col("own_level")).alias(f"{letter}_next"),
+        F.col("at.map.held").alias(f"{letter}_held"), F.col("at.map.short").alias(f"{letter}_short"), *[F.col("at.map.bits")[i].alias(f"{letter}{i}") for i in range(WORDS)],
+    )
+
+
+_MAP = "struct<held:int,short:int,bits:array<long>>"
+FEATURES = f"_key long, n_shingles long, class binary, bands array<long>, sketch struct<level:int,own:{_MAP},next:{_MAP}>"
+
+
 def _features(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = pa.struct({"held": pa.int32(), "short": pa.int32(), "bits": pa.list_(pa.int64())})
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.struct({"level": pa.int32(), "own": one, "next": one}))
         for batch in batches:
-            keys, counts, classes, found = batch.column("_key"), [], [], []
-            for raw in byte_columns(batch, "text"):
+            rows = []
+            for key, raw in zip(batch.column("_key").to_pylist(), byte_columns(batch, "text")):
                 codes = shingles(raw, size)
-                counts.append(len(codes))
-                classes.append(xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None)
-                found.append(bands(signature(codes)) if len(codes) else None)
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                ["_key", "n_shingles", "class", "bands"],
-            )
+                if not len(codes):
+                    rows.append((key, 0, None, None, None))
+                    continue
+                level, maps = bitmaps(codes)
+                own, then = ({"held": h, "short": s, "bits": b} for h, s, b in maps)
+                rows.append((key, len(codes), xxhash.xxh3_128_digest(codes.tobytes()), bands(signature(codes)), {"level": level, "own": own, "next": then}))
+                if len(rows) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["_key", "n_shingles", "class", "bands", "sketch"])
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["_key", "n_shingles", "class", "bands", "sketch"])
 
     return run
 
@@ -127,50 +172,32 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     base = keyed(spark, chosen, "id", *chosen.columns[1:])
     texts = base.select("_key", "text")
-    features = durable(spark, texts.mapInArrow(_features(shingle_words), "_key long, n_shingles long, class binary, bands array<long>"), "features")
+    features = durable(spark, texts.mapInArrow(_features(shingle_words), FEATURES), "features")
     classes = durable(spark, features.filter("n_shingles > 0").groupBy("class").agg(F.min("_key").alias("rep")), "classes")
-    firsts = features.join(classes.select(F.col("rep").alias("_key")), "_key", "left_semi")
-    members = firsts.select(F.col("_key").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
-    members = durable(spark, members, "members")
-    sizes = durable(spark, members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    firsts = features.join(classes.select(F.col("rep").alias("_key")), "_key", "left_semi").withColumnRenamed("_key", "rep").withColumnRenamed("n_shingles", "n")
+    members = durable(spark, firsts.select("rep", "n", F.explode("bands").alias("bucket")).distinct(), "members")
+    sizes = durable(spark, members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = durable(spark, members.join(sizes, "bucket"), "met")
-
-    tested = None
-    hubs_of = members.filter("rep = hub").select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    labels, turn = None, 0
-    met = members.filter("rep <> hub")
-    pairs = met.join(hubs_of, "bucket").select(F.least("rep", "b").alias("b"), F.greatest("rep", "b").alias("a"), "n", "nb")
-    while True:
-        fit = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
-        fresh = pairs.filter(fit).select("a", "b").distinct()
-        if tested is not None:
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        fresh = durable(spark, fresh, "pairs")
-        tested = fresh if tested is None else tested.union(fresh)
-        links = _confirmed(spark, fresh, texts, shingle_words, percent)
-        labels = _joined(spark, labels, links)
-        # buckets whose members are in several components, with what each member was in earlier turns
-        open_ = members.filter("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "hub", F.coalesce("label", "rep").alias("label"))
-        if turn:
-            open_ = open_.join(used, ["bucket", "rep"], "left").withColumn("was_hub", F.coalesce("was_hub", F.col("rep") == F.col("hub")))
-        else:
-            open_ = open_.withColumn("was_hub", F.col("rep") == F.col("hub"))
-        open_ = durable(spark, open_, "open")
-        by_label = open_.groupBy("bucket", "label").agg(F.count_if(~F.col("was_hub")).alias("left")).filter("left > 0")
-        several = by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("left", "label")).alias("most")).filter("k > 1")
-        several = durable(spark, several.select("bucket", F.col("most.label").alias("largest")), "several")
-        if not several.take(1):
-            break
-        open_ = durable(spark, open_.join(several, "bucket"), "open")
-        order = Window.partitionBy("bucket").orderBy("rep")
-        candidates = open_.filter("not was_hub and label <> largest")
-        if HUBS[min(turn, len(HUBS) - 1)] < 1 << 40:
-            candidates = candidates.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= HUBS[turn])
-        new_hubs = durable(spark, candidates.select("bucket", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb")), "hubs")
-        more = new_hubs.select("bucket", F.col("h").alias("rep"), F.lit(True).alias("was_hub"))
-        used = more if not turn else used.unionByName(more)
-        pairs = open_.join(new_hubs, "bucket").filter("label <> lb").select(F.least("rep", "h").alias("b"), F.greatest("rep", "h").alias("a"), "n", "nb")
-        turn += 1
+    length = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
+
+    stars = members.filter("rep <> hub.rep").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), "n", F.col("hub.n").alias("nb"))
+    stars = durable(spark, stars.filter(length).select("a", "b").distinct(), "pairs")
+    labels = components(spark, _confirmed(spark, stars, texts, shingle_words, percent))
+
+    # buckets whose members are in several components
+    open_ = members.filter("size > 2").select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    open_ = durable(spark, open_, "labelled")
+    by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    several = by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
+    open_ = open_.join(durable(spark, several.select("bucket", F.col("most.label").alias("largest")), "several"), "bucket")
+    open_ = durable(spark, open_.join(firsts.select("rep", "n", "sketch"), "rep"), "open")
+    others = open_.filter("label <> largest").select("bucket", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb"), "sketch")
+    # each pair across components once: the one outside the bucket's largest component, or the larger of two such
+    across = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("rep") < F.col("h"))) & length & ~(F.col("x_next") & F.col("y_next"))
+    x, y = _with_bitmaps(open_, "x"), _with_bitmaps(others, "y").withColumnsRenamed({"bucket": "yb", "level": "yl"})
+    met = x.join(y, (F.col("bucket") == F.col("yb")) & (F.col("level") == F.col("yl")) & across & _may_be_similar(percent))
+    pairs = met.select(F.greatest("rep", "h").alias("a"), F.least("rep", "h").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    labels = _joined(spark, labels, _confirmed(spark, durable(spark, pairs, "pairs"), texts, shingle_words, percent))
 
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component"))
     out = features.select("_key", "n_shingles", "class").join(durable(spark, classes, "components"), "class", "left")
@@ -194,10 +221,8 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: in
     return durable(spark, rows.select("a", "b", "member_text", "hub_text").mapInArrow(_confirm(size, percent), "a long, b long"), "confirmed")
 
 
-def _joined(spark: SparkSession, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: components of the links between labels so far, applied to their nodes."""
-    if labels is None:
-        return components(spark, links)
     if not links.take(1):
         return labels
     old = labels.withColumnRenamed("node", "a").withColumnRenamed("label", "la")
