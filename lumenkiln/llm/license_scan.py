@@ -43,18 +43,27 @@ MAX_TEMPLATE_TOKENS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Words before A-Z are lowered; lowering changes no word's extent.
-_WORD = f"[^{_SEP}]+"
+#: The most frequent range stands first: a negated class takes fifteen times as long.
+_CLASS = r"[a-z\x80-\x{10FFFF}A-Z0-9]"
+_WORD = f"{_CLASS}+"
 
 
 def _phrase(words: str) -> str:
     """Places where the words stand consecutively; (?i) folds A-Z only."""
-    return f"(?i)(?<![^{_SEP}])" + f"[{_SEP}]+".join(words.split()) + f"(?![^{_SEP}])"
+    return f"(?i)(?<!{_CLASS})" + f"[{_SEP}]+".join(words.split()) + f"(?!{_CLASS})"
 
 
 def _word_count(text: Column | str) -> Column:
     return F.regexp_count(text, F.lit(_WORD)).cast("long")
 
 
+def _places(text: str, words: str) -> Column:
+    """How many places hold the phrase; the pattern only runs on texts that hold all its words as strings."""
+    low = F.lower(text)  # folds at least A-Z
+    held = reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in sorted(words.split(), key=len, reverse=True)])
+    return F.when(held, F.regexp_count(text, F.lit(_phrase(words)))).otherwise(0).cast("long")
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
 
@@ -87,7 +96,7 @@ def _template_hits(spark: SparkSession, texts: DataFrame, templates: list[tuple[
     blocks = texts.select("_key", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
     if len(rare) <= 500:
         # only blocks with a token of some prefix go on; the alternation is cheaper than splitting every line
-        blocks = blocks.filter(F.col("line").rlike(f"(?i)(?<![^{_SEP}])(?:{'|'.join(map(re.escape, rare))})(?![^{_SEP}])"))
+        blocks = blocks.filter(F.col("line").rlike(f"(?i)(?<!{_CLASS})(?:{'|'.join(map(re.escape, rare))})(?!{_CLASS})"))
     held = blocks.select("_key", "block", F.explode(F.array_distinct(_words(F.col("line")))).alias("token")).join(F.broadcast(by_token), "token")
     held = held.groupBy("_key", "block").agg(F.array_sort(F.collect_list("r")).alias("own"))
     probes = held.select("_key", "block", "own", F.posexplode("own").alias("j", "r")).join(F.broadcast(prefix), "r")
@@ -115,7 +124,7 @@ def license_scan(
     own_id = F.col("id" if "id" in base.columns else "_key")
     counted = base.select(
         "_key", own_id.alias("id"), "text", _word_count("text").alias("n_words"),
-        *[F.regexp_count("text", F.lit(_phrase(p))).cast("long").alias(f"n{i}") for i, p in enumerate(phrases)],
+        *[_places("text", p).alias(f"n{i}") for i, p in enumerate(phrases)],
     )
     any_phrase = "|".join(f"(?:{_phrase(p)})" for p in phrases)
     n_base = reduce(add, [F.col(f"n{i}") for i in range(len(phrases))])
