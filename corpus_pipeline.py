@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenkiln.llm._common import durable, table
+from lumenkiln.llm._common import durable, restored, table
 from lumenkiln.llm.byte_bpe import encode_decode
 from lumenkiln.llm.decontaminate import decontaminate
 from lumenkiln.llm.language_id import UNKNOWN, held_out, predict, train
@@ -26,12 +26,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops texts whose language can't be told: null, without a letter, or with no language of MIN_SCORE."""
     model = train(spark, docs, allowed=~held_out("doc_id"))
     found = predict(spark, docs, model, carry=True)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*restored(docs, "text"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates (five words, similarity 0.8)."""
-    return minhash_dedup(spark, docs, shingle_words=5, percent=80, carry=True).filter("kept").select("row.*")
+    return minhash_dedup(spark, docs, shingle_words=5, percent=80, carry=True).filter("kept").select(*restored(docs, "text"))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +40,15 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A text of which nothing is left goes.  n_chars follows the text.
     """
     cut = substring_dedup(spark, docs, min_words=20, carry=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
-    columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
-    return cut.filter("n_removed = 0 or n_removed < n_words").select(*columns)
+    cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("original")))
+    out = cut.filter("n_removed = 0 or n_removed < n_words").select(*restored(docs, "text"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
     found = decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), window=10, carry=True)
-    return found.filter("n_hit = 0").select("row.*")
+    return found.filter("n_hit = 0").select(*restored(docs, "text"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -56,16 +56,28 @@ def keyed(spark: SparkSession, df: DataFrame, id_col: str, *columns: str) -> Dat
     return durable(spark, ranged.withColumn("_key", F.monotonically_increasing_id()), "keyed")
 
 
+def others(docs: DataFrame, text_col: str) -> Column:
+    """The columns of docs but the text, as a struct ``row`` (with a placeholder where there are none)."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return F.struct(*(rest or [F.lit(0).alias("none")])).alias("row")
+
+
+def restored(docs: DataFrame, text_col: str, text: Column | str = "text") -> list[Column]:
+    """The columns of docs again, from ``row`` and the text given."""
+    return [(F.col(text) if isinstance(text, str) else text).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+
+
 def annotated(docs: DataFrame, work, ddl: str, *, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """One result row per row of docs: ``id`` (or, with carry, the whole input as ``row``) and work's columns.
+    """One result row per row of docs: ``id`` (or, with carry, the input's other columns as ``row`` and ``text``) and work's columns.
 
     work takes a list of texts (UTF-8 bytes or None) of bounded total size and
     returns one list per column of ddl.  Only id and text are read unless carry is set.
     """
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(id_col).alias("id")
+    kept = others(docs, text_col) if carry else F.col(id_col).alias("id")
     chosen = docs.select(kept, F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([chosen.schema[0], *T._parse_datatype_string(ddl).fields])
-    kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
+    fixed = 1 + carry
+    schema = T.StructType([*chosen.schema.fields[:fixed], *T._parse_datatype_string(ddl).fields])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields[fixed:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +86,7 @@ def annotated(docs: DataFrame, work, ddl: str, *, id_col: str, text_col: str, ca
                 part = batch.slice(lo, hi - lo)
                 found = work(part.column(1).cast(pa.binary()).to_pylist())
                 columns = [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:fixed], *columns], schema.names)
 
     return chosen.mapInArrow(run, schema)
 

@@ -255,7 +255,7 @@ def _encoder(rank_path: str, pattern: str) -> Encoder:
 def encode_decode(docs: DataFrame, *, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, portion: int = 1 << 16, carry: bool = False) -> DataFrame:
     """Ids of every whole text and the text decoded from them in a stream.
 
-    Returns id (or the input as ``row``), n_tokens, ids (array, with keep_ids),
+    Returns id (with carry the input as ``row`` and ``text``), n_tokens, ids (array, with keep_ids),
     ids_sha256 (of little-endian uint32) and decoded_sha256 (of the decoded UTF-8 bytes).
     Null and empty texts have no tokens; equal texts get equal results; an empty table gives no rows.
     """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import NORMAL, annotated, keyed, table
+from ._common import NORMAL, annotated, keyed, others, table
 
 #: Item words in one automaton (about 400 bytes each); larger benchmarks take several scans.
 MAX_ITEM_WORDS = 400_000
@@ -95,7 +95,7 @@ def decontaminate(
 ) -> DataFrame:
     """Where texts hold ``window`` consecutive words of a benchmark item, or a whole shorter item.
 
-    Words are runs of non-ASCII characters, letters and digits, A-Z lowered.  Returns id (or the input as ``row``),
+    Words are runs of non-ASCII characters, letters and digits, A-Z lowered.  Returns id (with carry the input as ``row`` and ``text``),
     n_words, n_hit (words inside any occurrence), items (ids as strings, sorted as strings) and
     spans (byte ranges of the original text).  A null text has no words; null or wordless items
     have no windows; a null item id counts as the empty string; repeated rows get equal results, empty tables no rows;
@@ -105,7 +105,7 @@ def decontaminate(
     ranges = "array<struct<a:int,b:int>>"
     ddl = f"n_words long, n_hit long, items array<string>, spans {ranges}, hits {ranges}"
     chosen = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    words = chosen.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
+    words = chosen.agg(F.sum(F.regexp_count("text", F.lit("[a-z\\x80-\\x{10FFFF}A-Z0-9]+")))).first()[0] or 0
     shards = max(1, -(-words // max_item_words))
 
     def scan(over: DataFrame, key: str, text: str, shard: int, keep: bool) -> DataFrame:
@@ -115,10 +115,10 @@ def decontaminate(
 
     if shards == 1:
         return scan(docs, id_col, text_col, 0, carry)
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(id_col).alias("id")
-    base = docs.select(kept, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    base = keyed(spark, base, "_id", "_text", base.columns[0])
-    each = [scan(base, "_key", "_text", i, False) for i in range(shards)]
+    kept = others(docs, text_col) if carry else F.col(id_col).alias("id")
+    base = docs.select(kept, F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    base = keyed(spark, base, "_id", "text", base.columns[0])
+    each = [scan(base, "_key", "text", i, False) for i in range(shards)]
     both = reduce(DataFrame.unionByName, each).groupBy("id").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         *[F.array_sort(F.flatten(F.collect_list(c)), lambda x, y: x["b"] - y["b"]).alias(c) for c in ("spans", "hits")],
@@ -136,7 +136,7 @@ def decontaminate(
     shape = T.StructType([T.StructField("id", T.LongType()), *T._parse_datatype_string(ddl).fields])
     arrow = to_arrow_schema(shape)
     done = both.mapInArrow(join_ranges, shape).withColumnRenamed("id", "_key")
-    return base.join(done, "_key").select("row" if carry else "id", *[f.name for f in shape.fields[1:]])
+    return base.join(done, "_key").select(*(["row", "text"] if carry else ["id"]), *[f.name for f in shape.fields[1:]])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ def train(spark: SparkSession, docs: DataFrame, *, allowed: Column, id_col: str
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """Language and its posterior (0 to 1) for every whole text: id (or the input as ``row``), lang_pred, score.
+    """Language and its posterior (0 to 1) for every whole text: id (with carry the input as ``row`` and ``text``), lang_pred, score.
 
     Texts that are null or without a letter, and all texts under a model without languages, get ``und`` and 0.
     Equal texts get equal results; an empty table gives no rows; ties go to the language first by name.

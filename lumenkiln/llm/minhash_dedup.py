@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import durable, keyed, table
+from ._common import durable, keyed, others, table
 from ._components import components
 from ._repeats import byte_columns
 from ._winnow import mix64
@@ -164,12 +164,12 @@ def _confirm(size: int, percent: int):
 def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Groups of documents with 100 * intersection >= percent * union of their shingle sets.
 
-    Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lowered.  Returns id (or the input as
-    ``row``), n_shingles, component_id (smallest id of the group) and kept (whether this row is the
+    Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lowered.  Returns id (with carry the input as
+    ``row`` and ``text``), n_shingles, component_id (smallest id of the group) and kept (whether this row is the
     group's first).  Null, empty and wordless texts have no shingles and stay alone.  Rows with null or repeated ids are documents
     of their own; of equal ids in a group the first by text is kept.  An empty table gives no rows.
     """
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([others(docs, text_col)] if carry else []))
     base = keyed(spark, chosen, "id", *chosen.columns[1:])
     texts = base.select("_key", "text")
     features = durable(spark, texts.mapInArrow(_features(shingle_words), FEATURES), "features")
@@ -191,10 +191,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     several = by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
     open_ = open_.join(durable(spark, several.select("bucket", F.col("most.label").alias("largest")), "several"), "bucket")
     open_ = durable(spark, open_.join(firsts.select("rep", "n", "sketch"), "rep"), "open")
-    others = open_.filter("label <> largest").select("bucket", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb"), "sketch")
+    outside = open_.filter("label <> largest").select("bucket", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb"), "sketch")
     # each pair across components once: the one outside the bucket's largest component, or the larger of two such
     across = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("rep") < F.col("h"))) & length & ~(F.col("x_next") & F.col("y_next"))
-    x, y = _with_bitmaps(open_, "x"), _with_bitmaps(others, "y").withColumnsRenamed({"bucket": "yb", "level": "yl"})
+    x, y = _with_bitmaps(open_, "x"), _with_bitmaps(outside, "y").withColumnsRenamed({"bucket": "yb", "level": "yl"})
     met = x.join(y, (F.col("bucket") == F.col("yb")) & (F.col("level") == F.col("yl")) & across & _may_be_similar(percent))
     pairs = met.select(F.greatest("rep", "h").alias("a"), F.least("rep", "h").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     labels = _joined(spark, labels, _confirmed(spark, durable(spark, pairs, "pairs"), texts, shingle_words, percent))
@@ -204,12 +204,12 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     out = out.select("_key", "n_shingles", F.coalesce("component", "_key").alias("component"))
     own = "id" in base.columns
     if carry or own:
-        out = out.join(base.select("_key", *(["row"] if carry else []), *(["id"] if own else [])), "_key")
+        out = out.join(base.select("_key", *(["row", "text"] if carry else []), *(["id"] if own else [])), "_key")
     if own:
         out = out.join(base.select(F.col("_key").alias("component"), F.col("id").alias("component_id")), "component")
     else:
         out = out.withColumns({"id": F.col("_key"), "component_id": F.col("component")})
-    return out.select("row" if carry else "id", "n_shingles", "component_id", (F.col("_key") == F.col("component")).alias("kept"))
+    return out.select(*(["row", "text"] if carry else ["id"]), "n_shingles", "component_id", (F.col("_key") == F.col("component")).alias("kept"))
 
 
 def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:

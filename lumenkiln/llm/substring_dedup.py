@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import keyed, table
+from ._common import keyed, others, table
 from ._repeats import byte_columns, merged, repeated_ranges
 
 
@@ -98,20 +98,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, *, min_words: int = 20
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged.  Earlier
     is a smaller id, or an earlier start in the same text; keep="none"
-    removes first copies as well.  Returns id (or the input as ``row``), n_words, n_removed,
+    removes first copies as well.  Returns id (with carry the input as ``row`` and ``original``), n_words, n_removed,
     kept (the words left, joined by one space).  Null, empty and short texts keep all they have; null or repeated ids
     are documents of their own, nulls first; an empty table gives no rows; other columns are ignored.
     """
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    row = [others(docs, text_col)] if carry else []
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row)
     base = keyed(spark, chosen, "id", *chosen.columns[1:])
     ranges = repeated_ranges(
         spark, base.select("_key", "text"), reader=_reader, cutter=_cutter,
         resolve=_resolver(min_words, keep), span=min_words, k=max(1, min_words // 3), keep=keep,
     )
-    own = F.col("row") if carry else F.col("id" if "id" in base.columns else "_key").alias("id")
-    chosen = base.join(ranges, "_key", "left").select(own, "text", "ranges")
-    shape = T.StructType([chosen.schema[0], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    own = [F.col("row"), F.col("text").alias("original")] if carry else [F.col("id" if "id" in base.columns else "_key").alias("id")]
+    chosen = base.join(ranges, "_key", "left").select(*own, "text", "ranges")
+    shape = T.StructType([*chosen.schema.fields[: len(own)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return chosen.mapInArrow(_assemble, shape)
 
 
