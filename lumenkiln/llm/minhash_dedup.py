@@ -28,6 +28,8 @@ from ._winnow import mix64
 BANDS, ROWS = 24, 5
 _BINS = BANDS * ROWS
 _EDGES = np.array([(i << 64) // _BINS for i in range(_BINS)], np.uint64)
+#: Pairs confirmed in one deal, about, and document keys (8 bytes each) that may be broadcast.
+BLOCK_PAIRS, MAX_BROADCAST_KEYS = 5000, 1_000_000
 #: 64-bit words of a bitmap, and codes that it holds at most; larger sets are thinned by powers of two.
 WORDS, HELD = 32, 256
 #: Standard deviations by which a thinned set's similarity may fall short before a pair is ruled out.
@@ -101,7 +103,7 @@ def _may_be_similar(percent: int) -> Column:
     common = reduce(add, [F.bit_count(F.col(f"x{i}").bitwiseAND(F.col(f"y{i}"))) for i in range(WORDS)])
     most = common + F.least("x_short", "y_short")
     both = F.col("x_held") + F.col("y_held")
-    least = percent / 100 - F.when(F.col("level") > 0, SLACK * F.sqrt(0.5 / F.greatest(both, F.lit(1)))).otherwise(1e-9)
+    least = percent / 100 - F.when(F.col("level") > 0, SLACK * F.sqrt(0.25 / F.greatest(both, F.lit(1)))).otherwise(1e-9)
     return most >= least * (both - most)
 
 
@@ -143,20 +145,31 @@ def _features(size: int):
 
 
 def _confirm(size: int, percent: int):
+    """Rows of a group: the texts of its documents first (b null), then its pairs; yields the pairs that hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_codes = None, None
+        group, texts, sets = None, {}, {}
+
+        def codes(key: int) -> np.ndarray:
+            found = sets.get(key)
+            if found is None:
+                found = sets[key] = shingles(texts.pop(key), size)
+            return found
+
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            members, hubs = byte_columns(batch, "member_text"), byte_columns(batch, "hub_text")
-            keep = []
-            for at, key in zip(members, b.to_pylist()):
-                if key != hub:
-                    hub, hub_codes = key, shingles(hubs[len(keep)], size)
-                codes = shingles(at, size)
-                both = len(np.intersect1d(codes, hub_codes, assume_unique=True))
-                keep.append(100 * both >= percent * (len(codes) + len(hub_codes) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            names = ("group", "i", "j", "a", "b")
+            links = []
+            for *at, a, b, text in zip(*(batch.column(c).to_pylist() for c in names), byte_columns(batch, "text")):
+                if at != group:
+                    group, texts, sets = at, {}, {}
+                if b is None:
+                    texts[a] = text
+                    continue
+                x, y = codes(a), codes(b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -180,9 +193,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     members = durable(spark, members.join(sizes, "bucket"), "met")
     length = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
 
+    held = _texts_of(spark, texts, durable(spark, members.select(F.col("rep").alias("_key")).distinct(), "keys"))
     stars = members.filter("rep <> hub.rep").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), "n", F.col("hub.n").alias("nb"))
-    stars = durable(spark, stars.filter(length).select("a", "b").distinct(), "pairs")
-    labels = components(spark, _confirmed(spark, stars, texts, shingle_words, percent))
+    stars = durable(spark, stars.filter(length).select(F.col("b").alias("group"), "a", "b").distinct(), "pairs")
+    labels = components(spark, _confirmed(spark, stars, held, shingle_words, percent))
 
     # buckets whose members are in several components
     open_ = members.filter("size > 2").select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -196,8 +210,8 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     across = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("rep") < F.col("h"))) & length & ~(F.col("x_next") & F.col("y_next"))
     x, y = _with_bitmaps(open_, "x"), _with_bitmaps(outside, "y").withColumnsRenamed({"bucket": "yb", "level": "yl"})
     met = x.join(y, (F.col("bucket") == F.col("yb")) & (F.col("level") == F.col("yl")) & across & _may_be_similar(percent))
-    pairs = met.select(F.greatest("rep", "h").alias("a"), F.least("rep", "h").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    labels = _joined(spark, labels, _confirmed(spark, durable(spark, pairs, "pairs"), texts, shingle_words, percent))
+    pairs = met.groupBy(F.greatest("rep", "h").alias("a"), F.least("rep", "h").alias("b")).agg(F.min("largest").alias("group")).join(stars.drop("group"), ["a", "b"], "left_anti")
+    labels = _joined(spark, labels, _confirmed(spark, durable(spark, pairs.select("group", "a", "b"), "pairs"), held, shingle_words, percent))
 
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component"))
     out = features.select("_key", "n_shingles", "class").join(durable(spark, classes, "components"), "class", "left")
@@ -212,13 +226,26 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     return out.select(*(["row", "text"] if carry else ["id"]), "n_shingles", "component_id", (F.col("_key") == F.col("component")).alias("kept"))
 
 
-def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that hold on full sets.  The needed texts are written once; pairs pick up the member's text, then the hub's."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    held = durable(spark, texts.join(needed, "_key", "left_semi"), "texts")
-    rows = pairs.join(held.select(F.col("_key").alias("a"), F.col("text").alias("member_text")), "a")
-    rows = rows.join(held.select(F.col("_key").alias("b"), F.col("text").alias("hub_text")), "b")
-    return durable(spark, rows.select("a", "b", "member_text", "hub_text").mapInArrow(_confirm(size, percent), "a long, b long"), "confirmed")
+def _confirmed(spark: SparkSession, pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (group, a, b) that hold on full sets.
+
+    A group's pairs are dealt out by blocks of a and blocks of b, about BLOCK_PAIRS to a deal, so a
+    text travels once for each deal that needs it and not for each pair.
+    """
+    sizes = pairs.groupBy("group").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / BLOCK_PAIRS)).alias("blocks"))
+    dealt = pairs.join(sizes, "group").select("group", F.pmod(F.xxhash64("a"), "blocks").alias("i"), F.pmod(F.xxhash64("b"), "blocks").alias("j"), "a", "b")
+    dealt = durable(spark, dealt, "dealt")
+    needs = dealt.select("group", "i", "j", F.explode(F.array("a", "b")).alias("_key")).distinct()
+    rows = needs.join(held, "_key").select("group", "i", "j", F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = rows.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
+    rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", F.col("b").asc_nulls_first())
+    return durable(spark, rows.mapInArrow(_confirm(size, percent), "a long, b long"), "confirmed")
+
+
+def _texts_of(spark: SparkSession, texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts of some documents, written once; the keys are broadcast if they are few enough, else both sides are dealt out."""
+    few = keys.count() <= MAX_BROADCAST_KEYS
+    return durable(spark, texts.join(F.broadcast(keys) if few else keys, "_key", "left_semi"), "texts")
 
 
 def _joined(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
