@@ -9,7 +9,7 @@ every earlier boundary from which a token can still be growing, the trie node
 reached and the tokens up to that boundary.  What all hypotheses agree on is
 emitted and leaves the state.  A token's length bounds how many hypotheses
 are open, and so the lookahead.  States and transitions are built when first
-met and shared by all later pieces.
+met, up to a fixed number, and shared by all later pieces.
 
 Decoding.  `Utf8Decoder` takes ids in any portions and returns text as soon as
 code points are complete.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 
 from ._common import annotated, table
 
-#: Entries kept of the piece memo and of the transducer before either starts anew.
-MEMO_PIECES = 400_000
-MEMO_TRANSITIONS = 1_500_000
+#: Entries kept of the memos of pieces and of pairs before either starts anew.
+MEMO_PIECES = 250_000
+MEMO_PAIRS = 400_000
+#: Transitions that are determinised; past these, a piece that needs another is run over its hypotheses directly.
+MAX_TRANSITIONS = 60_000
 _ROOT = 0
 #: The open hypotheses right after a token that nothing can grow over.
 _FRESH = ((_ROOT, ()),)
@@ -58,13 +61,9 @@ class Transducer:
                     self._token_at.append(-1)
             self._token_at[node] = rank
         self._inner = {step >> 8 for step in self._children}
-        self._settled: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._settled: dict[int, bool] = {}
         self._spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self._irregular: set[int] = set()
-        self._start_anew()
-
-    def _start_anew(self) -> None:
         self._states: list[tuple] = []
         self._ids: dict[tuple, int] = {}
         self._steps: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -105,11 +104,13 @@ class Transducer:
         return found
 
     def _is_settled(self, a: int, b: int) -> bool:
-        found = self._settled.get((a, b))
+        """Whether b may follow a; a is -1 at a piece's start."""
+        found = self._settled.get(a << 20 | b)
         if found is None:
-            if len(self._settled) > MEMO_TRANSITIONS:
+            if len(self._settled) > MEMO_PAIRS:
                 self._settled.clear()
-            found = self._settled[a, b] = self._stay_apart(a, b)
+            # a token that merging can't make stands in no encoding
+            found = self._settled[a << 20 | b] = self.merge(self.bytes_of[b]) == [b] if a < 0 else self._is_settled(-1, b) and self._stay_apart(a, b)
         return found
 
     def _stay_apart(self, a: int, b: int) -> bool:
@@ -131,13 +132,6 @@ class Transducer:
             else:
                 j += 1
 
-    def _is_whole(self, token: int) -> bool:
-        """Whether merging can make the token at all."""
-        found = self._whole.get(token)
-        if found is None:
-            found = self._whole[token] = self.merge(self.bytes_of[token]) == [token]
-        return found
-
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, open_ = self._states[state]
         children, grown, done = self._children, [], None
@@ -147,10 +141,8 @@ class Transducer:
                 continue
             if done is None:
                 token = self._token_at[node]
-                if token >= 0 and self._is_whole(token):
-                    before = chain[-1] if chain else last
-                    if before < 0 or self._is_settled(before, token):
-                        done = (*chain, token)
+                if token >= 0 and self._is_settled(chain[-1] if chain else last, token):
+                    done = (*chain, token)
             if node in self._inner:  # else no longer token can come of it
                 grown.append((node, chain))
         if done is None:
@@ -168,17 +160,63 @@ class Transducer:
             grown = [(n, c[common:]) for n, c in grown]
         return self._id((last, tuple(grown))), emitted
 
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """The encodings of sorted pieces; the states along a piece's bytes serve the next piece's common prefix.
+
+        A state here is the open hypotheses, (trie node, token before the boundary) each; what the last byte of every prefix ends
+        is noted beside it, and a piece's tokens are read off backwards.
+        """
+        get, token_at, settled, inner = self._children.get, self._token_at, self._settled, self._inner
+        open_: list[list[tuple[int, int]]] = [[(_ROOT, -1 << 20)]]
+        last = [-1]
+        before = b""
+        for piece in pieces:
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                yield [whole]
+                continue
+            n = same = 0
+            most = min(len(piece), len(before), len(last) - 1)
+            while same < most and piece[same] == before[same]:
+                same += 1
+            del open_[same + 1 :], last[same + 1 :]
+            before, n = piece, len(piece)
+            for byte in piece[same:]:
+                grown, done = [], -1
+                for step, previous in open_[-1]:
+                    node = get(step | byte)
+                    if node is None:
+                        continue
+                    if done < 0:
+                        token = token_at[node]
+                        if token >= 0:
+                            fits = settled.get(previous | token)
+                            if fits is None:
+                                fits = self._is_settled(previous >> 20, token)
+                            if fits:
+                                done = token
+                    if node in inner:
+                        grown.append((node << 8, previous))
+                grown.append((_ROOT, done << 20))
+                open_.append(grown)
+                last.append(done)
+            out = []
+            while n:
+                out.append(last[n])
+                n -= len(self.bytes_of[last[n]])
+            yield out[::-1]
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._steps) > MEMO_TRANSITIONS:
-            self._start_anew()
         state, out, steps = 0, [], self._steps
         for byte in piece:
             at = state << 8 | byte
             found = steps.get(at)
             if found is None:
+                if len(steps) >= MAX_TRANSITIONS:
+                    return next(self.encode_sorted([piece]))
                 found = steps[at] = self._step(state, byte)
             state, emitted = found
             if emitted:
@@ -194,20 +232,25 @@ class Encoder:
         self.transducer = Transducer(ranks)
         self._split = regex.compile(pattern).findall
         self._memo: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        memo, pieces = self._memo, self._split(text)
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        encode, pack = self.transducer.encode_piece, struct.pack
-        for piece in pieces:
-            if piece not in memo:
-                memo[piece] = pack(f"<{len(ids := encode(piece.encode()))}I", *ids)
-        return b"".join([memo[p] for p in pieces])
+        self._older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._split(t) for t in texts]
+        memo, older = self._memo, self._older
+        new = []
+        for piece in {p for pieces in split for p in pieces if p not in memo}:
+            if piece in older:
+                memo[piece] = older[piece]
+            else:
+                new.append(piece)
+        new.sort()  # code points sort as their UTF-8 bytes do
+        pack = struct.pack
+        for piece, ids in zip(new, self.transducer.encode_sorted([p.encode() for p in new])):
+            memo[piece] = pack(f"<{len(ids)}I", *ids)
+        out = [b"".join([memo[p] for p in pieces]) for pieces in split]
+        if len(memo) > MEMO_PIECES:  # pieces not met since the last turn over go
+            self._memo, self._older = {}, memo
+        return out
 
 
 #: Of a lead byte, how many bytes its code point has.
@@ -263,8 +306,7 @@ def encode_decode(docs: DataFrame, *, rank_path: str, pattern: str, id_col: str
     def work(texts: list[bytes | None]):
         encoder = _encoder(rank_path, pattern)
         counts, ids, id_hashes, hashes = [], [], [], []
-        for raw in texts:
-            packed = encoder.encode((raw or b"").decode("utf-8", "replace"))
+        for packed in encoder.encode([(raw or b"").decode("utf-8", "replace") for raw in texts]):
             tokens = np.frombuffer(packed, "<u4")
             decoder, digest = Utf8Decoder(encoder.transducer.bytes_of), hashlib.sha256()
             for at in range(0, len(tokens), portion):
