@@ -171,10 +171,11 @@ def hits(c: Catalog, q: MediaQuery) -> DataFrame:
         F.min_by(F.struct("sequence_number", "start_ms", "segment_text"), "sequence_number").alias("segment"),
     )
     rows = rows.join(described, keys, "left").join(spoken, keys, "left").join(first, "transcript_id", "left")
-    rows = rows.join(c.locations.select(*keys, *LOCATION_FIELDS), keys, "left")
+    rows = rows.join(c.locations.select(*keys, *[F.col(f).alias(f"place_{f}") for f in LOCATION_FIELDS]), keys, "left")
     holds = lambda column: X.contains(F.col(column), q.text)
-    in_place = reduce(or_, [holds(f) for f in LOCATION_FIELDS])
-    place = F.coalesce(*[F.when(holds(f), F.col(f)) for f in LOCATION_FIELDS], F.col("street_address"))
+    places = [f"place_{f}" for f in LOCATION_FIELDS]
+    in_place = reduce(or_, [holds(f) for f in places])
+    place = F.coalesce(*[F.when(holds(f), F.col(f)) for f in places], F.col(places[0]))
     heard = holds("transcript_text")
     cases = [
         ("FileName", holds("display_file_name"), F.col("display_file_name")),
