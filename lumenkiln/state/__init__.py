@@ -1,0 +1 @@
+"""Stateful processing in batch form: idempotency, leases, quotas, circuits, uploads, imports."""
