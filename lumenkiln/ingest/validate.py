@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import coordinate_revision
 from ..functions.times import consistent
 
-UINT32, UINT64 = (1 << 32) - 1, (1 << 64) - 1
+# Whole numbers of 64 bits are stored as long, so its greatest value bounds them.
+UINT32, UINT64 = (1 << 32) - 1, (1 << 63) - 1
 # What may stand in the closed fields.
 PROVENANCE_SOURCES = ["Exif", "Device", "FileMtime", "Google", "Manual", "AI", "Legacy", "Unknown"]
 MEDIA_TYPES = ["Photo", "Video"]

@@ -13,7 +13,7 @@ from ..functions.text import PHOTO_EXTENSIONS, VIDEO_EXTENSIONS, media_type
 
 
 def list_files(spark: SparkSession, root: str, *, pattern: str | None = None) -> DataFrame:
-    """path, size and modification time of all files below root; contents are not read."""
+    """path, size and modification time of all files below root; contents are not read.  The reader passes over empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
