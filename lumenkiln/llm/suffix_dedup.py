@@ -37,8 +37,7 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     while have * 2 <= min(depth, 8):
         rank = (rank[:-have] << np.uint64(8 * have)) | rank[have:]
         have *= 2
-    if have < depth:
-        rank = _dense(rank)
+    rank = _dense(rank)
     while have < depth:
         step = min(have, depth - have)
         rank = _dense((rank[:-step] << np.uint64(32)) | rank[step:])
