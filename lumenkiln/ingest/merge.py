@@ -98,14 +98,12 @@ def merge(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, locations:
         raise RelinkError("BulkRelinkUnsupported")
     rows = reject_size_conflicts(rows, assets)
     rows = rows.withColumn("asset_id", F.coalesce("old_asset_id", F.when(F.col("validation_state") == "Valid", public_id("asset", F.lit(user_id), F.col("content_sha256")))))
+    rows = classify(rows, occurrences)
     valid = rows.filter("validation_state = 'Valid'")
 
-    new_assets, merged_assets, asset_changes = merge_assets(valid, assets, user_id, as_of)
-    classified = classify(valid, occurrences)
-    merged_occurrences, occurrence_changes = merge_occurrences(classified, occurrences, user_id, source_id, as_of)
+    _, merged_assets, asset_changes = merge_assets(valid, assets, user_id, as_of)
+    merged_occurrences, occurrence_changes = merge_occurrences(valid, occurrences, user_id, source_id, as_of)
     merged_locations = merge_locations(valid, locations, user_id)
-    outcome = classified.select("row_number", "outcome", "occurrence_id")
-    rows = rows.join(outcome, "row_number", "left").withColumn("outcome", F.coalesce("outcome", F.lit("Rejected")))
     change = lambda frame, kind: frame.select(F.lit(user_id).cast("long").alias("user_id"), F.lit(kind).alias("entity_type"), "entity_public_id", "asset_id", F.lit("Upsert").alias("change_type"), as_of.alias("created_at"))
     source_change = rows.sparkSession.range(1).select(F.lit(f"source-{source_id}").alias("entity_public_id"), F.lit(None).cast("string").alias("asset_id"))
     changes = change(asset_changes, "MediaAsset").unionByName(change(occurrence_changes, "MediaOccurrence")).unionByName(change(source_change, "MediaSource"))
@@ -141,24 +139,26 @@ def merge_assets(valid: DataFrame, assets: DataFrame, user_id: int, as_of: Colum
     return created, kept.select(*assets.columns).unionByName(created.select(*assets.columns)), key(kept.filter("changed")).unionByName(key(created))
 
 
-def classify(valid: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Valid rows with occurrence_id and outcome.
+def classify(rows: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Rows with occurrence_id and outcome, in one pass over all of them.
 
-    Known items are Unchanged if everything compared is equal (nulls too) and they are active and complete, else UpdatedOccurrence.
+    Invalid rows are Rejected.  Known items are Unchanged if everything compared is equal (nulls too) and they are active and complete, else UpdatedOccurrence.
     Of new items the first of a created asset is CreatedOccurrence, all others DuplicateLinked.
     """
     old = occurrences.select("source_item_id", "occurrence_id", *[F.col(c).alias(f"old_{c}") for c in COMPARED if c != "asset_id"], F.col("asset_id").alias("linked_id"), F.col("deletion_state").alias("old_deletion"), F.col("hash_status").alias("old_hash"))
-    rows = valid.join(old, "source_item_id", "left")
-    new = F.col("occurrence_id").isNull()
+    rows = rows.join(old, "source_item_id", "left")
+    ok = F.col("validation_state") == "Valid"
+    new = ok & F.col("occurrence_id").isNull()
     same = (
         F.col("linked_id").eqNullSafe(F.col("asset_id")) & F.col("old_file_name").eqNullSafe(F.col("file_name")) & F.col("old_locator").eqNullSafe(F.col("locator"))
         & F.col("old_revision").eqNullSafe(F.col("source_revision")) & F.col("old_observed_size").eqNullSafe(F.col("byte_size")) & (F.col("old_deletion") == "Active") & (F.col("old_hash") == "Complete")
     )
-    first_new = F.min(F.when(new, F.col("row_number"))).over(Window.partitionBy("content_sha256"))
-    rows = rows.withColumn("_first_new", first_new)
+    # counted before the join moves rows, so content that very many rows share is no single task's
+    firsts = rows.filter(new & F.col("old_asset_id").isNull()).groupBy("content_sha256").agg(F.min("row_number").alias("_first_new"))
+    rows = rows.join(firsts, "content_sha256", "left")
     created = new & F.col("old_asset_id").isNull() & (F.col("row_number") == F.col("_first_new"))
-    outcome = F.when(created, "CreatedOccurrence").when(new, "DuplicateLinked").when(same, "Unchanged").otherwise("UpdatedOccurrence")
-    return rows.withColumns({"outcome": outcome, "is_new": new, "occurrence_id": F.coalesce("occurrence_id", public_id("occurrence", F.col("source_item_id")))}).drop("_first_new")
+    outcome = F.when(~ok, "Rejected").when(created, "CreatedOccurrence").when(new, "DuplicateLinked").when(same, "Unchanged").otherwise("UpdatedOccurrence")
+    return rows.withColumns({"outcome": outcome, "is_new": new, "occurrence_id": F.when(ok, F.coalesce("occurrence_id", public_id("occurrence", F.col("source_item_id"))))}).drop("_first_new")
 
 
 def merge_occurrences(classified: DataFrame, occurrences: DataFrame, user_id: int, source_id: int, as_of: Column) -> tuple[DataFrame, DataFrame]:
