@@ -30,6 +30,8 @@ from ._common import durable, runs
 #: Classes of one fingerprint from which its windows are dealt out by anchor offset, and the width of such a deal.
 SPLIT_CLASSES = 48
 SPLIT_WIDTH = 8
+#: Members from which a class is large, and large classes (50 bytes each) that may be broadcast.
+LARGE_CLASS, MAX_LARGE_CLASSES = 500, 200_000
 #: Units of segments compared at once; a fingerprint's share is never cut.
 SHARD_UNITS = 1_000_000
 
@@ -159,13 +161,27 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, *, reader: Reader, cut
     )
     parts = docs.join(segs, "_key").select("_key", "text", "segs").mapInArrow(_cut(cutter, span), PART)
     fine = parts.repartition("fp", "sub").sortWithinPartitions("fp", "sub").mapInArrow(_compare(resolve, span), RANGES)
-    whole = instances.join(classes.filter("members > 1").select("fp", "sh", "one"), ["fp", "sh"])
+    whole = _with_first(instances, classes)
     if keep == "first":
         whole = whole.filter("_key <> one._key or start <> one.start")
     whole = whole.select("_key", F.col("start").alias("a"), (F.col("start") + F.col("n") + F.lit(span - 1)).alias("b"))
     return whole.unionByName(fine).groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
+def _with_first(instances: DataFrame, classes: DataFrame) -> DataFrame:
+    """Segments of classes with several members, with the class's first one.
+
+    Large classes are broadcast, as long as they are few, so their members stay where they are; the others meet by hash.
+    """
+    shared = classes.filter("members > 1").select("fp", "sh", "one", "members")
+    large = shared.filter(F.col("members") > LARGE_CLASS).drop("members")
+    if large.count() > MAX_LARGE_CLASSES:
+        return instances.join(shared.drop("members"), ["fp", "sh"])
+    here = instances.join(F.broadcast(large), ["fp", "sh"], "left")
+    alone = here.filter("one is null").drop("one").join(shared.filter(F.col("members") <= LARGE_CLASS).drop("members"), ["fp", "sh"])
+    return here.filter("one is not null").unionByName(alone)
+
+
 def merged(ranges: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of units covered."""
     if not ranges:
