@@ -33,7 +33,7 @@ SPLIT_WIDTH = 8
 #: Members from which a class is large, and large classes (50 bytes each) that may be broadcast.
 LARGE_CLASS, MAX_LARGE_CLASSES = 500, 200_000
 #: Units of segments compared at once; a fingerprint's share is never cut.
-SHARD_UNITS = 1_000_000
+SHARD_UNITS = 250_000
 
 #: A reader turns a text's UTF-8 bytes into unit codes; a cutter returns the bytes of units [a, b).
 Reader = Callable[[bytes], np.ndarray]
@@ -48,7 +48,7 @@ def _extract(reader: Reader, span: int, k: int, columns: list[str]):
         for batch in batches:
             keys = batch.column("_key").to_numpy()
             raw = byte_columns(batch, "text")
-            for lo, hi in runs([len(x) for x in raw], 8 << 20):
+            for lo, hi in runs([len(x) for x in raw], 2 << 20):
                 units = [reader(x) for x in raw[lo:hi]]
                 lengths = np.array([len(u) for u in units], np.int64)
                 for group in _winnow.pieces(lengths, span):
@@ -75,7 +75,7 @@ def _cut(cutter, span: int):
         for batch in batches:
             raw, keys = byte_columns(batch, "text"), batch.column("_key").to_pylist()
             wanted = batch.column("segs")
-            for lo, hi in runs([len(x) for x in raw], 8 << 20):
+            for lo, hi in runs([len(x) for x in raw], 2 << 20):
                 rows: list[tuple] = []
                 for i in range(lo, hi):
                     take = cutter(raw[i])

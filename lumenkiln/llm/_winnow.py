@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Units handled at once; also the number of position values in a packed key.
-PIECE_BITS = 20
+PIECE_BITS = 18
 PIECE = 1 << PIECE_BITS
 _LOW = np.uint64(PIECE - 1)
 _BASE = 0x9E3779B97F4A7C15
