@@ -9,6 +9,7 @@ from .embedding_dedup import op7_embedding_dedup
 from .language_id import op2_language_id
 from .license_scan import OP4_SQL, op4_license_scan
 from .minhash_dedup import op1_minhash_dedup
+from .oracles import OP1_SQL, OP7_SQL, OP8_SQL, OP9_SQL
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op3_suffix_dedup
 from .url_filter import OP5_SQL, op5_url_filter
@@ -27,7 +28,11 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": OP1_SQL,
     "op4_license_scan": OP4_SQL,
     "op5_url_filter": OP5_SQL,
+    "op7_embedding_dedup": OP7_SQL,
+    "op8_decontaminate": OP8_SQL,
+    "op9_substring_dedup": OP9_SQL,
     "op10_chat_format": OP10_SQL,
 }
