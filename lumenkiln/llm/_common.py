@@ -40,6 +40,12 @@ def durable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all tables that `durable` wrote; results that were not written elsewhere can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenkiln")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keyed(spark: SparkSession, df: DataFrame, id_col: str, *columns: str) -> DataFrame:
     """The columns named and ``_key`` (long, unique, in the order of id_col).
 

@@ -10,26 +10,30 @@ from pyspark.sql import functions as F
 
 from ._common import annotated, table
 
-BUCKET_BITS = 16
-BUCKETS = 1 << BUCKET_BITS
+#: Bits of a bucket, fewer where the matrix would take over MODEL_BYTES.
+BUCKET_BITS, MODEL_BYTES = 16, 64 << 20
 ORDERS = (1, 2, 3)
 #: Training texts per language at most (in expectation); rarer languages give all they have.
 SAMPLE_PER_LANGUAGE = 4000
-#: Languages a model may have: the broadcast matrix takes 256 KB for each.
-MAX_LANGUAGES = 256
+#: Language values that training accepts; a column with more holds something else.
+MAX_LANGUAGES = 4096
 UNKNOWN = "und"
 _PIECE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
-def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
+def _bits(languages: int) -> int:
+    return min(BUCKET_BITS, int(np.log2(MODEL_BYTES / 4 / max(1, languages))))
+
+
+def _buckets(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
     h = codes * _MULT[0]
     for j in range(1, order):
         h = h[:-1] * _MULT[1] + codes[j:] * _MULT[0]
     h ^= h >> np.uint32(15)
     h *= _MULT[2]
-    return h >> np.uint32(32 - BUCKET_BITS)
+    return h >> np.uint32(32 - bits)
 
 
 def _pieces(text: str):
@@ -39,19 +43,19 @@ def _pieces(text: str):
         yield np.frombuffer(text[at : at + _PIECE + 2].encode("utf-32-le", "replace"), np.uint32), at + _PIECE + 2 >= len(text)
 
 
-def _grams(text: str):
+def _grams(text: str, bits: int):
     """Buckets of all n-grams, piece by piece; each n-gram once."""
     for codes, last in _pieces(text):
         for order in ORDERS:
             n = len(codes) - order + 1 if last else _PIECE
-            yield _buckets(codes, order)[:n]
+            yield _buckets(codes, order, bits)[:n]
 
 
 class Model:
     """Languages and the (buckets x languages) matrix of log probabilities."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, documents: np.ndarray):
-        self.languages = languages
+        self.languages, self.bits = languages, _bits(len(languages))
         self.prior = np.log(documents + 1.0) - np.log(documents.sum() + len(languages)) if languages else np.empty(0)
         smooth = counts + 0.5
         self.matrix = (np.log(smooth) - np.log(smooth.sum(axis=0))).astype(np.float32)
@@ -69,7 +73,7 @@ class Model:
                 np.add.at(out, [i for i, _ in held], np.add.reduceat(self.matrix[joined], starts, axis=0, dtype=np.float64))
 
         for i, text in enumerate(texts):
-            for grams in _grams(text):
+            for grams in _grams(text, self.bits):
                 if len(grams):
                     held.append((i, grams))
                     size += len(grams)
@@ -87,10 +91,13 @@ def train(spark: SparkSession, docs: DataFrame, *, allowed: Column, id_col: str
     """
     rows = docs.filter(allowed).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(sizes)
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} values")
+    languages, bits = sorted(sizes), _bits(len(sizes))
+    buckets = 1 << bits
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+        return Model([], np.zeros((buckets, 0)), np.zeros(0))
     share = spark.createDataFrame([(k, min(1.0, sample_per_language / n)) for k, n in sizes.items()], "lang string, share double")
     sample = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
@@ -100,15 +107,15 @@ def train(spark: SparkSession, docs: DataFrame, *, allowed: Column, id_col: str
         totals: dict[str, np.ndarray] = {}
         for pdf in batches:
             for text, lang in zip(pdf["text"], pdf["lang"]):
-                total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for grams in _grams(text):
-                    total += np.bincount(grams, minlength=BUCKETS)
+                total = totals.setdefault(lang, np.zeros(buckets, np.int64))
+                for grams in _grams(text, bits):
+                    total += np.bincount(grams, minlength=buckets)
         for lang, total in totals.items():
             used = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": used.astype(np.int32), "n": total[used]})
 
     counted = sample.select("text", "lang").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((BUCKETS, len(languages)))
+    counts = np.zeros((buckets, len(languages)))
     counts[counted["bucket"], np.searchsorted(languages, counted["lang"])] = counted["n"]
     return Model(languages, counts, np.array([sizes[x] for x in languages], float))
 
