@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,28 +18,46 @@ TRANSITIONS = {
 }
 
 
+def folded(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, tuple]], schema: str) -> DataFrame:
+    """One output row for each row, from a state that goes along each key's rows in order.
+
+    Rows stream through in sorted partitions, so only one state is in memory, however many rows a key has.
+    """
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        key, state = None, None
+        for frame in frames:
+            out = []
+            at = list(zip(*[[None if pd.isna(v) else v for v in frame[k]] for k in keys]))
+            for here, row in zip(at, frame.itertuples(index=False)):
+                if here != key:
+                    key, state = here, start()
+                state, made = step(state, row)
+                out.append(made)
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def idempotency(requests: DataFrame) -> DataFrame:
     """Each request as New, Replay or KeyReused: against the first request of its key within the expiry.
 
     Rows: user_id, idempotency_key, request_sha256, arrived_at, seq.  A key whose holder is older than the expiry is free
-    again, so a run of requests is cut into spans, each held by its first request.
+    again, so a key's requests fall into spans, each held by its first request.
     """
-    hours = lambda a, b: F.timestamp_diff("SECOND", a, b) / 3600
-    # the holder changes at the first request 24 hours after the one before: a fold over the key's ordered requests
-    rows = requests.groupBy("user_id", "idempotency_key").agg(F.array_sort(F.collect_list(F.struct("arrived_at", "seq", "request_sha256"))).alias("all"))
-    fold = F.aggregate(
-        "all", F.array().cast("array<struct<seq:bigint,holder_at:timestamp_ntz,holder_sha:string,outcome:string>>"),
-        lambda done, x: F.concat(done, F.array(_judged(F.try_element_at(done, F.lit(-1)), x, hours))),
-    )
-    return rows.select("user_id", "idempotency_key", F.explode(fold).alias("j")).select("user_id", "idempotency_key", F.col("j.seq").alias("seq"), F.col("j.outcome").alias("outcome"))
 
+    def step(holder, row):
+        if holder is None or (row.arrived_at - holder[0]).total_seconds() >= EXPIRY_HOURS * 3600:
+            holder, said = (row.arrived_at, row.request_sha256), "New"
+        else:
+            said = "Replay" if holder[1] == row.request_sha256 else "KeyReused"
+        return holder, (row.user_id, row.idempotency_key, row.seq, said)
 
-def _judged(last: Column, x: Column, hours) -> Column:
-    free = last.isNull() | (hours(last["holder_at"], x["arrived_at"]) >= EXPIRY_HOURS)
-    return F.struct(
-        x["seq"].cast("bigint").alias("seq"), F.when(free, x["arrived_at"]).otherwise(last["holder_at"]).alias("holder_at"), F.when(free, x["request_sha256"]).otherwise(last["holder_sha"]).alias("holder_sha"),
-        F.when(free, "New").when(last["holder_sha"] == x["request_sha256"], "Replay").otherwise("KeyReused").alias("outcome"),
-    )
+    columns = requests.select("user_id", "idempotency_key", "seq", "request_sha256", "arrived_at")
+    return folded(columns, ["user_id", "idempotency_key"], ["arrived_at", "seq"], lambda: None, step, "user_id long, idempotency_key string, seq long, outcome string")
 
 
 def admit(requests: DataFrame, *, limit: int, usd_limit: Decimal | None = None, reservation: Decimal | None = None, circuits: DataFrame | None = None) -> DataFrame:
@@ -59,18 +79,16 @@ def admit(requests: DataFrame, *, limit: int, usd_limit: Decimal | None = None,
     )
 
 
-def admit_amounts(requests: DataFrame, limit: float) -> DataFrame:
-    """Admission of unequal amounts (column amount): a later smaller one may still fit, so each key is a fold in order.
+def admit_amounts(requests: DataFrame, limit: Decimal | int) -> DataFrame:
+    """Admission of unequal amounts (column amount): a later smaller one may still fit, so each key is gone through in order."""
+    most = Decimal(limit)
 
-    A key is one user's month with one provider; its requests stand in one array.
-    """
-    rows = requests.groupBy("user_id", "provider", "usage_month").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("amount").cast("decimal(20,6)").alias("amount")))).alias("all"))
-    start = F.struct(F.lit(0).cast("decimal(30,6)").alias("used"), F.array().cast("array<struct<seq:bigint,ok:boolean>>").alias("out"))
-    fits = lambda acc, x: acc["used"] + x["amount"] <= F.lit(Decimal(str(limit)))
-    fold = F.aggregate("all", start, lambda acc, x: F.struct(
-        F.when(fits(acc, x), acc["used"] + x["amount"]).otherwise(acc["used"]).cast("decimal(30,6)").alias("used"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), fits(acc, x).alias("ok")))).alias("out"),
-    ))
-    return rows.select("user_id", "provider", "usage_month", F.explode(fold["out"]).alias("o")).select("user_id", "provider", "usage_month", "o.seq", F.when(F.col("o.ok"), "Admitted").otherwise("DeferredQuota").alias("decision"))
+    def step(used, row):
+        fits = used + row.amount <= most
+        return used + row.amount if fits else used, (row.user_id, row.provider, row.usage_month, row.seq, "Admitted" if fits else "DeferredQuota")
+
+    columns = requests.select("user_id", "provider", "usage_month", "seq", F.col("amount").cast("decimal(20,6)").alias("amount"))
+    return folded(columns, ["user_id", "provider", "usage_month"], ["seq"], Decimal, step, "user_id long, provider string, usage_month date, seq long, decision string")
 
 
 def settle(events: DataFrame) -> DataFrame:
