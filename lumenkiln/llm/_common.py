@@ -46,6 +46,16 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: whole texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keyed(spark: SparkSession, df: DataFrame, id_col: str, *columns: str) -> DataFrame:
     """The columns named and ``_key`` (long, unique, in the order of id_col).
 
@@ -53,6 +63,7 @@ def keyed(spark: SparkSession, df: DataFrame, id_col: str, *columns: str) -> Dat
     are sorted by id (nulls first) and the columns, numbered, and written once, so each row
     of a repeated id is a document of its own and keeps one number throughout.
     """
+    bound_batches(spark)
     df = df.select(id_col, *columns)
     odd = df.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
     if not odd.limit(1).take(1):
@@ -79,6 +90,7 @@ def annotated(docs: DataFrame, work, ddl: str, *, id_col: str, text_col: str, ca
     work takes a list of texts (UTF-8 bytes or None) of bounded total size and
     returns one list per column of ddl.  Only id and text are read unless carry is set.
     """
+    bound_batches(docs.sparkSession)
     kept = others(docs, text_col) if carry else F.col(id_col).alias("id")
     chosen = docs.select(kept, F.col(text_col).cast("string").alias("text"))
     fixed = 1 + carry
