@@ -9,7 +9,8 @@ every earlier boundary from which a token can still be growing, the trie node
 reached and the tokens up to that boundary.  What all hypotheses agree on is
 emitted and leaves the state.  A token's length bounds how many hypotheses
 are open, and so the lookahead.  States and transitions are built when first
-met, up to a fixed number, and shared by all later pieces.
+met and shared by all later pieces; past a fixed number the tables start anew
+from the state at hand, even within a piece.
 
 Decoding.  `Utf8Decoder` takes ids in any portions and returns text as soon as
 code points are complete.
@@ -20,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -33,13 +33,17 @@ from ._common import annotated, table
 #: Entries kept of the memos of pieces and of pairs before either starts anew.
 MEMO_PIECES = 250_000
 MEMO_PAIRS = 400_000
-#: Transitions that are determinised; past these, a piece that needs another is run over its hypotheses directly.
+#: Transitions that are kept; past these, the tables start anew from the state at hand.
 MAX_TRANSITIONS = 60_000
 _ROOT = 0
 #: The open hypotheses right after a token that nothing can grow over.
 _FRESH = ((_ROOT, ()),)
 
 
+def _pack(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     lines = Path(path).read_bytes().splitlines()
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
@@ -66,7 +70,7 @@ class Transducer:
         self._irregular: set[int] = set()
         self._states: list[tuple] = []
         self._ids: dict[tuple, int] = {}
-        self._steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._steps: dict[int, tuple[int, bytes | tuple[()]]] = {}
         self._id((-1, _FRESH))
 
     def _id(self, state: tuple) -> int:
@@ -134,95 +138,69 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, open_ = self._states[state]
-        children, grown, done = self._children, [], None
+        get, token_at, settled, inner, grown, done = self._children.get, self._token_at, self._settled, self._inner, [], None
         for node, chain in open_:
-            node = children.get(node << 8 | byte)
+            node = get(node << 8 | byte)
             if node is None:
                 continue
             if done is None:
-                token = self._token_at[node]
-                if token >= 0 and self._is_settled(chain[-1] if chain else last, token):
-                    done = (*chain, token)
-            if node in self._inner:  # else no longer token can come of it
+                token = token_at[node]
+                if token >= 0:
+                    before = chain[-1] if chain else last
+                    fits = settled.get(before << 20 | token)
+                    if fits is None:
+                        fits = self._is_settled(before, token)
+                    if fits:
+                        done = (*chain, token)
+            if node in inner:  # else no longer token can come of it
                 grown.append((node, chain))
         if done is None:
             raise ValueError("the ranks lack a single byte")
         if not grown:
             return self._id((done[-1], _FRESH)), done
+        head = done[0]
+        for _, chain in grown:
+            if not chain or chain[0] != head:  # nothing is common to all
+                grown.append((_ROOT, done))
+                return self._id((last, tuple(grown))), ()
         common = min(len(done), *[len(c) for _, c in grown])
         for _, chain in grown:
             while chain[:common] != done[:common]:
                 common -= 1
         emitted = done[:common]
         grown.append((_ROOT, done))
-        if common:
-            last = emitted[-1]
-            grown = [(n, c[common:]) for n, c in grown]
-        return self._id((last, tuple(grown))), emitted
-
-    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
-        """The encodings of sorted pieces; the states along a piece's bytes serve the next piece's common prefix.
-
-        A state here is the open hypotheses, (trie node, token before the boundary) each; what the last byte of every prefix ends
-        is noted beside it, and a piece's tokens are read off backwards.
-        """
-        get, token_at, settled, inner = self._children.get, self._token_at, self._settled, self._inner
-        open_: list[list[tuple[int, int]]] = [[(_ROOT, -1 << 20)]]
-        last = [-1]
-        before = b""
-        for piece in pieces:
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                yield [whole]
-                continue
-            n = same = 0
-            most = min(len(piece), len(before), len(last) - 1)
-            while same < most and piece[same] == before[same]:
-                same += 1
-            del open_[same + 1 :], last[same + 1 :]
-            before, n = piece, len(piece)
-            for byte in piece[same:]:
-                grown, done = [], -1
-                for step, previous in open_[-1]:
-                    node = get(step | byte)
-                    if node is None:
-                        continue
-                    if done < 0:
-                        token = token_at[node]
-                        if token >= 0:
-                            fits = settled.get(previous | token)
-                            if fits is None:
-                                fits = self._is_settled(previous >> 20, token)
-                            if fits:
-                                done = token
-                    if node in inner:
-                        grown.append((node << 8, previous))
-                grown.append((_ROOT, done << 20))
-                open_.append(grown)
-                last.append(done)
-            out = []
-            while n:
-                out.append(last[n])
-                n -= len(self.bytes_of[last[n]])
-            yield out[::-1]
+        return self._id((emitted[-1], tuple([(n, c[common:]) for n, c in grown]))), emitted
+
+    def _restart(self, state: int) -> int:
+        """Empties the tables; the new number of the state that is being read from."""
+        kept = self._states[state]
+        self._states.clear()
+        self._ids.clear()
+        self._steps.clear()
+        self._id((-1, _FRESH))
+        return self._id(kept)
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def packed(self, piece: bytes) -> bytes:
+        """The piece's ids as little-endian unsigned 32-bit integers; what is settled leaves the state as it is read."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return [whole]
-        state, out, steps = 0, [], self._steps
+            return _pack((whole,))
+        state, out, steps = 0, bytearray(), self._steps
         for byte in piece:
-            at = state << 8 | byte
-            found = steps.get(at)
+            found = steps.get(state << 8 | byte)
             if found is None:
                 if len(steps) >= MAX_TRANSITIONS:
-                    return next(self.encode_sorted([piece]))
-                found = steps[at] = self._step(state, byte)
+                    state = self._restart(state)
+                to, emitted = self._step(state, byte)
+                found = steps[state << 8 | byte] = to, emitted and _pack(emitted)
             state, emitted = found
             if emitted:
                 out += emitted
-        out += self._states[state][1][-1][1]
-        return out
+        out += _pack(self._states[state][1][-1][1])
+        return bytes(out)
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        return [i for i, in struct.iter_unpack("<I", self.packed(piece))]
 
 
 class Encoder:
@@ -243,10 +221,9 @@ class Encoder:
                 memo[piece] = older[piece]
             else:
                 new.append(piece)
-        new.sort()  # code points sort as their UTF-8 bytes do
-        pack = struct.pack
-        for piece, ids in zip(new, self.transducer.encode_sorted([p.encode() for p in new])):
-            memo[piece] = pack(f"<{len(ids)}I", *ids)
+        new.sort()  # pieces of one prefix meet its transitions before the tables start anew
+        for piece in new:
+            memo[piece] = self.transducer.packed(piece.encode())
         out = [b"".join([memo[p] for p in pieces]) for pieces in split]
         if len(memo) > MEMO_PIECES:  # pieces not met since the last turn over go
             self._memo, self._older = {}, memo
