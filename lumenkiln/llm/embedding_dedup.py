@@ -3,7 +3,8 @@
 Vectors that are equal are one class from the start.  A rotation learned on a bounded sample gives balanced binary
 codes; the tables index disjoint substrings of the codes of *all* classes.  A pair is a candidate if a
 substring differs in at most one bit and the whole codes in no more bits than pairs at the threshold
-do, and is a link if the cosine of the original vectors in double precision says so.
+do, and is a link if the cosine of the original vectors in double precision says so.  How pairs at the
+threshold differ is measured on the sample: codes are of centred vectors, and centring widens angles.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ._components import components
 #: Vectors that the rotations are learned from.
 SAMPLE = 20_000
 ROUNDS = 30
+#: Vectors that are moved to the threshold to measure how codes differ there, and code bits that are compared at least.
+PAIRS, PAIR_BITS = 5_000, 256
 #: Chance that a pair right at the threshold is missed by every table.
 MISS = 0.002
 
@@ -40,12 +43,41 @@ def itq(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarra
     return mean, principal @ rotation
 
 
-def plan(rows: int, dims: int, cosine: float) -> tuple[int, int]:
-    """(bits of a substring, tables): substrings grow with the rows, so a bucket's size does not; tables make up for it."""
-    flip = math.acos(cosine) / math.pi
-    bits = max(8, min(60, dims, math.ceil(math.log2(max(rows, 2)))))
-    hit = (1 - flip) ** bits + bits * flip * (1 - flip) ** (bits - 1)
-    return bits, math.ceil(math.log(MISS) / math.log(1 - hit))
+def at_threshold(sample: np.ndarray, cosine: float, fits: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Shares of code bits in which unit vectors and others right at the threshold from them differ, one a pair."""
+    unit = sample[:PAIRS]
+    aside = np.random.default_rng(len(unit)).normal(size=unit.shape)
+    aside -= (aside * unit).sum(axis=1, keepdims=True) * unit
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    other = cosine * unit + math.sqrt(max(0.0, 1 - cosine * cosine)) * np.divide(aside, length, out=np.zeros_like(aside), where=length > 1e-9)
+    return np.concatenate([((unit - m) @ p >= 0) != ((other - m) @ p >= 0) for m, p in fits], axis=1).mean(axis=1)
+
+
+def _tables(flips: np.ndarray, bits: int) -> int:
+    """The fewest tables that miss a share of at most MISS of pairs whose codes differ in these shares of bits."""
+    miss = 1 - (1 - flips) ** bits - bits * flips * (1 - flips) ** (bits - 1)
+    low, high = 0, 1
+    while (miss**high).mean() > MISS:
+        low, high = high, high * 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if (miss**middle).mean() > MISS else (low, middle)
+    return high
+
+
+def most_bits(rows: int, dims: int) -> int:
+    """Bits of a substring at most: they grow with the rows, so a bucket's size does not."""
+    return max(8, min(60, dims, math.ceil(math.log2(max(rows, 2)))))
+
+
+def plan(rows: int, dims: int, cosine: float, flips: np.ndarray) -> tuple[int, int]:
+    """(bits of a substring, tables): tables make up for what a substring misses, and substrings get shorter where that takes too many.
+
+    Pairs differ as the measured ones do, or as random directions do if that is more.  One bit and one table hold all pairs.
+    """
+    flips = np.clip(flips, math.acos(cosine) / math.pi, 1.0)
+    found = [(bits, _tables(flips, bits)) for bits in range(most_bits(rows, dims), 0, -1) if bits == 1 or flips.max() < 1]
+    return min(found, key=lambda x: x[1] * (x[0] + 1) * (1 + rows / 2 ** x[0]))  # probes, and what they meet
 
 
 def _usable(v: np.ndarray | None, dims: int) -> bool:
@@ -114,11 +146,13 @@ def _links(spark: SparkSession, classes: DataFrame, dims: int, rows: int, cosine
     learned = usable.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20)).select("v").toPandas()["v"]
     learned = np.array(learned.tolist(), np.float64).reshape(-1, dims) if len(learned) else np.eye(dims)
     learned /= np.linalg.norm(learned, axis=1, keepdims=True)
-    bits, tables = plan(rows, dims, cosine)
-    fits = [itq(learned, dims, seed) for seed in range(-(-bits * tables // dims))]
+    fits = [itq(learned, dims, seed) for seed in range(max(1, -(-PAIR_BITS // dims)))]
+    flips = at_threshold(learned, cosine, fits)
+    bits, tables = plan(rows, dims, cosine, flips)
+    fits = fits[: -(-bits * tables // dims)] + [itq(learned, dims, seed) for seed in range(len(fits), -(-bits * tables // dims))]
     shared = spark.sparkContext.broadcast(([m for m, _ in fits], [p for _, p in fits], bits, tables))
-    flip, total = math.acos(cosine) / math.pi, bits * tables
-    # pairs at the threshold differ in total * flip bits, give or take; bits of one code lean on each other a little
+    flip, total = max(math.acos(cosine) / math.pi, flips.max()), bits * tables
+    # even the pair at the threshold that differs most, give or take; bits of one code lean on each other a little
     most = math.ceil(total * flip + 6 * math.sqrt(total * flip * (1 - flip)))
 
     codes = durable(spark, usable.mapInArrow(_coder(shared, dims), "rep long, keys array<long>, code array<long>"), "codes")
