@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +115,8 @@ def _reranker(cosine: float):
 def embedding_dedup(spark: SparkSession, vectors: DataFrame, *, cosine: float = 0.95, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links of cosine >= ``cosine`` among all vectors: id, n_links, component_id, kept.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; lengths other than the most frequent one (the
-    greater on ties) link only with equal vectors.  Repeated or null ids are vectors of their own, nulls first; an empty table gives no rows; other
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
+    different lengths don't link.  Repeated or null ids are vectors of their own, nulls first; an empty table gives no rows; other
     columns are ignored.  component_id is the smallest id reachable, kept tells the row that bears it.  The sample bounds only
     what the rotation is learned from.  Candidates carry recall (see `MISS`), links are exact.
     """
@@ -124,8 +125,8 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, *, cosine: float =
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     base = base.withColumn("v", F.when(finite, F.col("v")))
     classes = durable(spark, base.filter("v is not null").groupBy("v").agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    sizes = classes.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
-    links = _links(spark, classes, sizes["dims"], sizes["count"], cosine, sample) if sizes else spark.createDataFrame([], "a long, b long")
+    sizes = classes.groupBy(F.size("v").alias("dims")).count().filter("count > 1").orderBy("dims").collect()
+    links = reduce(DataFrame.union, [_links(spark, classes, s["dims"], s["count"], cosine, sample) for s in sizes], spark.createDataFrame([], "a long, b long"))
     labels = components(spark, links)
     size_of = classes.select(F.col("rep").alias("b"), "size")
     both = links.union(links.select("b", "a"))
