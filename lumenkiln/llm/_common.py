@@ -23,29 +23,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file:///tmp/lumenkiln-shared"
     return at.rstrip("/")
 
 
+#: The folder of this process's tables, by application: what `release` removes.
+_FOLDERS: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/lumenkiln/{app}-{uuid.uuid4().hex}"
+    return _FOLDERS[app]
+
+
 def durable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so lost executors cost no recomputation.
 
     The schema is the frame's own, so an empty result reads back too.
     """
-    at = f"{shared_dir(spark)}/lumenkiln/{name}-{uuid.uuid4().hex}"
+    at = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back._lumenkiln_table = at
+    return back
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all tables that `durable` wrote; results that were not written elsewhere can't be read afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenkiln")
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `durable` wrote and that nothing reads any more: what came of them is written itself."""
+    for df in tables:
+        _remove(df.sparkSession, df._lumenkiln_table)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this application wrote; results that were not written elsewhere can't be read afterwards."""
+    at = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if at:
+        _remove(spark, at)
+
+
 #: Rows of an Arrow batch, where the session has Spark's default: whole texts are long, and a batch is held on both sides.
 BATCH_ROWS = 1000
 
@@ -60,15 +87,16 @@ def keyed(spark: SparkSession, df: DataFrame, id_col: str, *columns: str) -> Dat
     """The columns named and ``_key`` (long, unique, in the order of id_col).
 
     Ids that are unique and not null are their own keys, and id_col is left out.  Otherwise the rows
-    are sorted by id (nulls first) and the columns, numbered, and written once, so each row
-    of a repeated id is a document of its own and keeps one number throughout.
+    are sorted by id (nulls first) and the columns (what has no order of its own, as a map, by its JSON), numbered,
+    and written once, so each row of a repeated id is a document of its own and keeps one number throughout.
     """
     bound_batches(spark)
     df = df.select(id_col, *columns)
     odd = df.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
     if not odd.limit(1).take(1):
         return df.select(F.col(id_col).cast("long").alias("_key"), *columns).filter("_key is not null")
-    order = [F.col(id_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns]]
+    plain = {f.name for f in df.schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType))}
+    order = [F.col(id_col).asc_nulls_first(), *[(F.col(c) if c in plain else F.to_json(F.struct(c))).asc_nulls_first() for c in columns]]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return durable(spark, ranged.withColumn("_key", F.monotonically_increasing_id()), "keyed")
 

@@ -1,18 +1,22 @@
 """Repeated windows of ``span`` units across a corpus, without moving every window.
 
-1. Each text is cut into content-defined segments (`_winnow`).
+1. Each text is cut into content-defined segments (`_winnow`), written once.
 2. Anchor fingerprints are counted; only segments whose fingerprint recurs go on.
-3. Segments that are equal as a whole form a class.  Every window of a class
-   with several members is repeated, with nothing more to look at.
-4. Where one fingerprint has several classes, one member of each (its first)
-   is cut out of its text and the members of a fingerprint are compared window
-   by window in a shard by the ``resolve`` function of the operator.  A
-   fingerprint with very many classes is split by the anchor's offset, which
-   equal windows share too.
-5. Per document, the repeated windows come back as unit ranges.
-
-Shuffles carry fingerprints, not windows; the text moves once, by key, and
-that exchange serves both steps 4 and 5.
+3. Segments with equal hashes are put down as a class, with its first and its last
+   place.  Both places are cut out of their texts, and the cuts meet in shards where the
+   operator's ``resolve`` decides on the units themselves which windows recur:
+   - a fingerprint with one class: neighbouring classes with the same two documents
+     are cut as one stretch, and a shard is such a stretch at both places;
+   - a fingerprint with several classes: all of them are one shard;
+   - a fingerprint with very many: its windows are grouped by their content first, which
+     combines before it moves, and each distinct window is a shard at two places.
+4. What recurs comes back as *passages*: the units, how many windows they hold and
+   where these stand first, under the class they were found in.
+5. Documents are dealt out in chunks of bounded size.  Each chunk gets the passages of the
+   classes that it holds, each once, and the operator finds them in its documents.
+
+No list grows with a hot fingerprint, class or document: a chunk gets a passage once
+however many of its documents hold it, and a class has two cuts however many members.
 """
 
 from __future__ import annotations
@@ -21,29 +25,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _winnow
-from ._common import durable, runs
+from ._common import discard, durable, runs
 
-#: Classes of one fingerprint from which its windows are dealt out by anchor offset, and the width of such a deal.
+#: Classes of one fingerprint from which its windows are grouped by content.
 SPLIT_CLASSES = 48
-SPLIT_WIDTH = 8
-#: Members from which a class is large, and large classes (50 bytes each) that may be broadcast.
-LARGE_CLASS, MAX_LARGE_CLASSES = 500, 200_000
-#: Units of segments compared at once; a fingerprint's share is never cut.
+#: Units of a shard's cuts resolved at once; a shard is never divided.
 SHARD_UNITS = 250_000
+#: Classes in one stretch at most.
+STRETCH = 16
+#: Bytes of text and documents of a chunk, about; a longer document is a chunk by itself or nearly so.
+CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 20_000
 
 #: A reader turns a text's UTF-8 bytes into unit codes; a cutter returns the bytes of units [a, b).
 Reader = Callable[[bytes], np.ndarray]
 
 
-def byte_columns(batch: pa.RecordBatch, name: str) -> list[bytes]:
+def byte_columns(batch: pa.RecordBatch | pa.Table, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def _extract(reader: Reader, span: int, k: int, columns: list[str]):
+def _extract(reader: Reader, span: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("_key").to_numpy()
@@ -55,75 +62,109 @@ def _extract(reader: Reader, span: int, k: int, columns: list[str]):
                     joined = np.concatenate([units[i][a:b] for i, a, b in group])
                     bounds = np.cumsum([0] + [b - a for _, a, b in group])
                     found = _winnow.segments(joined, bounds, span, k)
-                    seq = found.pop("seq")
-                    owner = np.array([i for i, _, _ in group])[seq] + lo
-                    found["start"] = (found["start"] + np.array([a for _, a, _ in group])[seq]).astype(np.int32)
-                    found |= {"_key": keys[owner], "n": found["n"].astype(np.int32), "off": found["off"].astype(np.int32)}
-                    yield pa.RecordBatch.from_pydict({c: found[c] for c in columns})
+                    owner = np.array([i for i, _, _ in group])[found["seq"]] + lo
+                    start = found["start"] + np.array([a for _, a, _ in group])[found["seq"]]
+                    yield pa.RecordBatch.from_pydict({"_key": keys[owner], "start": start.astype(np.int32), "n": found["n"].astype(np.int32), "fp": found["fp"], "sh": found["sh"]})
 
     return run
 
 
-PART = "fp long, sub int, _key long, start int, n int, data binary"
-RANGES = "_key long, a int, b int"
+#: A cut: its shard (a, b), its place, whether this is its classes' first place, its bytes, and its classes (``at`` and ``n`` are windows).
+PART = "a long, b int, _key long, start int, own boolean, data binary, cls array<struct<fp:long,sh:long,at:int,n:int>>"
+_PART = pa.schema([
+    ("a", pa.int64()), ("b", pa.int32()), ("_key", pa.int64()), ("start", pa.int32()), ("own", pa.bool_()), ("data", pa.binary()),
+    ("cls", pa.list_(pa.struct([("fp", pa.int64()), ("sh", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))),
+])
+ALONE, TOGETHER, MANY = 1, 0, 2
 
 
 def _cut(cutter, span: int):
-    """Segments of a text as parts to compare: (fp, sub, key, first window, windows, bytes)."""
+    """Cuts of a document's wanted segments; those of fingerprints with one class as stretches."""
+
+    def stretches(segs: list[dict]) -> Iterator[tuple[int, int, list[dict]]]:
+        open_: dict[tuple, list[dict]] = {}
+        for s in sorted(segs, key=lambda s: s["start"]):
+            at = (s["own"], s["k1"], s["k2"], s["s2"] - s["s1"])
+            held = open_.get(at)
+            if held and held[-1]["start"] + held[-1]["n"] == s["start"] and len(held) < STRETCH:
+                held.append(s)
+                continue
+            if held:
+                yield held
+            open_[at] = [s]
+        yield from open_.values()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, keys = byte_columns(batch, "text"), batch.column("_key").to_pylist()
             wanted = batch.column("segs")
             for lo, hi in runs([len(x) for x in raw], 2 << 20):
-                rows: list[tuple] = []
+                rows: list[dict] = []
                 for i in range(lo, hi):
-                    take = cutter(raw[i])
-                    for seg in wanted[i].as_py():
-                        start, n, off = seg["start"], seg["n"], seg["off"]
-                        if seg["classes"] < SPLIT_CLASSES:
-                            rows.append((seg["fp"], -1, keys[i], start, n, take(start, start + n + span - 1)))
-                            continue
-                        # window j stands off - j before its anchor
-                        j = 0
-                        while j < n:
-                            sub = (off - j) // SPLIT_WIDTH
-                            m = min(n - j, off - j - sub * SPLIT_WIDTH + 1)
-                            rows.append((seg["fp"], sub, keys[i], start + j, m, take(start + j, start + j + m + span - 1)))
-                            j += m
+                    take, segs = cutter(raw[i]), wanted[i].as_py()
+                    for held in [*stretches([s for s in segs if s["classes"] == 1]), *([s] for s in segs if s["classes"] > 1)]:
+                        first, start, end = held[0], held[0]["start"], held[-1]["start"] + held[-1]["n"]
+                        if first["classes"] == 1:
+                            a, b = xxhash.xxh3_64_intdigest(b"%d %d %d" % (first["k1"], first["s1"], first["k2"])) - (1 << 63), ALONE
+                        else:
+                            a, b = first["fp"], TOGETHER if first["classes"] <= SPLIT_CLASSES else MANY
+                        cls = [{"fp": s["fp"], "sh": s["sh"], "at": s["start"] - start, "n": s["n"]} for s in held]
+                        rows.append({"a": a, "b": b, "_key": keys[i], "start": start, "own": first["own"], "data": take(start, end + span - 1), "cls": cls})
                 if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    names = ("fp", "sub", "_key", "start", "n", "data")
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    yield pa.RecordBatch.from_pylist(rows, schema=_PART)
 
     return run
 
 
-def _compare(resolve, span: int):
-    """Shards of complete fingerprints through ``resolve``; its flagged windows as unit ranges."""
+#: Windows at, ..., at + n - 1 of a class recur; they stand first at unit fstart, fstart + 1, ... of the document fkey.
+PASSAGE = "fp long, sh long, at int, n int, fkey long, fstart int, data binary"
+_PASSAGE = pa.schema([("fp", pa.int64()), ("sh", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("fkey", pa.int64()), ("fstart", pa.int32()), ("data", pa.binary())])
+
+
+def contiguous(places: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(at, n, fkey, fstart) of maximal runs in which both the window and its first place go on by one; places are (at, fkey, fstart), sorted."""
+    i = 0
+    while i < len(places):
+        at, key, start = places[i]
+        n = 1
+        while i + n < len(places) and places[i + n] == (at + n, key, start + n):
+            n += 1
+        yield at, n, key, start
+        i += n
+
+
+def _compare(resolve, cutter, span: int):
+    """Shards of complete (a, b) through ``resolve``; the passages of each class, once."""
 
     def flush(parts: list[dict]) -> pa.RecordBatch:
-        flags = resolve(parts)
-        keys, a, b = [], [], []
-        for part, flag in zip(parts, flags):
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], flag.view(np.int8), [0]))))
-            for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                keys.append(part["_key"])
-                a.append(part["start"] + lo)
-                b.append(part["start"] + hi - 1 + span)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["_key", "a", "b"])
+        sizes = np.array([p["cls"][-1]["at"] + p["cls"][-1]["n"] for p in parts])
+        ends = np.cumsum(sizes)
+        key = np.repeat(np.array([p["_key"] for p in parts], np.int64), sizes)
+        place = np.arange(len(key)) - np.repeat(ends - sizes, sizes) + np.repeat(np.array([p["start"] for p in parts], np.int64), sizes)
+        recurs, first = resolve([p["data"] for p in parts], sizes, key, place)
+        fkey, fstart, recurs = key[first].tolist(), place[first].tolist(), recurs.tolist()
+        rows = []
+        for part, end, size in zip(parts, ends.tolist(), sizes.tolist()):
+            if not part["own"]:
+                continue
+            take, base = cutter(part["data"]), end - size
+            for c in part["cls"]:
+                lo = base + c["at"]
+                for at, n, k, s in contiguous([(w - lo, fkey[w], fstart[w]) for w in range(lo, lo + c["n"]) if recurs[w]]):
+                    rows.append({"fp": c["fp"], "sh": c["sh"], "at": at, "n": n, "fkey": k, "fstart": s, "data": take(c["at"] + at, c["at"] + at + n + span - 1)})
+        return pa.RecordBatch.from_pylist(rows, schema=_PASSAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         units, last = 0, None
         for batch in batches:
             for part in batch.to_pylist():
-                at = (part["fp"], part["sub"])
+                at = (part["a"], part["b"])
                 if at != last and units >= SHARD_UNITS:
                     yield flush(held)
                     held, units = [], 0
                 held.append(part)
-                units += part["n"] + span
+                units += part["cls"][-1]["at"] + part["cls"][-1]["n"] + span
                 last = at
         if held:
             yield flush(held)
@@ -131,64 +172,105 @@ def _compare(resolve, span: int):
     return run
 
 
-def repeated_ranges(spark: SparkSession, docs: DataFrame, *, reader: Reader, cutter, resolve, span: int, k: int, keep: str) -> DataFrame:
-    """Per document with any, ``_key`` and ``ranges``: array of (a, b) units covered by repeated windows.
+def _windows(cutter, span: int):
+    """Every window of a cut by itself."""
 
-    docs has ``_key`` (unique, not null) and ``text``.  keep="first" leaves out
-    each window's first occurrence by (key, start); keep="none" covers all.
-    """
-    found = lambda cols, ddl: docs.mapInArrow(_extract(reader, span, k, cols), ddl)
-    # written, so that the join below deals out both sides itself and a skewed fingerprint can be split
-    recurring = durable(spark, found(["fp"], "fp long").groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "recurring")
-    instances = durable(
-        spark,
-        found(["_key", "start", "n", "off", "fp", "sh"], "_key long, start int, n int, off int, fp long, sh long").join(recurring, "fp"),
-        "instances",
-    )
-    classes = durable(
-        spark,
-        instances.groupBy("fp", "sh").agg(
-            F.count(F.lit(1)).alias("members"), F.min(F.struct("_key", "start")).alias("one"),
-            F.min("n").alias("n"), F.min("off").alias("off"),
-        ),
-        "classes",
-    )
-    several = durable(spark, classes.groupBy("fp").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1"), "several")
-    segs = (
-        classes.join(several, "fp")
-        .select(F.col("one._key").alias("_key"), F.struct(F.col("one.start").alias("start"), "n", "off", "fp", F.col("classes").cast("int").alias("classes")).alias("seg"))
-        .groupBy("_key").agg(F.collect_list("seg").alias("segs"))
-    )
-    parts = docs.join(segs, "_key").select("_key", "text", "segs").mapInArrow(_cut(cutter, span), PART)
-    fine = parts.repartition("fp", "sub").sortWithinPartitions("fp", "sub").mapInArrow(_compare(resolve, span), RANGES)
-    whole = _with_first(instances, classes)
-    if keep == "first":
-        whole = whole.filter("_key <> one._key or start <> one.start")
-    whole = whole.select("_key", F.col("start").alias("a"), (F.col("start") + F.col("n") + F.lit(span - 1)).alias("b"))
-    return whole.unionByName(fine).groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["data", "_key", "start", "own", "fp", "sh", "at"]
+        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+        for batch in batches:
+            rows = []
+            for part in batch.to_pylist():
+                take, (c,) = cutter(part["data"]), part["cls"]
+                rows += [(take(j, j + span), part["_key"], part["start"] + j, part["own"], c["fp"], c["sh"], j) for j in range(c["n"])]
+                if len(rows) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
+    return run
+
+
+def _gathered(cutter, span: int):
+    """Passages of a class from its cut and the first places of the windows that recur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                take = cutter(r["data"])
+                for at, n, k, s in contiguous(sorted((w["at"], w["fkey"], w["fstart"]) for w in r["windows"])):
+                    rows.append({"fp": r["fp"], "sh": r["sh"], "at": at, "n": n, "fkey": k, "fstart": s, "data": take(at, at + n + span - 1)})
+            yield pa.RecordBatch.from_pylist(rows, schema=_PASSAGE)
 
-def _with_first(instances: DataFrame, classes: DataFrame) -> DataFrame:
-    """Segments of classes with several members, with the class's first one.
+    return run
+
+
+def passages(spark: SparkSession, docs: DataFrame, *, reader: Reader, cutter, resolve, span: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(instances, passages): the segments that may repeat, as _key, start, n, fp, sh, and what recurs in their classes.
 
-    Large classes are broadcast, as long as they are few, so their members stay where they are; the others meet by hash.
+    docs has ``_key`` (unique, not null) and ``text``.  resolve takes a shard's cuts (bytes), their windows, and each window's
+    document and place; it returns per window whether it recurs and the index of its first place by (document, place).
+    """
+    segs = durable(spark, docs.mapInArrow(_extract(reader, span, k), "_key long, start int, n int, fp long, sh long"), "segments")
+    # written, so that the join below deals out both sides itself and a skewed fingerprint can be split
+    recurring = durable(spark, segs.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "recurring")
+    instances = durable(spark, segs.join(recurring, "fp").select(*segs.columns), "instances")
+    discard(segs, recurring)
+    place = F.struct("_key", "start")
+    classes = instances.groupBy("fp", "sh").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("one"), F.max(place).alias("last"), F.min("n").alias("n"))
+    classes = durable(spark, classes, "classes")
+    several = classes.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("classes"))
+    wanted = classes.join(durable(spark, several, "several"), "fp").filter("members > 1 or classes > 1")
+    ends = F.when(F.col("members") > 1, F.array(F.struct("one.*", F.lit(True).alias("own")), F.struct("last.*", F.lit(False).alias("own")))).otherwise(F.array(F.struct("one.*", F.lit(True).alias("own"))))
+    segs_of = (
+        wanted.select("fp", "sh", "n", "classes", F.col("one._key").alias("k1"), F.col("one.start").alias("s1"), F.col("last._key").alias("k2"), F.col("last.start").alias("s2"), F.explode(ends).alias("end"))
+        .groupBy(F.col("end._key").alias("_key")).agg(F.collect_list(F.struct(F.col("end.start").alias("start"), F.col("end.own").alias("own"), "n", "fp", "sh", "classes", "k1", "s1", "k2", "s2")).alias("segs"))
+    )
+    parts = durable(spark, docs.join(segs_of, "_key").select("_key", "text", "segs").mapInArrow(_cut(cutter, span), PART), "parts")
+    compare = lambda rows: rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_compare(resolve, cutter, span), PASSAGE)
+    found = durable(spark, compare(parts.filter(F.col("b") != MANY)), "passages")
+
+    many = parts.filter(F.col("b") == MANY)
+    windows = durable(spark, many.mapInArrow(_windows(cutter, span), "data binary, _key long, start int, own boolean, fp long, sh long, at int"), "windows")
+    twice = windows.groupBy("data").agg(F.min(place).alias("one"), F.max(place).alias("last")).filter("one < last")
+    one_window = F.array(F.struct(F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("sh"), F.lit(0).alias("at"), F.lit(1).alias("n")))
+    ends = F.explode(F.array(F.struct("one.*", F.lit(True).alias("own")), F.struct("last.*", F.lit(False).alias("own"))))
+    pairs = twice.select("data", ends.alias("end")).select(F.xxhash64("data").alias("a"), F.lit(MANY).alias("b"), "end._key", "end.start", "end.own", "data", one_window.alias("cls"))
+    again = durable(spark, compare(pairs).select("data", "fkey", "fstart"), "again")
+    of_class = durable(spark, windows.filter("own").join(again, "data").select("fp", "sh", F.struct("at", "fkey", "fstart").alias("w")), "recurring_windows")
+    own = many.filter("own").select(F.col("cls")[0]["fp"].alias("fp"), F.col("cls")[0]["sh"].alias("sh"), "data")
+    gathered = of_class.groupBy("fp", "sh").agg(F.collect_list("w").alias("windows")).join(own, ["fp", "sh"])
+    rest = durable(spark, gathered.mapInArrow(_gathered(cutter, span), PASSAGE), "passages")
+    discard(classes, parts, windows, again, of_class)
+    return instances, found.unionByName(rest)
+
+
+def in_chunks(spark: SparkSession, base: DataFrame, instances: DataFrame, found: DataFrame, work, schema: T.StructType, *, places: bool) -> DataFrame:
+    """All rows of base (``_key``, ``text`` and more) in chunks through ``work`` (documents, passages -> rows).
+
+    A chunk's passages are those of its classes, with ``places`` (where the class stands in the chunk) if asked for.
     """
-    shared = classes.filter("members > 1").select("fp", "sh", "one", "members")
-    large = shared.filter(F.col("members") > LARGE_CLASS).drop("members")
-    if large.count() > MAX_LARGE_CLASSES:
-        return instances.join(shared.drop("members"), ["fp", "sh"])
-    here = instances.join(F.broadcast(large), ["fp", "sh"], "left")
-    alone = here.filter("one is null").drop("one").join(shared.filter(F.col("members") <= LARGE_CLASS).drop("members"), ["fp", "sh"])
-    return here.filter("one is not null").unionByName(alone)
-
-
-def merged(ranges: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of units covered."""
-    if not ranges:
+    size = base.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    chunks = 1 + (size["bytes"] or 0) // CHUNK_BYTES + size["rows"] // CHUNK_ROWS
+    chunk = F.pmod(F.xxhash64("_key"), F.lit(chunks)).alias("chunk")
+    if places:
+        held = instances.groupBy(chunk, "fp", "sh").agg(F.collect_list(F.struct("_key", "start")).alias("places"))
+    else:
+        held = instances.select(chunk, "fp", "sh").distinct()
+    # written, so that both sides of the join are dealt out by it and a class held by very many chunks can be split
+    dealt = durable(spark, durable(spark, held, "held").join(found, ["fp", "sh"]).drop("fp", "sh"), "dealt")
+    return base.withColumn("chunk", chunk).groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInArrow(lambda left, right: work(left.drop_columns("chunk"), right), schema)
+
+
+def covered(starts: list[int], ends: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of units in any of the ranges."""
+    if not starts:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     step = np.zeros(n + 1, np.int32)
-    np.add.at(step, [r["a"] for r in ranges], 1)
-    np.add.at(step, [r["b"] for r in ranges], -1)
-    covered = np.cumsum(step[:n]) > 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends, -1)
+    inside = np.cumsum(step[:n]) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
     return edge[::2], edge[1::2]

@@ -6,7 +6,8 @@ with the smallest hash, the leftmost on ties.  The choice depends on the
 window's content alone, so equal windows, wherever they stand, pick equal
 anchors at equal offsets.  Consecutive windows that share an anchor form a
 segment.  Two windows can therefore only be equal if their segments have the
-same anchor fingerprint, which is what the repeat operators shard by.
+same anchor fingerprint, which is what the repeat operators shard by.  Hashes
+only say what is worth comparing: no window counts as repeated because of them.
 
 Sequences longer than ``PIECE`` units are cut into pieces that overlap by
 ``span - 1`` units, so every window is seen once and memory stays bounded.
@@ -15,13 +16,13 @@ Sequences longer than ``PIECE`` units are cut into pieces that overlap by
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Units handled at once; also the number of position values in a packed key.
 PIECE_BITS = 18
 PIECE = 1 << PIECE_BITS
 _LOW = np.uint64(PIECE - 1)
 _BASE = 0x9E3779B97F4A7C15
-_BASE2 = 0xD6E8FEB86659FD93
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -98,8 +99,7 @@ def segments(units: np.ndarray, bounds: np.ndarray, span: int, k: int) -> dict[s
     """Segments of the sequences units[bounds[j]:bounds[j+1]], at most PIECE units in all.
 
     ``seq`` j, ``start`` the first window's place in the sequence, ``n`` windows,
-    ``off`` the anchor's distance from the first window's start, ``fp`` the
-    anchor's fingerprint, ``sh`` the hash of everything the windows cover.
+    ``fp`` the anchor's fingerprint, ``sh`` a hash of everything the windows cover.
     """
     width = span - k + 1
     h = prefix_hash(units, _BASE)
@@ -119,11 +119,7 @@ def segments(units: np.ndarray, bounds: np.ndarray, span: int, k: int) -> dict[s
     owner = np.searchsorted(bounds, first, side="right") - 1
     keep = first + span <= bounds[owner + 1]
     first, last, owner = first[keep], last[keep], owner[keep]
-    anchor = chosen[first]
-    whole = range_hash(prefix_hash(units, _BASE2), first, last + span)
-    off, n = anchor - first, last - first + 1
-    sh = mix64(whole + (off.astype(np.uint64) << np.uint64(40)) + (n.astype(np.uint64) << np.uint64(20)))
-    return {
-        "seq": owner, "start": first - bounds[owner], "n": n, "off": off,
-        "fp": fps[anchor].view(np.int64), "sh": sh.view(np.int64),
-    }
+    raw = memoryview(np.ascontiguousarray(units)).cast("B")
+    wide = units.itemsize
+    sh = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((first * wide).tolist(), ((last + span) * wide).tolist())), np.uint64, len(first))
+    return {"seq": owner, "start": first - bounds[owner], "n": last - first + 1, "fp": fps[chosen[first]].view(np.int64), "sh": sh.view(np.int64)}

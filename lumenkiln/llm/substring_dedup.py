@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -14,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import keyed, others, table
-from ._repeats import byte_columns, merged, repeated_ranges
+from ._repeats import byte_columns, covered, in_chunks, passages
+
+#: Words of the passages in one automaton; a chunk with more takes several.
+SHARD_WORDS = 400_000
 
 
 def _reader(raw: bytes) -> np.ndarray:
@@ -28,69 +30,95 @@ def _cutter(raw: bytes):
     return lambda a, b: b" ".join(words[a:b])
 
 
-def _coded(parts: list[dict]) -> list[str]:
-    """Each part as a string with one code point a word, so automata step by words."""
-    codes: dict[bytes, str] = {}
-    out = []
-    for part in parts:
-        text = []
-        for word in part["data"].split(b" "):
-            code = codes.get(word)
-            if code is None:
-                n = len(codes) + 1
-                code = codes[word] = chr(n if n < 0xD800 else n + 0x800)  # past the surrogates
-            text.append(code)
-        out.append("".join(text))
-    return out
-
-
-def _resolver(span: int, keep: str):
-    def resolve(parts: list[dict]) -> list[np.ndarray]:
-        texts = _coded(parts)
-        seen = Counter(t[j : j + span] for t, p in zip(texts, parts) for j in range(p["n"]))
-        flags = [np.zeros(p["n"], bool) for p in parts]
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        phrases = 0
-        for phrase, n in seen.items():
-            if n > 1:
-                automaton.add_word(phrase, phrases)
-                phrases += 1
-        if not phrases:
-            return flags
-        seen.clear()
-        automaton.make_automaton()
-        first = np.full(phrases, -1, np.int64)
-        for i in sorted(range(len(parts)), key=lambda i: (parts[i]["_key"], parts[i]["start"])):
-            for end, phrase in automaton.iter(texts[i]):
-                at = end - span + 1
-                if first[phrase] < 0:
-                    first[phrase] = 1
-                    flags[i][at] = keep == "none"
-                else:
-                    flags[i][at] = True
-        return flags
+def _resolve(span: int):
+    def resolve(cuts: list[bytes], sizes: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the windows' words: which stand at several places, and where first."""
+        seen: dict[bytes, int] = {}
+        like, first, recurs = [], list(range(len(key))), [False] * len(key)
+        keys, places, w = key.tolist(), place.tolist(), 0
+        for cut, size in zip(cuts, sizes.tolist()):
+            at = [0]
+            for word in cut.split(b" "):
+                at.append(at[-1] + len(word) + 1)
+            for j in range(size):
+                same = seen.setdefault(cut[at[j] : at[j + span] - 1], w)
+                like.append(same)
+                if same != w:
+                    recurs[w] = recurs[same] = True
+                    if (keys[w], places[w]) < (keys[first[same]], places[first[same]]):
+                        first[same] = w
+                w += 1
+        return np.array(recurs, bool), np.array(first, np.int64)[like]
 
     return resolve
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ns, removed, kept = [], [], []
-        for raw, ranges in zip(byte_columns(batch, "text"), batch.column("ranges")):
-            words = raw.split()
-            a, b = merged(ranges.as_py(), len(words))
+class Automaton:
+    """An Aho-Corasick automaton over passages, stepping by words: a word is one code point."""
+
+    def __init__(self, found: list[tuple[bytes, tuple[int, int]]]):
+        self._codes: dict[bytes, str] = {}
+        self._automaton = ahocorasick.Automaton()
+        for data, first in found:
+            phrase = "".join([self._code(w) for w in data.split(b" ")])
+            self._automaton.add_word(phrase, (len(phrase), first))
+        self._automaton.make_automaton()
+
+    def _code(self, word: bytes) -> str:
+        code = self._codes.get(word)
+        if code is None:
+            n = len(self._codes) + 2  # code 1 stands for any word that no passage has
+            code = self._codes[word] = chr(n if n < 0xD800 else n + 0x800)  # past the surrogates
+        return code
+
+    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[int, int]]]:
+        """(first word, words, first place) of every passage in the text."""
+        get = self._codes.get
+        for end, (size, first) in self._automaton.iter("".join([get(w, "\x01") for w in words])):
+            yield end - size + 1, size, first
+
+
+def _shards(found: pa.Table) -> Iterator[list[tuple[bytes, tuple[int, int]]]]:
+    """The passages by SHARD_WORDS words."""
+    shard, held = [], 0
+    for batch in found.to_batches():
+        for data, k, s in zip(*(batch.column(c).to_pylist() for c in ("data", "fkey", "fstart"))):
+            shard.append((data, (k, s)))
+            held += data.count(b" ") + 1
+            if held >= SHARD_WORDS:
+                yield shard
+                shard, held = [], 0
+    if shard:
+        yield shard
+
+
+def _remove(keep: str, fields: list[str]):
+    """Every document of a chunk through the automata of the chunk's passages, and without what they find."""
+
+    def work(docs: pa.Table, found: pa.Table) -> pa.Table:
+        keys, texts = docs.column("_key").to_pylist(), [raw.split() for raw in byte_columns(docs, "text")]
+        hits: list[tuple[list[int], list[int]]] = [([], []) for _ in texts]
+        for shard in _shards(found):
+            automaton = Automaton(shard)
+            for key, words, (starts, ends) in zip(keys, texts, hits):
+                for at, size, first in automaton.occurrences(words):
+                    if keep == "none" or first != (key, at):
+                        starts.append(at)
+                        ends.append(at + size)
+        removed, kept = [], []
+        for words, (starts, ends) in zip(texts, hits):
+            a, b = covered(starts, ends, len(words))
             left, at = [], 0
             for lo, hi in zip(a.tolist(), b.tolist()):
                 left += words[at:lo]
                 at = hi
             left += words[at:]
-            ns.append(len(words))
             removed.append(int((b - a).sum()))
             kept.append(b" ".join(left))
-        yield pa.RecordBatch.from_arrays(
-            [*(c for c, name in zip(batch.columns, batch.schema.names) if name not in ("text", "ranges")), pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            [*(name for name in batch.schema.names if name not in ("text", "ranges")), "n_words", "n_removed", "kept"],
-        )
+        put = {"n_words": pa.array([len(w) for w in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+        return pa.table([put[c] if c in put else docs.column(c) for c in fields], fields)
+
+    return work
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, *, min_words: int = 20, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -101,18 +129,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, *, min_words: int = 20
     removes first copies as well.  Returns id (with carry the input as ``row`` and ``original``), n_words, n_removed,
     kept (the words left, joined by one space).  Null, empty and short texts keep all they have; null or repeated ids
     are documents of their own, nulls first; an empty table gives no rows; other columns are ignored.
+
+    Passages that recur are confirmed on their words in shards; the automata of a chunk's passages then read every
+    document of the chunk, and what they find, but for a passage's first place, is what goes.
     """
     row = [others(docs, text_col)] if carry else []
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row)
     base = keyed(spark, chosen, "id", *chosen.columns[1:])
-    ranges = repeated_ranges(
-        spark, base.select("_key", "text"), reader=_reader, cutter=_cutter,
-        resolve=_resolver(min_words, keep), span=min_words, k=max(1, min_words // 3), keep=keep,
+    instances, found = passages(
+        spark, base.select("_key", "text"), reader=_reader, cutter=_cutter, resolve=_resolve(min_words), span=min_words, k=max(1, min_words // 3),
     )
     own = [F.col("row"), F.col("text").alias("original")] if carry else [F.col("id" if "id" in base.columns else "_key").alias("id")]
-    chosen = base.join(ranges, "_key", "left").select(*own, "text", "ranges")
-    shape = T.StructType([*chosen.schema.fields[: len(own)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return chosen.mapInArrow(_assemble, shape)
+    chosen = base.select("_key", "text", *own)
+    shape = T.StructType([*chosen.schema.fields[2:], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return in_chunks(spark, chosen, instances, found, _remove(keep, shape.names), shape, places=False)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
