@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..storage import discard, durable, release  # noqa: F401  the operators take them from here
+
 #: Every ASCII byte that is no letter or digit becomes a space, A-Z becomes a-z; other bytes stay.
 NORMAL = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
@@ -22,57 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file:///tmp/lumenkiln-shared"
-    return at.rstrip("/")
-
-
-#: The folder of this process's tables, by application: what `release` removes.
-_FOLDERS: dict[str, str] = {}
-
-
-def _folder(spark: SparkSession) -> str:
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        _FOLDERS[app] = f"{shared_dir(spark)}/lumenkiln/{app}-{uuid.uuid4().hex}"
-    return _FOLDERS[app]
-
-
-def durable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so lost executors cost no recomputation.
-
-    The schema is the frame's own, so an empty result reads back too.
-    """
-    at = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    back = spark.read.schema(df.schema).parquet(at)
-    back._lumenkiln_table = at
-    return back
-
-
-def _remove(spark: SparkSession, at: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that `durable` wrote and that nothing reads any more: what came of them is written itself."""
-    for df in tables:
-        _remove(df.sparkSession, df._lumenkiln_table)
-
-
-def release(spark: SparkSession) -> None:
-    """Remove all tables that this application wrote; results that were not written elsewhere can't be read afterwards."""
-    at = _FOLDERS.pop(spark.sparkContext.applicationId, None)
-    if at:
-        _remove(spark, at)
-
-
 #: Rows of an Arrow batch, where the session has Spark's default: whole texts are long, and a batch is held on both sides.
 BATCH_ROWS = 1000
 
