@@ -1,8 +1,13 @@
 """Licence scans with DataFrame functions only: fixed phrases, and a containment join against templates.
 
+Templates are looked for in overlapping runs of words, so it does not matter how a header is wrapped or
+commented out.  The blocks of a template of w words are the runs of 2L words that begin at every L-th word,
+L being the power of two that is w or just above: any L + 1 words in a row lie in one block.
+
 The join is exact.  Template tokens are ordered by how often the corpus holds them, rarest first.
-A block (line) that contains a share c of a template's n tokens shares at least o = ceil(c * n), so it
-must hold one of the template's first n - o + 1 tokens (prefix filter), have at least o tokens that any template
+A block holds a template if it has o of its n distinct tokens: ceil(c * n) at a threshold of c, and all n
+where they are fewer than ten, as short notices differ in a word.  Such a block must
+hold one of the template's first n - o + 1 tokens (prefix filter), have at least o tokens that any template
 knows (length filter), and have enough tokens left on both sides after the first common one (positional
 filter).  What passes is counted on the full sets.
 """
@@ -22,23 +27,27 @@ from ._common import keyed, table
 # The phrases of the contract with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Template sentences with their labels.
+# The openings of licence notices as they are published, with their labels.
 TEMPLATES = [
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "Licensed under the Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
-    ("gpl", "This program is free software: you can redistribute it under the terms of the GNU General Public License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mit", "Released under the MIT License."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("mit", "Released under the MIT License"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("proprietary", "All rights reserved. Unauthorized copying or distribution is prohibited"),
 ]
 THRESHOLD = 0.8
-#: Template tokens in all; the index over them is broadcast.
-MAX_TEMPLATE_TOKENS = 100_000
+#: Distinct tokens below which a template must be there whole.
+SHORT = 10
+#: Template tokens whose index is broadcast; the index of more is dealt out by token instead.
+MAX_BROADCAST_TOKENS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -49,8 +58,11 @@ _WORD = f"{_CLASS}+"
 
 
 def _phrase(words: str) -> str:
-    """Places where the words stand consecutively; (?i) folds A-Z only."""
-    return f"(?i)(?<!{_CLASS})" + f"[{_SEP}]+".join(words.split()) + f"(?!{_CLASS})"
+    """The first character of each place where the words stand consecutively; (?i) folds A-Z only.
+
+    The words are looked at but not consumed, so places may overlap.
+    """
+    return f"(?i)(?<!{_CLASS})(?=" + f"[{_SEP}]+".join(words.split()) + f"(?!{_CLASS})){_CLASS}"
 
 
 def _word_count(text: Column | str) -> Column:
@@ -68,42 +80,51 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
 
 
-def _template_index(spark: SparkSession, texts: DataFrame, templates: list[tuple[str, str]], threshold: float):
-    """Ranks of the template tokens, rarest in the corpus first, and each template's ranks in that order."""
-    sets = [(label, sorted(set(re.findall(r"[0-9a-z\x80-\U0010FFFF]+", text.translate(str.maketrans(_UPPER, _LOWER)))))) for label, text in templates]
-    tokens = sorted({t for _, own in sets for t in own})
-    if len(tokens) > MAX_TEMPLATE_TOKENS:
-        raise ValueError(f"{len(tokens)} template tokens; the index is broadcast and holds {MAX_TEMPLATE_TOKENS}")
-    known = spark.createDataFrame([(t,) for t in tokens], "token string")
-    seen = texts.select(F.explode(_words(F.col("text"))).alias("token")).join(F.broadcast(known), "token").groupBy("token").count()
-    counts = {r.token: r["count"] for r in seen.collect()}
-    rank = {t: i for i, t in enumerate(sorted(tokens, key=lambda t: (counts.get(t, 0), t)))}
-    return rank, [(label, sorted(rank[t] for t in own)) for label, own in sets if own]
+def needed(n: int, threshold: float) -> int:
+    """Of a template's n distinct tokens, how many a block must hold."""
+    return n if n < SHORT else math.ceil(round(threshold * n, 9))
+
+
+def _template_sets(templates: list[tuple[str, str]]) -> list[tuple[str, int, list[str]]]:
+    """(label, L, distinct tokens) of every template with words."""
+    words = [(label, re.findall(r"[0-9a-z\x80-\U0010FFFF]+", text.translate(str.maketrans(_UPPER, _LOWER)))) for label, text in templates]
+    return [(label, 1 << (len(w) - 1).bit_length(), sorted(set(w))) for label, w in words if w]
 
 
 def _template_hits(spark: SparkSession, texts: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(_key, label, containment) of every block that holds enough of a template."""
-    rank, sets = _template_index(spark, texts, templates, threshold)
+    sets = _template_sets(templates)
+    if not sets:
+        return texts.select("_key", F.lit("").alias("label"), F.lit(0.0).alias("containment")).filter("false")
+    tokens = sorted({t for _, _, own in sets for t in own})
+    small = F.broadcast if len(tokens) <= MAX_BROADCAST_TOKENS else lambda frame: frame
+    known = spark.createDataFrame([(t,) for t in tokens], "token string")
+    seen = texts.select(F.explode(_words(F.col("text"))).alias("token")).join(small(known), "token").groupBy("token").count()
+    counts = {r.token: r["count"] for r in seen.collect()}
+    rank = {t: i for i, t in enumerate(sorted(tokens, key=lambda t: (counts.get(t, 0), t)))}
     by_token = spark.createDataFrame(list(rank.items()), "token string, r int")
     index, wanted = [], []
-    for i, (label, own) in enumerate(sets):
-        o = math.ceil(round(threshold * len(own), 9))
-        wanted.append((i, label, own, len(own), o))
-        index += [(own[p], i, p, len(own), o) for p in range(len(own) - o + 1)]
-    prefix = spark.createDataFrame(index, "r int, template int, i int, n int, o int")
-    full = spark.createDataFrame([w[:3] for w in wanted], "template int, label string, ranks array<int>")
-    rare = sorted({t for t, r in rank.items() if r in {row[0] for row in index}})
-    blocks = texts.select("_key", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
+    for i, (label, length, own) in enumerate(sets):
+        ranks, o = sorted(rank[t] for t in own), needed(len(own), threshold)
+        wanted.append((i, label, ranks))
+        index += [(length, ranks[p], i, p, len(ranks), o) for p in range(len(ranks) - o + 1)]
+    prefix = spark.createDataFrame(index, "length int, r int, template int, i int, n int, o int")
+    full = spark.createDataFrame(wanted, "template int, label string, ranks array<int>")
+    firsts = {row[1] for row in index}
+    rare = sorted(t for t, r in rank.items() if r in firsts)
     if len(rare) <= 500:
-        # only blocks with a token of some prefix go on; the alternation is cheaper than splitting every line
-        blocks = blocks.filter(F.col("line").rlike(f"(?i)(?<!{_CLASS})(?:{'|'.join(map(re.escape, rare))})(?!{_CLASS})"))
-    held = blocks.select("_key", "block", F.explode(F.array_distinct(_words(F.col("line")))).alias("token")).join(F.broadcast(by_token), "token")
-    held = held.groupBy("_key", "block").agg(F.array_sort(F.collect_list("r")).alias("own"))
-    probes = held.select("_key", "block", "own", F.posexplode("own").alias("j", "r")).join(F.broadcast(prefix), "r")
+        # only texts with a token of some prefix go on; the alternation is cheaper than splitting every text
+        texts = texts.filter(F.col("text").rlike(f"(?i)(?<!{_CLASS})(?:{'|'.join(map(re.escape, rare))})(?!{_CLASS})"))
+    lengths = F.array(*[F.lit(n) for n in sorted({n for _, n, _ in sets})])
+    at = texts.select("_key", F.posexplode(_words(F.col("text"))).alias("word", "token")).join(small(by_token), "token").select("_key", "word", "r", F.explode(lengths).alias("length"))
+    own_block = F.floor(F.col("word") / F.col("length")).cast("int")
+    held = at.select("_key", "length", "r", F.explode(F.array(own_block, own_block - 1)).alias("block")).filter("block >= 0")
+    held = held.groupBy("_key", "length", "block").agg(F.array_sort(F.collect_set("r")).alias("own"))
+    probes = held.select("_key", "length", "block", "own", F.posexplode("own").alias("j", "r")).join(small(prefix), ["length", "r"])
     probes = probes.filter(F.size("own") >= F.col("o"))
     first = probes.groupBy("_key", "block", "template").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.first("own").alias("own"), F.first("n").alias("n"), F.first("o").alias("o"))
     first = first.filter(1 + F.least(F.col("n") - F.col("i") - 1, F.size("own") - F.col("j") - 1) >= F.col("o"))
-    both = first.join(F.broadcast(full), "template").withColumn("both", F.size(F.array_intersect("own", "ranks"))).filter("both >= o")
+    both = first.join(small(full), "template").withColumn("both", F.size(F.array_intersect("own", "ranks"))).filter("both >= o")
     return both.select("_key", "label", (F.col("both") / F.col("n")).alias("containment"))
 
 
@@ -115,8 +136,9 @@ def license_scan(
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lowered.  Returns id, n_words, n_base (places
     where a phrase's words stand consecutively), first_word and last_word (their smallest and largest start, or null), base_labels, labels
-    (with those of templates of which some line holds ``threshold`` of the distinct words) and score (the greatest such
+    (with those of templates that some block of words holds ``threshold`` of, or all of a short one) and score (the greatest such
     share, else 0).  A null text is empty; null or repeated ids give a row each; an empty table gives none; other columns are ignored.
+    Long texts are read whole; with no templates, labels are the base ones and scores 0.
     """
     phrases, templates = phrases or PHRASES, TEMPLATES if templates is None else templates
     chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -150,13 +172,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op4_sql() -> str:
-    templates = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+    tokens = ", ".join(f"({i}, '{label}', {length}, '{t}', {len(own)}, {needed(len(own), THRESHOLD)})" for i, (label, length, own) in enumerate(_template_sets(TEMPLATES)) for t in own)
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
     return f"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({lower("coalesce(text, '')")}, '{word}') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{word}') AS w FROM documents
 ), phrases(p, label) AS (VALUES {phrases}),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
 trip AS (
@@ -165,12 +186,11 @@ trip AS (
   SELECT doc_id, i, label FROM trip JOIN phrases ON p = word || ' ' || w2 OR p = word || ' ' || w2 || ' ' || w3
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id
-), templates AS (
-  SELECT label, list_distinct(regexp_extract_all({lower("t")}, '{word}')) AS t FROM (VALUES {templates}) v(label, t)
-), lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all({lower("line")}, '{word}')) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+), tokens(template, label, length, token, n, o) AS (VALUES {tokens}),
+blocks AS (
+  SELECT doc_id, template, label, n, o, word, unnest([i // length, i // length - 1]) AS block FROM words JOIN tokens ON word = token
 ), hits AS (
-  SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS c FROM lines, templates WHERE len(list_intersect(b, t)) >= ceil(round({THRESHOLD} * len(t), 9))
+  SELECT doc_id, label, count(DISTINCT word) / n AS c FROM blocks WHERE block >= 0 GROUP BY doc_id, block, template, label, n, o HAVING count(DISTINCT word) >= o
 ), found AS (
   SELECT doc_id, list_distinct(list(label)) AS more, max(c) AS score FROM hits GROUP BY doc_id
 )
