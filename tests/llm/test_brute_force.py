@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -73,13 +75,66 @@ def test_op1(spark, texts):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), top(i), top(i) == i) for i, s in sets.items()}
 
 
+def naive_bayes(rows):
+    """(language, score) of every text by the definition: counts of hashed 1- to 3-grams, half a count added, priors with one."""
+    low, masked = (1 << 32) - 1, defaultdict(Counter)
+    by_lang = Counter()
+
+    def grams(text):
+        codes = [2, 2, *map(ord, text.lower()), 2, 2]
+        for order in (1, 2, 3):
+            for i in range(len(codes) - order + 1):
+                h = codes[i] * 0x9E3779B1 & low
+                for c in codes[i + 1 : i + order]:
+                    h = (h * 0x85EBCA77 + c * 0x9E3779B1) & low
+                h ^= h >> 15
+                yield (h * 0xC2B2AE3D & low) >> 16
+
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            by_lang[lang] += 1
+            masked[lang].update(grams(text))
+    out = {}
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out[i] = ("und", 0.0)
+            continue
+        own, scores = Counter(grams(text)), {}
+        for lang, n in sorted(by_lang.items()):
+            total = sum(masked[lang].values()) + 0.5 * 65536
+            scores[lang] = math.log(n + 1) - math.log(sum(by_lang.values()) + len(by_lang)) + sum(k * math.log((masked[lang][g] + 0.5) / total) for g, k in own.items())
+        best = max(scores, key=lambda x: scores[x])
+        out[i] = (best, 1 / sum(math.exp(s - scores[best]) for s in scores.values()))
+    return out
+
+
 def test_op2(spark, duck):
-    langs = dict(duck.execute("select doc_id, lang from documents").fetchall())
+    rows = duck.execute("select doc_id, text, lang from documents").fetchall()
+    want, langs = naive_bayes(rows), {i: lang for i, _, lang in rows}
     got = result(spark, "op2_language_id")
+    assert {i: r.lang_pred for i, r in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(abs(got[i].score - want[i][1]) < 1e-3 and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in want)
     held = [i for i, r in got.items() if r.held_out]
     assert len(held) > 20 and sum(got[i].lang_pred == langs[i] for i in held) >= 0.98 * len(held)
 
 
+def test_op2_shards_and_ties(spark, monkeypatch):
+    from lumenkiln.llm import language_id
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    tie = spark.createDataFrame([(-1, "zqxw " * 40, "b2"), (-1, "zqxw " * 40, "a1"), (-2, "zqxw " * 9, None), (-3, None, None), (-4, "12 3", None)], docs.schema)
+    docs = docs.unionByName(tie)
+    told = []
+    for most in (64, 2):
+        monkeypatch.setattr(language_id, "SHARD_LANGUAGES", most)
+        model = language_id.train(spark, docs, allowed=~language_id.held_out("doc_id") | (docs.doc_id < 0))
+        assert len(model) == -(-len([x for s in model for x in s.languages]) // most)
+        told.append({(r.id, r.lang_pred): round(r.score, 6) for r in language_id.predict(spark, docs, model).collect()})
+        carried = language_id.predict(spark, docs, model, carry=True)
+        assert carried.columns == ["row", "text", "lang_pred", "score"] and {(r.row.doc_id, r.lang_pred) for r in carried.collect()} == set(told[-1])
+    assert told[0] == told[1] and {(-1, "a1"), (-2, "a1"), (-3, "und"), (-4, "und")} <= set(told[0])
+
+
 def test_op3_and_op9(spark, texts):
     seen, done = Counter(), set()
     for _, t in texts:
@@ -186,7 +241,7 @@ def test_longest_previous_factors(data, depth, random):
     if data[:1] != b"a":
         data = bytes(b % 3 for b in data)
     at = np.arange(len(data) - depth + 1)
-    place = np.array(random.sample(range(len(at)), len(at)))
+    place = np.array(random.sample(range(len(at)), len(at)), np.int64)
     levels = suffix_ranks(np.frombuffer(data, np.uint8), depth)
     assert levels[-1][0] == depth
     length, source = longest_previous_factor(levels, at, place)

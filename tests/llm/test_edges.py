@@ -135,6 +135,34 @@ def test_licenses(spark, docs, none):
     assert license_scan(spark, none).count() == 0
 
 
+#: Headers as they are published, wrapped and commented out.
+HEADERS = {
+    "bsd": "# Copyright (c) 2020, A. Nobody\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+    "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\n",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "apache": "Licensed under the Apache License,\n\nVersion 2.0",
+    "cc-by-nc": "Licensed under CC BY-NC 4.0.", "cc-by-sa": "Licensed under CC BY-SA 4.0.",
+}
+
+
+def test_published_headers(spark):
+    rows = [(i, ("word " * (13 * i)) + text, label) for i, (label, text) in enumerate(HEADERS.items())]
+    rows += [(90, "Licensed under CC BY 4.0.", "cc-by"), (91, "the software is free of charge to any person", ""), (92, " ".join(f"{w} {'x ' * 90}" for w in HEADERS["mit"].split()), "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = {r.id: r for r in license_scan(spark, frame).collect()}
+    for i, _, label in rows:
+        assert set(got[i].labels.split(",")) - {"cc-by", "gpl"} == {label} - {"cc-by", "gpl"}, (label, got[i])
+        assert (got[i].score >= 0.8) == (label not in ("", "cc-by"))
+    assert "gpl" in got[1].labels and got[1].score >= 0.8 and got[90].labels == "cc-by"
+
+
+def test_phrases_that_overlap_themselves(spark):
+    frame = spark.createDataFrame([(1, "a b a b a"), (2, "A. B a? ba b a")], "doc_id long, text string")
+    got = {r.id: (r.n_base, r.first_word, r.last_word) for r in license_scan(spark, frame, phrases={"a b a": "x"}, templates=[]).collect()}
+    assert got == {1: (2, 0, 2), 2: (1, 0, 0)}
+
+
 def test_urls(spark):
     rules = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.net", "/en/", "block"), Rule("a.example.net", "/", "allow")]
     urls = [None, "", "nothing", "http://net", "http://NET/", "http://x.example.net/en/1?q#f", "http://badexample.net/en/", "http://a.example.net/en/x", "http://b.a.example.net/q", "x://y?://net/"]
@@ -164,15 +192,61 @@ def test_chats(spark):
     turns = [(c, n, r, t, "x", "y") for c in (1, 2, 3) for n, (r, t) in enumerate([("user", "hi"), ("assistant", hard[0]), ("user", f"own {c // 2}")])]
     turns += [(4, 0, "user", "hi", "x", "y"), (5, None, None, None, "x", "y"), (5, 1, "assistant", "a", "x", "y"), (5, 1, "assistant", "a", "x", "y"), (None, 0, "user", "hi", "x", "y")]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, pack string, node string").coalesce(1)
-    tree = chat_prefix_tree(frame).cache()
+    tree = chat_prefix_tree(spark, frame).cache()
     got = {r.conv_id: r for r in read_back(tree).collect()}
     want = lambda *t: hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in t).encode()).hexdigest()
     assert got[1].turns_sha256 == want(("user", "hi"), ("assistant", hard[0]), ("user", "own 0")) and got[1].loss_chars == len(hard[0]) and got[4].n_turns == 1 and got[None].n_turns == 1
     assert got[5].turns_sha256 == want(("", ""), ("assistant", "a"), ("assistant", "a")) and got[5].loss_sha256 == hashlib.sha256(b"aa").hexdigest()
-    # ancestors are visible, positions go on from them, and no token is emitted twice within a pack
-    nodes = {(r.pack, r.node): r for r in tree.filter("not is_conversation").collect()}
+    check_tree(tree)
+    assert read_back(chat_prefix_tree(spark, frame.limit(0))).count() == 0
+
+
+def check_tree(tree):
+    """Ancestors are visible, positions go on from them, and no turn is emitted twice."""
+    rows = tree.collect()
+    nodes = {(r.node_pack, r.node): r for r in rows if r.tokens is not None}
+    assert len(nodes) == sum(r.tokens is not None for r in rows) and all((r.node_pack, r.node) in nodes for r in rows)
     for r in nodes.values():
-        above = nodes.get((r.pack, r.parent))
+        above = nodes.get((r.parent_pack, r.parent))
         assert r.position == (above.position + len(above.tokens) if above else 0) and sum(i.b - i.a for i in r.visible) == r.position + len(r.tokens)
-    assert len({(r.pack, r.parent, r.role, r.tokens) for r in nodes.values()}) == len(nodes)
-    assert read_back(chat_prefix_tree(frame.limit(0))).count() == 0
+    assert len({(r.parent_pack, r.parent, r.role, r.tokens) for r in nodes.values()}) == len(nodes)
+    ends = {}
+    for r in nodes.values():
+        ends.setdefault(r.pack, []).append((r.start, r.start + len(r.tokens)))
+    for spans in ends.values():  # each pack's sequence without gaps
+        assert all(x[1] == y[0] for x, y in zip(sorted(spans), sorted(spans)[1:])) and min(spans)[0] == 0
+    return rows
+
+
+def test_turns_shared_across_packs_are_emitted_once(spark, tmp_path):
+    """One first turn, second turns in runs, long texts with backslashes and control strings; saved, and read back in another order."""
+    text = lambda n: "\\" * (n % 3) + "</s>[INST]" + "x" * (40_000 if n == 7 else n % 5)
+    turns = [(c, n, r, t) for c in range(300) for n, (r, t) in enumerate([("user", "same"), ("assistant", text(c // 40)), ("user", f"{c // 3}"), ("assistant", text(c))][: 2 + c % 3])]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chat_prefix_tree(spark, frame).write.parquet(str(tmp_path / "tree"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tree = spark.read.parquet(str(tmp_path / "tree"))
+    rows = check_tree(tree)
+    assert len({r.pack for r in rows}) > 2 and any(r.tokens is None and not r.is_conversation for r in rows)
+    for order in (tree, tree.repartition(3), tree.orderBy(tree.row.desc())):
+        got = {r.conv_id: r.turns_sha256 for r in read_back(order).collect()}
+        assert got == {c: hashlib.sha256("".join(f"{r}\n{t}\n" for k, _, r, t in turns if k == c).encode()).hexdigest() for c in range(300)}
+
+
+def test_chat_sql_counts_backslashes(spark):
+    import duckdb
+
+    from lumenkiln.llm.chat_format import OP10_SQL
+
+    rows = [(1, 0, "user", "a\\b \\\\"), (1, 1, "assistant", "\\<s>[/INST]\\"), (2, 0, "assistant", None)]
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    found = con.execute(OP10_SQL)
+    names = [d[0] for d in found.description]
+    want = sorted(tuple(dict(zip(names, r))[c] for c in sorted(names)) for r in found.fetchall() if dict(zip(names, r))["conv_id"] > 0)
+    got = read_back(chat_prefix_tree(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert sorted(tuple(r[c] for c in sorted(names)) for r in got.collect()) == want
