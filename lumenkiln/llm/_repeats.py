@@ -71,101 +71,125 @@ def _extract(reader: Reader, span: int, k: int):
 
 #: A cut: its shard (a, b), its place, whether this is its classes' first place, its bytes, and its classes (``at`` and ``n`` are windows).
 PART = "a long, b int, _key long, start int, own boolean, data binary, cls array<struct<fp:long,sh:long,at:int,n:int>>"
-_PART = pa.schema([
-    ("a", pa.int64()), ("b", pa.int32()), ("_key", pa.int64()), ("start", pa.int32()), ("own", pa.bool_()), ("data", pa.binary()),
-    ("cls", pa.list_(pa.struct([("fp", pa.int64()), ("sh", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))),
-])
 ALONE, TOGETHER, MANY = 1, 0, 2
+_CLS = ("fp", "sh", "at", "n")
+
+
+def _flat(lists: pa.Array, names: tuple[str, ...]) -> tuple[list[int], list[list]]:
+    """Offsets of a column of lists of structs, and the fields of all structs as lists."""
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    return (offsets - offsets[0]).tolist(), [values.field(n).to_pylist() for n in names]
 
 
 def _cut(cutter, span: int):
-    """Cuts of a document's wanted segments; those of fingerprints with one class as stretches."""
-
-    def stretches(segs: list[dict]) -> Iterator[tuple[int, int, list[dict]]]:
-        open_: dict[tuple, list[dict]] = {}
-        for s in sorted(segs, key=lambda s: s["start"]):
-            at = (s["own"], s["k1"], s["k2"], s["s2"] - s["s1"])
-            held = open_.get(at)
-            if held and held[-1]["start"] + held[-1]["n"] == s["start"] and len(held) < STRETCH:
+    """Cuts of a document's wanted segments; those of fingerprints with one class as stretches of neighbours with the same two places."""
+    kinds = {"a": pa.int64(), "b": pa.int32(), "_key": pa.int64(), "start": pa.int32(), "own": pa.bool_(), "data": pa.binary()}
+    cls_kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+    def stretches(segs: list[tuple]) -> Iterator[list[tuple]]:
+        open_: dict[tuple, list[tuple]] = {}
+        for s in segs:
+            if s[5] > 1:
+                yield [s]
+                continue
+            start, own, k1, s1, k2, s2 = s[0], s[1], *s[6:]
+            held = open_.get((own, k1, k2, s2 - s1))
+            if held and held[-1][0] + held[-1][2] == start and len(held) < STRETCH:
                 held.append(s)
                 continue
             if held:
                 yield held
-            open_[at] = [s]
+            open_[own, k1, k2, s2 - s1] = [s]
         yield from open_.values()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, keys = byte_columns(batch, "text"), batch.column("_key").to_pylist()
-            wanted = batch.column("segs")
+            offsets, fields = _flat(batch.column("segs"), ("start", "own", "n", "fp", "sh", "classes", "k1", "s1", "k2", "s2"))
+            segs = list(zip(*fields))
             for lo, hi in runs([len(x) for x in raw], 2 << 20):
-                rows: list[dict] = []
+                rows, cls, ends = [], [], [0]
                 for i in range(lo, hi):
-                    take, segs = cutter(raw[i]), wanted[i].as_py()
-                    for held in [*stretches([s for s in segs if s["classes"] == 1]), *([s] for s in segs if s["classes"] > 1)]:
-                        first, start, end = held[0], held[0]["start"], held[-1]["start"] + held[-1]["n"]
-                        if first["classes"] == 1:
-                            a, b = xxhash.xxh3_64_intdigest(b"%d %d %d" % (first["k1"], first["s1"], first["k2"])) - (1 << 63), ALONE
+                    take = cutter(raw[i])
+                    for held in stretches(sorted(segs[offsets[i] : offsets[i + 1]])):
+                        start, own, _, fp, _, classes, k1, s1, k2, _ = held[0]
+                        if classes == 1:
+                            a, b = xxhash.xxh3_64_intdigest(b"%d %d %d" % (k1, s1, k2)) - (1 << 63), ALONE
                         else:
-                            a, b = first["fp"], TOGETHER if first["classes"] <= SPLIT_CLASSES else MANY
-                        cls = [{"fp": s["fp"], "sh": s["sh"], "at": s["start"] - start, "n": s["n"]} for s in held]
-                        rows.append({"a": a, "b": b, "_key": keys[i], "start": start, "own": first["own"], "data": take(start, end + span - 1), "cls": cls})
+                            a, b = fp, TOGETHER if classes <= SPLIT_CLASSES else MANY
+                        rows.append((a, b, keys[i], start, own, take(start, held[-1][0] + held[-1][2] + span - 1)))
+                        cls += [(s[3], s[4], s[0] - start, s[2]) for s in held]
+                        ends.append(len(cls))
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_PART)
+                    structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*cls), cls_kinds)], list(_CLS))
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], [*kinds, "cls"])
 
     return run
 
 
 #: Windows at, ..., at + n - 1 of a class recur; they stand first at unit fstart, fstart + 1, ... of the document fkey.
 PASSAGE = "fp long, sh long, at int, n int, fkey long, fstart int, data binary"
-_PASSAGE = pa.schema([("fp", pa.int64()), ("sh", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("fkey", pa.int64()), ("fstart", pa.int32()), ("data", pa.binary())])
+_PASSAGE = {"fp": pa.int64(), "sh": pa.int64(), "at": pa.int32(), "n": pa.int32(), "fkey": pa.int64(), "fstart": pa.int32(), "data": pa.binary()}
+
 
+def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(_PASSAGE)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _PASSAGE.values())], list(_PASSAGE))
 
-def contiguous(places: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """(at, n, fkey, fstart) of maximal runs in which both the window and its first place go on by one; places are (at, fkey, fstart), sorted."""
-    i = 0
-    while i < len(places):
-        at, key, start = places[i]
-        n = 1
-        while i + n < len(places) and places[i + n] == (at + n, key, start + n):
-            n += 1
-        yield at, n, key, start
-        i += n
+
+def contiguous(on: np.ndarray, new: np.ndarray, fkey: np.ndarray, fstart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index, length) of maximal runs of ``on`` in which no item is ``new`` but the first and the first places go on by one."""
+    if not len(on):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    begins = on.copy()
+    begins[1:] &= ~on[:-1] | new[1:] | (fkey[1:] != fkey[:-1]) | (fstart[1:] != fstart[:-1] + 1)
+    at = np.flatnonzero(begins)
+    return at, np.bincount(np.cumsum(begins)[on] - 1, minlength=len(at))
 
 
 def _compare(resolve, cutter, span: int):
     """Shards of complete (a, b) through ``resolve``; the passages of each class, once."""
 
-    def flush(parts: list[dict]) -> pa.RecordBatch:
-        sizes = np.array([p["cls"][-1]["at"] + p["cls"][-1]["n"] for p in parts])
-        ends = np.cumsum(sizes)
-        key = np.repeat(np.array([p["_key"] for p in parts], np.int64), sizes)
-        place = np.arange(len(key)) - np.repeat(ends - sizes, sizes) + np.repeat(np.array([p["start"] for p in parts], np.int64), sizes)
-        recurs, first = resolve([p["data"] for p in parts], sizes, key, place)
-        fkey, fstart, recurs = key[first].tolist(), place[first].tolist(), recurs.tolist()
-        rows = []
-        for part, end, size in zip(parts, ends.tolist(), sizes.tolist()):
-            if not part["own"]:
-                continue
-            take, base = cutter(part["data"]), end - size
-            for c in part["cls"]:
-                lo = base + c["at"]
-                for at, n, k, s in contiguous([(w - lo, fkey[w], fstart[w]) for w in range(lo, lo + c["n"]) if recurs[w]]):
-                    rows.append({"fp": c["fp"], "sh": c["sh"], "at": at, "n": n, "fkey": k, "fstart": s, "data": take(c["at"] + at, c["at"] + at + n + span - 1)})
-        return pa.RecordBatch.from_pylist(rows, schema=_PASSAGE)
+    def flush(parts: list[tuple]) -> pa.RecordBatch:
+        keys, starts, own, cuts, classes = zip(*parts)
+        sizes = np.array([c[-1][2] + c[-1][3] for c in classes])
+        base = np.cumsum(sizes) - sizes
+        key = np.repeat(np.array(keys, np.int64), sizes)
+        place = np.arange(len(key)) + np.repeat(np.array(starts, np.int64) - base, sizes)
+        recurs, first = resolve(cuts, sizes, key, place)
+        flat = [(p, c) for p, (mine, cls) in enumerate(zip(own, classes)) if mine for c in cls]
+        class_at = np.array([base[p] + c[2] for p, c in flat], np.int64)
+        new = np.zeros(len(key), bool)
+        new[class_at] = True
+        fkey, fstart = key[first], place[first]
+        at, length = contiguous(recurs & np.repeat(np.array(own), sizes), new, fkey, fstart)
+        rows, part, take = [], -1, None
+        of_class = np.searchsorted(class_at, at, side="right") - 1
+        for w, n, k, s, c in zip(at.tolist(), length.tolist(), fkey[at].tolist(), fstart[at].tolist(), of_class.tolist()):
+            p, (fp, sh, _, _) = flat[c]
+            if p != part:
+                part, take = p, cutter(cuts[p])
+            a = w - int(base[p])
+            rows.append((fp, sh, w - int(class_at[c]), n, k, s, take(a, a + n + span - 1)))
+        return _passage_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple] = []
         units, last = 0, None
         for batch in batches:
-            for part in batch.to_pylist():
-                at = (part["a"], part["b"])
-                if at != last and units >= SHARD_UNITS:
+            offsets, fields = _flat(batch.column("cls"), _CLS)
+            cls = list(zip(*fields))
+            columns = [batch.column(c).to_pylist() for c in ("a", "b", "_key", "start", "own", "data")]
+            for i, (a, b, *part) in enumerate(zip(*columns)):
+                if (a, b) != last and units >= SHARD_UNITS:
                     yield flush(held)
                     held, units = [], 0
-                held.append(part)
-                units += part["cls"][-1]["at"] + part["cls"][-1]["n"] + span
-                last = at
+                own = cls[offsets[i] : offsets[i + 1]]
+                held.append((*part, own))
+                units += own[-1][2] + own[-1][3] + span
+                last = (a, b)
         if held:
             yield flush(held)
 
@@ -181,7 +205,7 @@ def _windows(cutter, span: int):
         for batch in batches:
             rows = []
             for part in batch.to_pylist():
-                take, (c,) = cutter(part["data"]), part["cls"]
+                take, (c,) = cutter(part["data"]), part["cls"]  # a cut of its own has one class
                 rows += [(take(j, j + span), part["_key"], part["start"] + j, part["own"], c["fp"], c["sh"], j) for j in range(c["n"])]
                 if len(rows) > 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
@@ -198,11 +222,14 @@ def _gathered(cutter, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                take = cutter(r["data"])
-                for at, n, k, s in contiguous(sorted((w["at"], w["fkey"], w["fstart"]) for w in r["windows"])):
-                    rows.append({"fp": r["fp"], "sh": r["sh"], "at": at, "n": n, "fkey": k, "fstart": s, "data": take(at, at + n + span - 1)})
-            yield pa.RecordBatch.from_pylist(rows, schema=_PASSAGE)
+            for fp, sh, data, windows in zip(*(batch.column(c).to_pylist() for c in ("fp", "sh", "data", "windows"))):
+                take = cutter(data)
+                at, key, start = (np.array(x, np.int64) for x in zip(*sorted((w["at"], w["fkey"], w["fstart"]) for w in windows)))
+                apart = np.concatenate(([True], at[1:] != at[:-1] + 1))
+                for w, n in zip(*(x.tolist() for x in contiguous(np.ones(len(at), bool), apart, key, start))):
+                    a = int(at[w])
+                    rows.append((fp, sh, a, n, int(key[w]), int(start[w]), take(a, a + n + span - 1)))
+            yield _passage_batch(rows)
 
     return run
 
@@ -216,13 +243,14 @@ def passages(spark: SparkSession, docs: DataFrame, *, reader: Reader, cutter, re
     segs = durable(spark, docs.mapInArrow(_extract(reader, span, k), "_key long, start int, n int, fp long, sh long"), "segments")
     # written, so that the join below deals out both sides itself and a skewed fingerprint can be split
     recurring = durable(spark, segs.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "recurring")
-    instances = durable(spark, segs.join(recurring, "fp").select(*segs.columns), "instances")
+    # what recurs is hashed instead of sorting all segments; a partition's share of it is small
+    instances = durable(spark, segs.join(recurring.hint("shuffle_hash"), "fp").select(*segs.columns), "instances")
     discard(segs, recurring)
     place = F.struct("_key", "start")
     classes = instances.groupBy("fp", "sh").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("one"), F.max(place).alias("last"), F.min("n").alias("n"))
     classes = durable(spark, classes, "classes")
     several = classes.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("classes"))
-    wanted = classes.join(durable(spark, several, "several"), "fp").filter("members > 1 or classes > 1")
+    wanted = classes.join(several, "fp").filter("members > 1 or classes > 1")
     ends = F.when(F.col("members") > 1, F.array(F.struct("one.*", F.lit(True).alias("own")), F.struct("last.*", F.lit(False).alias("own")))).otherwise(F.array(F.struct("one.*", F.lit(True).alias("own"))))
     segs_of = (
         wanted.select("fp", "sh", "n", "classes", F.col("one._key").alias("k1"), F.col("one.start").alias("s1"), F.col("last._key").alias("k2"), F.col("last.start").alias("s2"), F.explode(ends).alias("end"))
@@ -259,8 +287,7 @@ def in_chunks(spark: SparkSession, base: DataFrame, instances: DataFrame, found:
         held = instances.groupBy(chunk, "fp", "sh").agg(F.collect_list(F.struct("_key", "start")).alias("places"))
     else:
         held = instances.select(chunk, "fp", "sh").distinct()
-    # written, so that both sides of the join are dealt out by it and a class held by very many chunks can be split
-    dealt = durable(spark, durable(spark, held, "held").join(found, ["fp", "sh"]).drop("fp", "sh"), "dealt")
+    dealt = held.join(found, ["fp", "sh"]).drop("fp", "sh")
     return base.withColumn("chunk", chunk).groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInArrow(lambda left, right: work(left.drop_columns("chunk"), right), schema)
 
 

@@ -54,28 +54,36 @@ def _resolve(span: int):
 
 
 class Automaton:
-    """An Aho-Corasick automaton over passages, stepping by words: a word is one code point."""
+    """An Aho-Corasick automaton over passages, stepping by words.
+
+    A word is two code points, of two alphabets, so no match begins inside a word; a node's children are
+    searched one by one, and a word as one code point would give the root as many children as there are first words.
+    """
+
+    _BASE, _HIGH = 256, 0x1000
+    _UNKNOWN = "\x01\x01"
 
     def __init__(self, found: list[tuple[bytes, tuple[int, int]]]):
         self._codes: dict[bytes, str] = {}
         self._automaton = ahocorasick.Automaton()
+        code = self._code
         for data, first in found:
-            phrase = "".join([self._code(w) for w in data.split(b" ")])
-            self._automaton.add_word(phrase, (len(phrase), first))
+            words = data.split(b" ")
+            self._automaton.add_word("".join([code(w) for w in words]), (len(words), first))
         self._automaton.make_automaton()
 
     def _code(self, word: bytes) -> str:
         code = self._codes.get(word)
         if code is None:
-            n = len(self._codes) + 2  # code 1 stands for any word that no passage has
-            code = self._codes[word] = chr(n if n < 0xD800 else n + 0x800)  # past the surrogates
+            n = len(self._codes)
+            code = self._codes[word] = chr(self._HIGH + n // self._BASE) + chr(2 + n % self._BASE)
         return code
 
     def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[int, int]]]:
         """(first word, words, first place) of every passage in the text."""
-        get = self._codes.get
-        for end, (size, first) in self._automaton.iter("".join([get(w, "\x01") for w in words])):
-            yield end - size + 1, size, first
+        get, unknown = self._codes.get, self._UNKNOWN
+        for end, (size, first) in self._automaton.iter("".join([get(w, unknown) for w in words])):
+            yield end // 2 - size + 1, size, first
 
 
 def _shards(found: pa.Table) -> Iterator[list[tuple[bytes, tuple[int, int]]]]:
