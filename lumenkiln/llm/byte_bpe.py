@@ -7,7 +7,7 @@ the token that ends the prefix, and reading one byte more decides it for the
 longer prefix.  The transducer's state holds the hypotheses still open: for
 every earlier boundary from which a token can still be growing, the trie node
 reached and the tokens up to that boundary.  What all hypotheses agree on is
-emitted and leaves the state.  A token's length bounds how many hypotheses
+emitted and leaves the state, as soon as there are more than a few tokens.  A token's length bounds how many hypotheses
 are open, and so the lookahead.  States and transitions are built when first
 met and shared by all later pieces; past a fixed number the tables start anew
 from the state at hand, even within a piece.
@@ -19,6 +19,7 @@ code points are complete.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from pathlib import Path
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 from ._common import annotated, table
 
 #: Entries kept of the memos of pieces and of pairs before either starts anew.
-MEMO_PIECES = 250_000
-MEMO_PAIRS = 400_000
+MEMO_PIECES = 50_000
+MEMO_PAIRS = 150_000
 #: Transitions that are kept; past these, the tables start anew from the state at hand.
-MAX_TRANSITIONS = 60_000
+MAX_TRANSITIONS = 30_000
+#: Tokens of a chain from which on what all hypotheses agree on is looked for and emitted.
+HELD = 6
 _ROOT = 0
 #: The open hypotheses right after a token that nothing can grow over.
 _FRESH = ((_ROOT, ()),)
@@ -138,7 +141,7 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, open_ = self._states[state]
-        get, token_at, settled, inner, grown, done = self._children.get, self._token_at, self._settled, self._inner, [], None
+        get, token_at, settled, inner, grown, done = self._children.get, self._token_at, self._settled.get, self._inner, [], None
         for node, chain in open_:
             node = get(node << 8 | byte)
             if node is None:
@@ -147,10 +150,8 @@ class Transducer:
                 token = token_at[node]
                 if token >= 0:
                     before = chain[-1] if chain else last
-                    fits = settled.get(before << 20 | token)
-                    if fits is None:
-                        fits = self._is_settled(before, token)
-                    if fits:
+                    fits = settled(before << 20 | token)
+                    if fits or fits is None and self._is_settled(before, token):
                         done = (*chain, token)
             if node in inner:  # else no longer token can come of it
                 grown.append((node, chain))
@@ -158,22 +159,24 @@ class Transducer:
             raise ValueError("the ranks lack a single byte")
         if not grown:
             return self._id((done[-1], _FRESH)), done
-        head = done[0]
-        for _, chain in grown:
-            if not chain or chain[0] != head:  # nothing is common to all
-                grown.append((_ROOT, done))
-                return self._id((last, tuple(grown))), ()
-        common = min(len(done), *[len(c) for _, c in grown])
+        grown.append((_ROOT, done))
+        if len(done) <= HELD:
+            if last < 0:  # nothing has left it, so it spells its prefix and is like no other
+                self._states.append((last, grown))
+                return len(self._states) - 1, ()
+            return self._id((last, tuple(grown))), ()
+        common = min([len(c) for _, c in grown])
         for _, chain in grown:
             while chain[:common] != done[:common]:
                 common -= 1
-        emitted = done[:common]
-        grown.append((_ROOT, done))
-        return self._id((emitted[-1], tuple([(n, c[common:]) for n, c in grown]))), emitted
+        if not common:
+            return self._id((last, tuple(grown))), ()
+        return self._id((done[common - 1], tuple([(n, c[common:]) for n, c in grown]))), done[:common]
 
     def _restart(self, state: int) -> int:
         """Empties the tables; the new number of the state that is being read from."""
-        kept = self._states[state]
+        last, open_ = self._states[state]
+        kept = (last, tuple(open_))
         self._states.clear()
         self._ids.clear()
         self._steps.clear()
@@ -277,10 +280,22 @@ def encode_decode(docs: DataFrame, *, rank_path: str, pattern: str, id_col: str
 
     Returns id (with carry the input as ``row`` and ``text``), n_tokens, ids (array, with keep_ids),
     ids_sha256 (of little-endian uint32) and decoded_sha256 (of the decoded UTF-8 bytes).
-    Null and empty texts have no tokens; equal texts get equal results; an empty table gives no rows.
+    Null and empty texts have no tokens; equal texts get equal results; null or repeated ids give a row each; an empty table gives no rows; other
+    columns are ignored or, with carry, kept in ``row`` whatever their names.  A long text is split into pieces at once, and a long piece is
+    read byte by byte with its ids, which are decoded in portions.
     """
 
     def work(texts: list[bytes | None]):
+        # the tables are made of tuples and never in cycles: the collector would go through all of them again and again
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encoded(texts: list[bytes | None]):
         encoder = _encoder(rank_path, pattern)
         counts, ids, id_hashes, hashes = [], [], [], []
         for packed in encoder.encode([(raw or b"").decode("utf-8", "replace") for raw in texts]):
