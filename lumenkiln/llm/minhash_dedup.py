@@ -5,7 +5,8 @@ cost no pairs.  Classes meet in banded buckets.  A bucket of n classes first giv
 all with its smallest member.  Similar documents may both be unlike that hub; so in buckets whose
 members are not in one component afterwards, the pairs across components are compared too, as only
 these can still change a component.  There a bitmap of each set bounds the intersection from
-above, and pairs that the bound rules out are never emitted.  Candidates are confirmed on the full sets.
+above, and pairs that the bound rules out are never emitted; large buckets are compared in parts, by
+the codes of which similar members share one.  Candidates are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import durable, keyed, others, table
+from ._common import durable, keyed, others, runs, table
 from ._components import components
 from ._repeats import byte_columns
 from ._winnow import mix64
@@ -28,8 +29,10 @@ from ._winnow import mix64
 BANDS, ROWS = 24, 5
 _BINS = BANDS * ROWS
 _EDGES = np.array([(i << 64) // _BINS for i in range(_BINS)], np.uint64)
-#: Pairs confirmed in one deal, about, and document keys (8 bytes each) that may be broadcast.
-BLOCK_PAIRS, MAX_BROADCAST_KEYS = 5000, 1_000_000
+#: Codes (8 bytes each) of a block of sets in a deal, about, and document keys (8 bytes each) that may be broadcast.
+BLOCK_CODES, MAX_BROADCAST_KEYS = 1_000_000, 1_000_000
+#: Members from which a bucket with several components is compared in parts.
+PART_MEMBERS = 256
 #: 64-bit words of a bitmap, and codes that it holds at most; larger sets are thinned by powers of two.
 WORDS, HELD = 32, 256
 #: Standard deviations by which a thinned set's similarity may fall short before a pair is ruled out.
@@ -144,28 +147,29 @@ def _features(size: int):
     return run
 
 
-def _confirm(size: int, percent: int):
-    """Rows of a group: the texts of its documents first (b null), then its pairs; yields the pairs that hold."""
-
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, texts, sets = None, {}, {}
+        for batch in batches:
+            sets = [shingles(raw, size).tobytes() for raw in byte_columns(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["_key", "n", "codes"])
+
+    return run
+
 
-        def codes(key: int) -> np.ndarray:
-            found = sets.get(key)
-            if found is None:
-                found = sets[key] = shingles(texts.pop(key), size)
-            return found
+def _confirm(percent: int):
+    """Rows of a deal: the sets of its documents first (b null), then its pairs; yields the pairs that hold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal, sets = None, {}
         for batch in batches:
-            names = ("group", "i", "j", "a", "b")
             links = []
-            for *at, a, b, text in zip(*(batch.column(c).to_pylist() for c in names), byte_columns(batch, "text")):
-                if at != group:
-                    group, texts, sets = at, {}, {}
+            for *at, a, b, codes in zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "a", "b", "codes"))):
+                if at != deal:
+                    deal, sets = at, {}
                 if b is None:
-                    texts[a] = text
+                    sets[a] = np.frombuffer(codes, np.uint64)
                     continue
-                x, y = codes(a), codes(b)
+                x, y = sets[a], sets[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     links.append((a, b))
@@ -174,6 +178,34 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _each_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in ("bucket", "rep", "n")]
+        raw = byte_columns(batch, "codes")
+        for lo, hi in runs([len(x) for x in raw], 4 << 20):
+            codes = [np.frombuffer(x, np.int64) for x in raw[lo:hi]]
+            times = [len(c) for c in codes]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c[lo:hi], times)) for c in columns), pa.array(np.concatenate(codes))], ["bucket", "rep", "n", "code"])
+
+
+def _prefixes(percent: int):
+    """Members of a large bucket by the codes of which a similar member must share one: those rarest in the bucket.
+
+    Two sets with 100 * both >= percent * either have at least ceil(percent * n / 100) codes in common, so in one order
+    of all codes they share one of the first n - ceil(percent * n / 100) + 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for bucket, rep, n, ranked in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rep", "n", "ranked"))):
+                first = sorted((r["holders"], r["code"]) for r in ranked)[: n - -(-percent * n // 100) + 1]
+                rows += [(bucket, rep, code) for _, code in first]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], ["bucket", "rep", "part"])
+
+    return run
+
+
 def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Groups of documents with 100 * intersection >= percent * union of their shingle sets.
 
@@ -193,10 +225,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     members = durable(spark, members.join(sizes, "bucket"), "met")
     length = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
 
-    held = _texts_of(spark, texts, durable(spark, members.select(F.col("rep").alias("_key")).distinct(), "keys"))
+    sets = _sets_of(spark, texts, durable(spark, members.select(F.col("rep").alias("_key")).distinct(), "keys"), shingle_words)
     stars = members.filter("rep <> hub.rep").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), "n", F.col("hub.n").alias("nb"))
     stars = durable(spark, stars.filter(length).select(F.col("b").alias("group"), "a", "b").distinct(), "pairs")
-    labels = components(spark, _confirmed(spark, stars, held, shingle_words, percent))
+    labels = components(spark, _confirmed(spark, stars, sets, percent))
 
     # buckets whose members are in several components
     open_ = members.filter("size > 2").select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -204,14 +236,15 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     several = by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
     open_ = open_.join(durable(spark, several.select("bucket", F.col("most.label").alias("largest")), "several"), "bucket")
+    open_ = _parted(spark, durable(spark, open_, "unparted"), sets, percent)
     open_ = durable(spark, open_.join(firsts.select("rep", "n", "sketch"), "rep"), "open")
-    outside = open_.filter("label <> largest").select("bucket", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb"), "sketch")
+    outside = open_.filter("label <> largest").select("bucket", "part", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb"), "sketch")
     # each pair across components once: the one outside the bucket's largest component, or the larger of two such
     across = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("rep") < F.col("h"))) & length & ~(F.col("x_next") & F.col("y_next"))
-    x, y = _with_bitmaps(open_, "x"), _with_bitmaps(outside, "y").withColumnsRenamed({"bucket": "yb", "level": "yl"})
-    met = x.join(y, (F.col("bucket") == F.col("yb")) & (F.col("level") == F.col("yl")) & across & _may_be_similar(percent))
+    x, y = _with_bitmaps(open_, "x"), _with_bitmaps(outside, "y").withColumnsRenamed({"bucket": "yb", "part": "yp", "level": "yl"})
+    met = x.join(y, (F.col("bucket") == F.col("yb")) & (F.col("part") == F.col("yp")) & (F.col("level") == F.col("yl")) & across & _may_be_similar(percent))
     pairs = met.groupBy(F.greatest("rep", "h").alias("a"), F.least("rep", "h").alias("b")).agg(F.min("largest").alias("group")).join(stars.drop("group"), ["a", "b"], "left_anti")
-    labels = _joined(spark, labels, _confirmed(spark, durable(spark, pairs.select("group", "a", "b"), "pairs"), held, shingle_words, percent))
+    labels = _joined(spark, labels, _confirmed(spark, durable(spark, pairs.select("group", "a", "b"), "pairs"), sets, percent))
 
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component"))
     out = features.select("_key", "n_shingles", "class").join(durable(spark, classes, "components"), "class", "left")
@@ -226,26 +259,48 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     return out.select(*(["row", "text"] if carry else ["id"]), "n_shingles", "component_id", (F.col("_key") == F.col("component")).alias("kept"))
 
 
-def _confirmed(spark: SparkSession, pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+def _parted(spark: SparkSession, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of open buckets (bucket, rep, ...) with the part of the bucket in which they are compared.
+
+    A small bucket is one part.  A large one is parted by codes: a member stands in the parts of the codes that a
+    similar member must share one of, rarest first (`_prefixes`), so all pairs that can hold still meet.
+    """
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"))
+    rows = open_.join(sizes, "bucket")
+    large = durable(spark, rows.filter(F.col("all") > PART_MEMBERS).select("bucket", "rep"), "large")
+    held = large.join(sets.withColumnRenamed("_key", "rep"), "rep").select("bucket", "rep", "n", "codes").mapInArrow(_each_code, "bucket long, rep long, n long, code long")
+    held = durable(spark, held, "codes")
+    counted = held.join(held.groupBy("bucket", "code").agg(F.count(F.lit(1)).alias("holders")), ["bucket", "code"])
+    ranked = counted.groupBy("bucket", "rep", "n").agg(F.collect_list(F.struct("holders", "code")).alias("ranked"))
+    parts = ranked.mapInArrow(_prefixes(percent), "bucket long, rep long, part long")
+    small = rows.filter(F.col("all") <= PART_MEMBERS).drop("all").withColumn("part", F.lit(0).cast("long"))
+    return small.unionByName(rows.drop("all").join(parts, ["bucket", "rep"]))
+
+
+def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (group, a, b) that hold on full sets.
 
-    A group's pairs are dealt out by blocks of a and blocks of b, about BLOCK_PAIRS to a deal, so a
-    text travels once for each deal that needs it and not for each pair.
+    A group's pairs are dealt out by blocks of a and blocks of b, of about BLOCK_CODES codes each, so a deal holds two blocks'
+    sets whatever the number of its pairs, and a set travels once for each deal that needs it and not for each pair.
     """
-    sizes = pairs.groupBy("group").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / BLOCK_PAIRS)).alias("blocks"))
-    dealt = pairs.join(sizes, "group").select("group", F.pmod(F.xxhash64("a"), "blocks").alias("i"), F.pmod(F.xxhash64("b"), "blocks").alias("j"), "a", "b")
+    def blocks(side: str) -> DataFrame:
+        members = pairs.select("group", F.col(side).alias("_key")).distinct().join(sets.select("_key", "n"), "_key")
+        return members.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_CODES).alias(f"blocks_{side}"))
+
+    dealt = pairs.join(blocks("a"), "group").join(blocks("b"), "group").select("group", F.pmod(F.xxhash64("a"), "blocks_a").alias("i"), F.pmod(F.xxhash64("b"), "blocks_b").alias("j"), "a", "b")
     dealt = durable(spark, dealt, "dealt")
     needs = dealt.select("group", "i", "j", F.explode(F.array("a", "b")).alias("_key")).distinct()
-    rows = needs.join(held, "_key").select("group", "i", "j", F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = rows.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
+    rows = needs.join(sets, "_key").select("group", "i", "j", F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), "codes")
+    rows = rows.unionByName(dealt.withColumn("codes", F.lit(None).cast("binary")))
     rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", F.col("b").asc_nulls_first())
-    return durable(spark, rows.mapInArrow(_confirm(size, percent), "a long, b long"), "confirmed")
+    return durable(spark, rows.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
-def _texts_of(spark: SparkSession, texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The texts of some documents, written once; the keys are broadcast if they are few enough, else both sides are dealt out."""
+def _sets_of(spark: SparkSession, texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """The shingle sets (_key, n, codes) of some documents, written once; the keys are broadcast if they are few enough, else both sides are dealt out."""
     few = keys.count() <= MAX_BROADCAST_KEYS
-    return durable(spark, texts.join(F.broadcast(keys) if few else keys, "_key", "left_semi"), "texts")
+    chosen = texts.join(F.broadcast(keys) if few else keys, "_key", "left_semi")
+    return durable(spark, chosen.mapInArrow(_sets(size), "_key long, n long, codes binary"), "sets")
 
 
 def _joined(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
