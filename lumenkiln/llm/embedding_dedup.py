@@ -2,7 +2,7 @@
 
 Vectors that are equal are one class from the start.  A rotation learned on a bounded sample gives balanced binary
 codes; the tables index disjoint substrings of the codes of *all* classes.  A pair is a candidate if a
-substring differs in at most one bit and the whole codes in no more bits than pairs at the threshold
+substring differs in at most one bit and the first 128 bits of the codes in no more than pairs at the threshold
 do, and is a link if the cosine of the original vectors in double precision says so.  How pairs at the
 threshold differ is measured on the sample: codes are of centred vectors, and centring widens angles.
 """
@@ -30,6 +30,15 @@ PAIRS, PAIR_BITS = 5_000, 256
 MISS = 0.002
 
 
+#: Bits of a code that travel with a probe, as two words: enough to tell pairs that can't be links from those that may.
+SKETCH = 128
+
+
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which is exact, so that squares neither overflow nor vanish."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def itq(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection): principal directions rotated so that the signs lose least."""
     mean = sample.mean(axis=0)
@@ -89,13 +98,13 @@ def _coder(shared, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, projections, bits, tables = shared.value
         for batch in batches:
-            rows = np.array(batch.column("v").to_pylist(), np.float64).reshape(-1, dims)
+            rows = scaled(np.array(batch.column("v").to_pylist(), np.float64).reshape(-1, dims))
             unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
             signs = np.concatenate([(unit - m) @ p >= 0 for m, p in zip(mean, projections)], axis=1)[:, : bits * tables]
             keys = signs.reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
-            packed = np.pad(signs, ((0, 0), (0, -signs.shape[1] % 64)))
-            words = np.ascontiguousarray(np.packbits(packed, axis=1)).view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(words), pa.list_(pa.int64()))], ["rep", "keys", "code"])
+            sketch = np.pad(signs[:, :SKETCH], ((0, 0), (0, max(0, SKETCH - signs.shape[1]))))
+            words = np.ascontiguousarray(np.packbits(sketch, axis=1)).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(list(keys), pa.list_(pa.int64())), pa.array(words[:, 0]), pa.array(words[:, 1])], ["rep", "keys", "s0", "s1"])
 
     return run
 
@@ -104,7 +113,7 @@ def _reranker(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.array(batch.column(c).to_pylist(), np.float64) for c in ("va", "vb"))
+                x, y = (scaled(np.array(batch.column(c).to_pylist(), np.float64)) for c in ("va", "vb"))
                 cos = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
                 batch = batch.filter(pa.array(cos >= cosine))
             yield batch.select(["a", "b"])
@@ -146,23 +155,23 @@ def _links(spark: SparkSession, classes: DataFrame, dims: int, rows: int, cosine
     share = min(1.0, sample / rows)
     learned = usable.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20)).select("v").toPandas()["v"]
     learned = np.array(learned.tolist(), np.float64).reshape(-1, dims) if len(learned) else np.eye(dims)
+    learned = scaled(learned)
     learned /= np.linalg.norm(learned, axis=1, keepdims=True)
     fits = [itq(learned, dims, seed) for seed in range(max(1, -(-PAIR_BITS // dims)))]
     flips = at_threshold(learned, cosine, fits)
     bits, tables = plan(rows, dims, cosine, flips)
     fits = fits[: -(-bits * tables // dims)] + [itq(learned, dims, seed) for seed in range(len(fits), -(-bits * tables // dims))]
     shared = spark.sparkContext.broadcast(([m for m, _ in fits], [p for _, p in fits], bits, tables))
-    flip, total = max(math.acos(cosine) / math.pi, flips.max()), bits * tables
+    flip, total = max(math.acos(cosine) / math.pi, flips.max()), min(SKETCH, bits * tables)
     # even the pair at the threshold that differs most, give or take; bits of one code lean on each other a little
     most = math.ceil(total * flip + 6 * math.sqrt(total * flip * (1 - flip)))
 
-    codes = durable(spark, usable.mapInArrow(_coder(shared, dims), "rep long, keys array<long>, code array<long>"), "codes")
-    keyed_ = codes.select("rep", "code", F.posexplode("keys").alias("t", "key"))
+    codes = durable(spark, usable.mapInArrow(_coder(shared, dims), "rep long, keys array<long>, s0 long, s1 long"), "codes")
+    keyed_ = codes.select("rep", "s0", "s1", F.posexplode("keys").alias("t", "key"))
     probes = F.concat(F.array("key"), F.array(*[F.col("key").bitwiseXOR(F.lit(1 << i)) for i in range(bits)]))
-    left = keyed_.select(F.col("rep").alias("a"), F.col("code").alias("ca"), "t", F.explode(probes).alias("key"))
-    right = keyed_.select(F.col("rep").alias("b"), F.col("code").alias("cb"), "t", "key")
-    words = -(-total // 64)
-    apart = sum((F.bit_count(F.col("ca")[i].bitwiseXOR(F.col("cb")[i])) for i in range(words)), F.lit(0))
+    left = keyed_.select(F.col("rep").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"), "t", F.explode(probes).alias("key"))
+    right = keyed_.select(F.col("rep").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"), "t", "key")
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     pairs = left.join(right, ["t", "key"]).filter((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b").distinct()
     pairs = pairs.join(usable.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(usable.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
     return durable(spark, pairs.select("a", "b", "va", "vb").mapInArrow(_reranker(cosine), "a long, b long"), "links")
