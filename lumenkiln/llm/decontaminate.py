@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import NORMAL, annotated, keyed, others, table
+from ._common import NORMAL, annotated, durable, keyed, others, table
 
 #: Item words in one automaton (about 400 bytes each); larger benchmarks take several scans.
 MAX_ITEM_WORDS = 400_000
+_PATTERN = r"[a-z\x80-\x{10FFFF}A-Z0-9]+"
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BUILT: dict[str, tuple] = {}
 
@@ -98,15 +99,23 @@ def decontaminate(
     Words are runs of non-ASCII characters, letters and digits, A-Z lowered.  Returns id (with carry the input as ``row`` and ``text``),
     n_words, n_hit (words inside any occurrence), items (ids as strings, sorted as strings) and
     spans (byte ranges of the original text).  A null text has no words; null or wordless items
-    have no windows; a null item id counts as the empty string; repeated rows get equal results, empty tables no rows;
+    have no windows, very long ones are cut into pieces that overlap by a window; a null item id counts as the empty string; repeated rows get equal results, empty tables no rows;
     other columns don't matter.  hits are the word ranges.  The items are broadcast; a benchmark of over
     max_item_words words is split by item, scanned in as many passes and put together by row.
     """
     ranges = "array<struct<a:int,b:int>>"
     ddl = f"n_words long, n_hit long, items array<string>, spans {ranges}, hits {ranges}"
     chosen = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    words = chosen.agg(F.sum(F.regexp_count("text", F.lit("[a-z\\x80-\\x{10FFFF}A-Z0-9]+")))).first()[0] or 0
+    size = F.coalesce(F.regexp_count("text", F.lit(_PATTERN)), F.lit(0))
+    words = chosen.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-words // max_item_words))
+    if shards > 1:
+        step = max(1, max_item_words // 4)
+        pieces = F.when(size <= step + window, F.array("text")).otherwise(F.transform(
+            F.sequence(F.lit(0), F.floor((size - window) / step).cast("int")),
+            lambda i: F.array_join(F.slice(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0)), i * step + 1, F.lit(step + window - 1)), " "),
+        ))
+        chosen = chosen.select("item", F.explode(pieces).alias("text"))
 
     def scan(over: DataFrame, key: str, text: str, shard: int, keep: bool) -> DataFrame:
         items = chosen.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard)
@@ -118,7 +127,7 @@ def decontaminate(
     kept = others(docs, text_col) if carry else F.col(id_col).alias("id")
     base = docs.select(kept, F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     base = keyed(spark, base, "_id", "text", base.columns[0])
-    each = [scan(base, "_key", "text", i, False) for i in range(shards)]
+    each = [durable(spark, scan(base, "_key", "text", i, False), "scan") for i in range(shards)]
     both = reduce(DataFrame.unionByName, each).groupBy("id").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         *[F.array_sort(F.flatten(F.collect_list(c)), lambda x, y: x["b"] - y["b"]).alias(c) for c in ("spans", "hits")],
