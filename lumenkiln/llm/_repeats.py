@@ -36,7 +36,7 @@ from ._common import discard, durable, runs
 #: Classes of one fingerprint from which its windows are grouped by content.
 SPLIT_CLASSES = 48
 #: Units of a shard's cuts resolved at once; a shard is never divided.
-SHARD_UNITS = 250_000
+SHARD_UNITS = 60_000
 #: Classes in one stretch at most.
 STRETCH = 16
 #: Bytes of text and documents of a chunk, about; a longer document is a chunk by itself or nearly so.

@@ -15,11 +15,22 @@ from ._repeats import byte_columns, covered, in_chunks, passages
 _CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _dense(x: np.ndarray) -> np.ndarray:
-    """Order-preserving codes 0, 1, ... of the distinct values."""
-    order = np.argsort(x)
-    ordered = x[order]
-    code = np.empty(len(x), np.uint64)
+#: Bits of a position or a rank in a packed sort key; longer data are sorted without packing.
+_BITS = 19
+
+
+def _order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices in the order of their keys (below 2 ** (64 - _BITS)), and the sorted keys; one sort of packed words where it fits."""
+    if len(key) >> _BITS:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    packed = np.sort((key << np.uint64(_BITS)) | np.arange(len(key), dtype=np.uint64))
+    return (packed & np.uint64((1 << _BITS) - 1)).astype(np.int64), packed >> np.uint64(_BITS)
+
+
+def _dense(order: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Order-preserving codes 0, 1, ... of the distinct values, from the sorted order."""
+    code = np.empty(len(order), np.uint64)
     code[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
     return code
 
@@ -36,10 +47,14 @@ def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
         rank = (rank[:-have] << np.uint64(8 * have)) | rank[have:]
         have *= 2
         levels.append((have, rank))
-    rank = _dense(rank)
+    order = np.argsort(rank)
+    rank = _dense(order, rank[order])
+    levels[-1] = (have, rank)
+    width = np.uint64(_BITS if not len(rank) >> _BITS else 32)
     while have < depth:
         step = min(have, depth - have)
-        rank = _dense((rank[:-step] << np.uint64(32)) | rank[step:])
+        pair = (rank[:-step] << width) | rank[step:]
+        rank = _dense(*_order(pair))
         have += step
         levels.append((have, rank))
     return levels
@@ -83,17 +98,24 @@ def _nearest_smaller(x: np.ndarray) -> np.ndarray:
 def longest_previous_factor(levels: list[tuple[int, np.ndarray]], at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Longest previous factors of the suffixes at positions ``at``, and the indices of the suffixes they are found at (-1: none).
 
-    ``place`` says what is previous: distinct numbers in the order of texts.  In suffix order the longest match with
+    ``place`` says what is previous: a permutation of 0 to n - 1, in the order of texts.  In suffix order the longest match with
     an earlier place is at the previous or at the next smaller place, as all between them are later; both are looked at and
     the longer one counts.  Lengths are cut at the depth of the last level.
     """
-    order = np.lexsort((place, levels[-1][1][at]))
+    n = len(at)
+    here = np.empty(n, np.int64)
+    here[place] = np.arange(n)
+    rank = levels[-1][1][at]
+    if n >> _BITS:
+        order = np.lexsort((place, rank))
+    else:
+        order = here[(np.sort((rank << np.uint64(_BITS)) | place.astype(np.uint64)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)]
     ordered = place[order]
     before, after = _nearest_smaller(ordered), _nearest_smaller(ordered[::-1])[::-1]
-    after = np.where(after >= 0, len(ordered) - 1 - after, -1)
-    best, source = np.zeros(len(at), np.int64), np.full(len(at), -1)
+    after = np.where(after >= 0, n - 1 - after, -1)
+    best, source = np.zeros(n, np.int64), np.full(n, -1)
     for near in (before, after):
-        has = np.flatnonzero(near >= 0)
+        has = np.flatnonzero((near >= 0) & (best[order] < levels[-1][0]))  # none is longer than the depth
         mine, other = order[has], order[near[has]]
         length = common_prefix(levels, at[mine], at[other])
         longer = length > best[mine]
