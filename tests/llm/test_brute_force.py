@@ -108,6 +108,24 @@ def naive_bayes(rows):
     return out
 
 
+def test_op1_in_parts_and_small_deals(spark, monkeypatch):
+    """Buckets compared in parts and deals of a few sets give the same groups."""
+    from lumenkiln.llm import minhash_dedup
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    shared = " ".join(f"s{i}" for i in range(400))
+    words = shared.split()
+    # one hub that many are unlike, chains of like ones beside it, and words that all share
+    more = [(1000 + i, " ".join([*words[:300], *(f"g{i // 4}x{k}" for k in range(60)), *(f"t{i}x{k}" for k in range(4))])) for i in range(80)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    told = []
+    for members, codes in ((256, 1_000_000), (2, 700)):
+        monkeypatch.setattr(minhash_dedup, "PART_MEMBERS", members)
+        monkeypatch.setattr(minhash_dedup, "BLOCK_CODES", codes)
+        told.append({(r.id, r.component_id) for r in minhash_dedup.minhash_dedup(spark, docs, percent=90).collect()})
+    assert told[0] == told[1] and len({c for i, c in told[0] if i >= 1000}) == 20
+
+
 def test_op2(spark, duck):
     rows = duck.execute("select doc_id, text, lang from documents").fetchall()
     want, langs = naive_bayes(rows), {i: lang for i, _, lang in rows}
@@ -201,12 +219,25 @@ def test_bpe_equals_the_library(reference_encoder, text):
 def test_op7(spark, duck):
     rows = duck.execute("select vec_id, embedding from embeddings order by 1").fetchall()
     x = np.array([v for _, v in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.95
+    dots = x @ x.T
+    near = dots / np.sqrt(np.outer(np.diag(dots), np.diag(dots))) >= 0.95
     np.fill_diagonal(near, False)
     got = result(spark, "op7_embedding_dedup")
     counts = np.array([got[i].n_links for i, _ in rows])
-    assert (counts <= near.sum(axis=1)).all() and counts.sum() >= 0.95 * near.sum()
+    assert (counts <= near.sum(axis=1)).all() and counts.sum() >= 0.99 * near.sum()
+
+
+def test_op7_at_the_threshold_and_at_the_ends_of_doubles(spark):
+    from lumenkiln.llm.embedding_dedup import embedding_dedup
+
+    at = [[1.0, 0.0, 0.0], [3.0, 4.0, 0.0], [0.6, 0.8, 0.0]]
+    wide = [[1e200, 1e199, 0.0], [2e200, 2.1e199, 0.0], [1e-200, 1e-201, 0.0], [0.0, 0.0, 1e-310]]
+    frame = spark.createDataFrame(list(enumerate([*at, *wide])), "vec_id int, embedding array<double>")
+    got = {r.id: r.n_links for r in embedding_dedup(spark, frame, cosine=0.6).collect()}
+    assert got == {0: 5, 1: 5, 2: 5, 3: 5, 4: 5, 5: 5, 6: 0}
+    exact = {r.id: r.n_links for r in embedding_dedup(spark, frame.filter("vec_id < 2"), cosine=0.6).collect()}
+    assert exact == {0: 1, 1: 1}  # 3 / 5 is the threshold
+    assert {r.n_links for r in embedding_dedup(spark, frame.filter("vec_id < 2"), cosine=0.6000001).collect()} == {0}
 
 
 def test_op8(spark, duck, texts):

@@ -174,6 +174,9 @@ def test_urls(spark):
             (6, "badexample.net", "/en/", "net/", "block"), (7, "a.example.net", "/en/x", "example.net/en/", "allow"), (8, "b.a.example.net", "/q", "a.example.net/", "allow"), (0, "y", "", None, "allow"),
         }
     assert url_filter(spark, frame.limit(0), rules).count() == 0
+    deep, far = "a." * 30_000 + "net", "/en/" + "x" * 200_000
+    long_ = spark.createDataFrame([(1, f"http://{deep}{far}"), (2, f"x://example.net{far}"), (2, f"x://example.net{far}")], "page_id long, url string")
+    assert [(r.id, len(r.host), len(r.path), r.rule) for r in url_filter(spark, long_, rules).orderBy("id").collect()] == [(1, len(deep), len(far), "net/"), *[(2, 11, len(far), "example.net/en/")] * 2]
 
 
 def test_embeddings(spark):
