@@ -1,8 +1,9 @@
 """The corpus pipeline: language ID, near-dedup, passage dedup, decontamination, tokenising.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-back as the next stage's docs.  All but the last return the columns of documents.  The pipeline has
-no SQL form, since its stages learn a model, hash and tokenise; the tests compare it with brute force.
+back as the next stage's docs.  All but the last return the columns of documents, whatever other columns they hold.  Empty tables
+give empty tables; rows with null or repeated ids are documents of their own, nulls first.  The pipeline has
+no SQL form, since its stages learn a model, hash and tokenise; the tests compare it with a brute-force pipeline.
 """
 
 from __future__ import annotations
@@ -23,21 +24,27 @@ MIN_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts whose language can't be told: null, without a letter, or with no language of MIN_SCORE."""
+    """Drops texts whose language can't be told: null, empty, without a letter, or with no language of MIN_SCORE.
+
+    Where no row has a language to learn from, none can be told and all go.  Equal texts share their fate.
+    """
     model = train(spark, docs, allowed=~held_out("doc_id"))
     found = predict(spark, docs, model, carry=True)
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*restored(docs, "text"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near-duplicates (five words, similarity 0.8)."""
+    """Keeps the first document of each group of near-duplicates (five words, similarity 0.8); of repeated ids the first by text.
+
+    Null and empty texts are like no other and stay.
+    """
     return minhash_dedup(spark, docs, shingle_words=5, percent=80, carry=True).filter("kept").select(*restored(docs, "text"))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts words covered by a 20-word passage that stands earlier; texts without such words stay as they are.
 
-    A text of which nothing is left goes.  n_chars follows the text.
+    A text of which nothing is left goes; null, empty and shorter texts stay.  n_chars follows the text.
     """
     cut = substring_dedup(spark, docs, min_words=20, carry=True)
     cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("original")))
@@ -46,13 +53,13 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item; null and empty texts hold none.  An empty benchmark drops nothing."""
     found = decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), window=10, carry=True)
     return found.filter("n_hit = 0").select(*restored(docs, "text"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every text and decodes it again: doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256."""
+    """Encodes every text and decodes it again: doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256.  Null and empty texts have no tokens."""
     out = encode_decode(docs, rank_path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN, carry=True)
     return out.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
