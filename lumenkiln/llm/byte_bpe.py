@@ -2,15 +2,16 @@
 
 Encoding.  A token sequence is the BPE encoding of its bytes exactly if every
 neighbouring pair is *settled*, that is, merging the pair's joined bytes gives
-the pair back.  So each prefix of a piece that has an encoding continues from
-the token that ends the prefix, and reading one byte more decides it for the
-longer prefix.  The transducer's state holds the hypotheses still open: for
-every earlier boundary from which a token can still be growing, the trie node
-reached and the tokens up to that boundary.  What all hypotheses agree on is
-emitted and leaves the state, as soon as there are more than a few tokens.  A token's length bounds how many hypotheses
+the pair back.  So each prefix of a piece has one encoding, which ends in one token:
+the longest of the tokens that end the prefix and are settled after the encoding of what stands before
+them.  The transducer reads bytes; its state is the place in an automaton of all tokens (the longest end of what was read
+that begins a token) and, for every prefix since the last emitted token, the
+token that ends it.  A token yet to come begins no earlier than that longest end, so
+the encodings of the prefixes from there on are the open hypotheses.  What all of them agree on is
+emitted and leaves the state, once there are more than a few prefixes.  A token's length bounds how many hypotheses
 are open, and so the lookahead.  States and transitions are built when first
-met and shared by all later pieces; past a fixed number the tables start anew
-from the state at hand, even within a piece.
+met and shared by later pieces; past a fixed number the tables start anew,
+even within a piece.
 
 Decoding.  `Utf8Decoder` takes ids in any portions and returns text as soon as
 code points are complete.
@@ -32,15 +33,15 @@ from pyspark.sql import functions as F
 from ._common import annotated, table
 
 #: Entries kept of the memos of pieces and of pairs before either starts anew.
-MEMO_PIECES = 50_000
-MEMO_PAIRS = 150_000
-#: Transitions that are kept; past these, the tables start anew from the state at hand.
-MAX_TRANSITIONS = 30_000
-#: Tokens of a chain from which on what all hypotheses agree on is looked for and emitted.
-HELD = 6
+MEMO_PIECES = 120_000
+MEMO_PAIRS = 300_000
+#: Transitions that are kept; past these, the tables start anew and the state at hand goes on.
+MAX_TRANSITIONS = 100_000
+#: Prefixes since the last emitted token from which on what all hypotheses agree on is looked for and emitted.
+HELD = 24
+#: Bytes from a piece's start within which states keep their transitions; further on pieces rarely agree, and sorted neighbours share their path anyway.
+KEPT_DEPTH = 6
 _ROOT = 0
-#: The open hypotheses right after a token that nothing can grow over.
-_FRESH = ((_ROOT, ()),)
 
 
 def _pack(ids: tuple[int, ...]) -> bytes:
@@ -52,10 +53,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
 
 
+#: The place in the automaton of tokens, the last token emitted, the token that ends each prefix since, and where a byte leads, if that is kept:
+#: to a state and the packed ids that are emitted.
+State = tuple[int, int, tuple[int, ...], dict[int, tuple["State", bytes]] | None]
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self._lengths = {i: len(t) for t, i in ranks.items()}
         self._children: dict[int, int] = {}
         self._token_at: list[int] = [-1]
         for token, rank in ranks.items():
@@ -67,20 +74,44 @@ class Transducer:
                     node = self._children[step] = len(self._token_at)
                     self._token_at.append(-1)
             self._token_at[node] = rank
-        self._inner = {step >> 8 for step in self._children}
+        self._depth = [0] * len(self._token_at)
+        self._parent = [0] * len(self._token_at)
+        for step, node in self._children.items():  # parents were made before their children
+            self._parent[node] = step
+            self._depth[node] = self._depth[step >> 8] + 1
+        self._fails: dict[int, int] = {_ROOT: _ROOT}
+        self._ends: dict[int, tuple[tuple[int, int], ...]] = {_ROOT: ()}
         self._settled: dict[int, bool] = {}
         self._spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self._irregular: set[int] = set()
-        self._states: list[tuple] = []
-        self._ids: dict[tuple, int] = {}
-        self._steps: dict[int, tuple[int, bytes | tuple[()]]] = {}
-        self._id((-1, _FRESH))
+        #: States that follow an emission, by what they hold; those before it are a tree from the start on.
+        self._shared: dict[tuple, State] = {}
+        self._transitions = 0
+        self._start: State = (_ROOT, -1, (), {})
+        self._last, self._path = b"", [self._start]
+
+    def _fail(self, node: int) -> int:
+        """The place of the longest proper end of the node's bytes that begins a token."""
+        found = self._fails.get(node)
+        if found is None:
+            step = self._parent[node]
+            found = self._fails[node] = _ROOT if step >> 8 == _ROOT else self._goto(self._fail(step >> 8), step & 255)
+        return found
 
-    def _id(self, state: tuple) -> int:
-        found = self._ids.get(state)
+    def _goto(self, node: int, byte: int) -> int:
+        get = self._children.get
+        while (to := get(node << 8 | byte)) is None:
+            if node == _ROOT:
+                raise ValueError("the ranks lack a single byte")
+            node = self._fail(node)
+        return to
+
+    def _ending(self, node: int) -> tuple[tuple[int, int], ...]:
+        """(length, token) of the tokens that end in the node's bytes, the longest first."""
+        found = self._ends.get(node)
         if found is None:
-            found = self._ids[state] = len(self._states)
-            self._states.append(state)
+            own, token = self._ending(self._fail(node)), self._token_at[node]
+            found = self._ends[node] = ((self._depth[node], token), *own) if token >= 0 else own
         return found
 
     def merge(self, data: bytes, stop: int = 1) -> list[int]:
@@ -139,67 +170,99 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, open_ = self._states[state]
-        get, token_at, settled, inner, grown, done = self._children.get, self._token_at, self._settled.get, self._inner, [], None
-        for node, chain in open_:
-            node = get(node << 8 | byte)
-            if node is None:
+    def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        node, last, held, _ = state
+        to = self._children.get(node << 8 | byte)
+        node = self._goto(node, byte) if to is None else to
+        settled, n = self._settled.get, len(held)
+        for length, token in self._ends.get(node) or self._ending(node):
+            if length <= n:
+                before = held[n - length]
+            elif length == n + 1:
+                before = last
+            else:
                 continue
-            if done is None:
-                token = token_at[node]
-                if token >= 0:
-                    before = chain[-1] if chain else last
-                    fits = settled(before << 20 | token)
-                    if fits or fits is None and self._is_settled(before, token):
-                        done = (*chain, token)
-            if node in inner:  # else no longer token can come of it
-                grown.append((node, chain))
-        if done is None:
+            fits = settled(before << 20 | token)
+            if fits or fits is None and self._is_settled(before, token):
+                break
+        else:
             raise ValueError("the ranks lack a single byte")
-        if not grown:
-            return self._id((done[-1], _FRESH)), done
-        grown.append((_ROOT, done))
-        if len(done) <= HELD:
-            if last < 0:  # nothing has left it, so it spells its prefix and is like no other
-                self._states.append((last, grown))
-                return len(self._states) - 1, ()
-            return self._id((last, tuple(grown))), ()
-        common = min([len(c) for _, c in grown])
-        for _, chain in grown:
-            while chain[:common] != done[:common]:
-                common -= 1
-        if not common:
-            return self._id((last, tuple(grown))), ()
-        return self._id((done[common - 1], tuple([(n, c[common:]) for n, c in grown]))), done[:common]
-
-    def _restart(self, state: int) -> int:
-        """Empties the tables; the new number of the state that is being read from."""
-        last, open_ = self._states[state]
-        kept = (last, tuple(open_))
-        self._states.clear()
-        self._ids.clear()
-        self._steps.clear()
-        self._id((-1, _FRESH))
-        return self._id(kept)
+        held = (*held, token)
+        n += 1
+        if last < 0 and n <= HELD:  # nothing has left it, so it spells its prefix and is like no other
+            return (node, last, held, {} if n < KEPT_DEPTH else None), ()
+        emitted = ()
+        if n > HELD:
+            chains = [self._chain(held, b) for b in range(max(0, n - self._depth[node]), n + 1)]
+            cut = max(set(chains[0]).intersection(*chains))
+            if cut:
+                # prefixes on no open encoding don't matter any more
+                used, emitted, last = set().union(*chains), self._tokens(held, cut), held[cut - 1]
+                held = tuple([t if b in used else -2 for b, t in enumerate(held[cut:], cut + 1)])
+        key = (node, last, held)
+        found = self._shared.get(key)
+        if found is None:
+            found = self._shared[key] = (*key, {})
+        return found, emitted
+
+    def _chain(self, held: tuple[int, ...], end: int) -> list[int]:
+        """The prefixes at which the encoding of a prefix has its tokens' ends, from the last to 0."""
+        out = [end]
+        while end:
+            end -= self._lengths[held[end - 1]]
+            out.append(end)
+        return out
+
+    def _tokens(self, held: tuple[int, ...], end: int) -> tuple[int, ...]:
+        """The encoding of a prefix."""
+        out, lengths = [], self._lengths
+        while end:
+            token = held[end - 1]
+            out.append(token)
+            end -= lengths[token]
+        return tuple(out[::-1])
+
+    def _restart(self) -> None:
+        """Empties the tables; the state that is being read from goes on without one."""
+        self._shared.clear()
+        self._start[3].clear()
+        self._transitions = 0
+        self._last, self._path = b"", [self._start]
 
     def packed(self, piece: bytes) -> bytes:
         """The piece's ids as little-endian unsigned 32-bit integers; what is settled leaves the state as it is read."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return _pack((whole,))
-        state, out, steps = 0, bytearray(), self._steps
-        for byte in piece:
-            found = steps.get(state << 8 | byte)
-            if found is None:
-                if len(steps) >= MAX_TRANSITIONS:
-                    state = self._restart(state)
-                to, emitted = self._step(state, byte)
-                found = steps[state << 8 | byte] = to, emitted and _pack(emitted)
+        # pieces come sorted: what this one begins like, up to an emission, was read before
+        same, path = 0, self._path
+        for x, y in zip(piece, self._last):
+            if x != y:
+                break
+            same += 1
+        same = min(same, len(path) - 1)
+        del path[same + 1 :]
+        state, out = path[same], bytearray()
+        for byte in memoryview(piece)[same:]:
+            known = state[3]
+            found = known and known.get(byte)
+            if not found:
+                if self._transitions >= MAX_TRANSITIONS:
+                    self._restart()
+                    path = []  # no more of this piece's path is kept
+                found = self._step(state, byte)
+                found = found[0], found[1] and _pack(found[1])
+                if known is not None:
+                    known[byte] = found
+                    self._transitions += 1
             state, emitted = found
             if emitted:
                 out += emitted
-        out += _pack(self._states[state][1][-1][1])
+                path = []
+            elif path:
+                path.append(state)
+        self._last = piece
+        out += _pack(self._tokens(state[2], len(state[2])))
         return bytes(out)
 
     def encode_piece(self, piece: bytes) -> list[int]:
