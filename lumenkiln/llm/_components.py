@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import durable
+from ._common import discard, durable
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -20,11 +20,14 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     both = durable(spark, both.filter("u <> v").distinct(), "links")
     labels = durable(spark, both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels")
     while True:
-        near = durable(spark, both.join(labels.withColumnRenamed("u", "v"), "v").select("u", "l"), "near")
-        new = near.union(labels).groupBy("u").agg(F.min("l").alias("m"))
-        new = durable(spark, new.join(labels, "u"), "step")
+        now = labels.select("u", "l")
+        near = durable(spark, both.join(now.withColumnRenamed("u", "v"), "v").select("u", "l"), "near")
+        new = near.union(now).groupBy("u").agg(F.min("l").alias("m"))
+        new = durable(spark, new.join(now, "u"), "step")
         jump = new.select(F.col("u").alias("m"), F.col("m").alias("j"))
         jumped = durable(spark, new.join(jump, "m", "left").select("u", F.least("m", F.coalesce("j", "m")).alias("l"), F.col("l").alias("old")), "labels")
-        labels = jumped.select("u", "l")
+        discard(near, new, labels)
+        labels = jumped
         if not jumped.filter("l <> old").take(1):
+            discard(both)
             return labels.select(F.col("u").alias("node"), F.col("l").alias("label"))

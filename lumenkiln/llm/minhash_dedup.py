@@ -18,10 +18,10 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, keyed, others, runs, table
+from ._common import discard, durable, keyed, others, runs, table
 from ._components import components
 from ._repeats import byte_columns
 from ._winnow import mix64
@@ -188,24 +188,6 @@ def _each_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c[lo:hi], times)) for c in columns), pa.array(np.concatenate(codes))], ["bucket", "rep", "n", "code"])
 
 
-def _prefixes(percent: int):
-    """Members of a large bucket by the codes of which a similar member must share one: those rarest in the bucket.
-
-    Two sets with 100 * both >= percent * either have at least ceil(percent * n / 100) codes in common, so in one order
-    of all codes they share one of the first n - ceil(percent * n / 100) + 1.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for bucket, rep, n, ranked in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rep", "n", "ranked"))):
-                first = sorted((r["holders"], r["code"]) for r in ranked)[: n - -(-percent * n // 100) + 1]
-                rows += [(bucket, rep, code) for _, code in first]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], ["bucket", "rep", "part"])
-
-    return run
-
-
 def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Groups of documents with 100 * intersection >= percent * union of their shingle sets.
 
@@ -218,36 +200,49 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     base = keyed(spark, chosen, "id", *chosen.columns[1:])
     texts = base.select("_key", "text")
     features = durable(spark, texts.mapInArrow(_features(shingle_words), FEATURES), "features")
-    classes = durable(spark, features.filter("n_shingles > 0").groupBy("class").agg(F.min("_key").alias("rep")), "classes")
+    used: list[DataFrame] = []
+
+    def held_(df: DataFrame, name: str) -> DataFrame:
+        """A written table that is not needed once every class has its component."""
+        used.append(durable(spark, df, name))
+        return used[-1]
+
+    classes = held_(features.filter("n_shingles > 0").groupBy("class").agg(F.min("_key").alias("rep")), "classes")
     firsts = features.join(classes.select(F.col("rep").alias("_key")), "_key", "left_semi").withColumnRenamed("_key", "rep").withColumnRenamed("n_shingles", "n")
-    members = durable(spark, firsts.select("rep", "n", F.explode("bands").alias("bucket")).distinct(), "members")
-    sizes = durable(spark, members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    members = durable(spark, members.join(sizes, "bucket"), "met")
+    members = held_(firsts.select("rep", "n", F.explode("bands").alias("bucket")).distinct(), "members")
+    sizes = held_(members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    members = held_(members.join(sizes, "bucket"), "met")
     length = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
 
-    sets = _sets_of(spark, texts, durable(spark, members.select(F.col("rep").alias("_key")).distinct(), "keys"), shingle_words)
+    sets = _sets_of(spark, texts, held_(members.select(F.col("rep").alias("_key")).distinct(), "keys"), shingle_words)
+    used.append(sets)
     stars = members.filter("rep <> hub.rep").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), "n", F.col("hub.n").alias("nb"))
-    stars = durable(spark, stars.filter(length).select(F.col("b").alias("group"), "a", "b").distinct(), "pairs")
+    stars = held_(stars.filter(length).select(F.col("b").alias("group"), "a", "b").distinct(), "pairs")
     labels = components(spark, _confirmed(spark, stars, sets, percent))
 
     # buckets whose members are in several components
     open_ = members.filter("size > 2").select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_ = durable(spark, open_, "labelled")
+    open_ = held_(open_, "labelled")
     by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     several = by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
-    open_ = open_.join(durable(spark, several.select("bucket", F.col("most.label").alias("largest")), "several"), "bucket")
-    open_ = _parted(spark, durable(spark, open_, "unparted"), sets, percent)
-    open_ = durable(spark, open_.join(firsts.select("rep", "n", "sketch"), "rep"), "open")
-    outside = open_.filter("label <> largest").select("bucket", "part", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb"), "sketch")
+    open_ = open_.join(held_(several.select("bucket", F.col("most.label").alias("largest")), "several"), "bucket")
+    open_ = held_(open_.join(firsts.select("rep", "n"), "rep").join(open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("all")), "bucket"), "open")
     # each pair across components once: the one outside the bucket's largest component, or the larger of two such
-    across = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("rep") < F.col("h"))) & length & ~(F.col("x_next") & F.col("y_next"))
-    x, y = _with_bitmaps(open_, "x"), _with_bitmaps(outside, "y").withColumnsRenamed({"bucket": "yb", "part": "yp", "level": "yl"})
-    met = x.join(y, (F.col("bucket") == F.col("yb")) & (F.col("part") == F.col("yp")) & (F.col("level") == F.col("yl")) & across & _may_be_similar(percent))
-    pairs = met.groupBy(F.greatest("rep", "h").alias("a"), F.least("rep", "h").alias("b")).agg(F.min("largest").alias("group")).join(stars.drop("group"), ["a", "b"], "left_anti")
-    labels = _joined(spark, labels, _confirmed(spark, durable(spark, pairs.select("group", "a", "b"), "pairs"), sets, percent))
+    across = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("rep") < F.col("h"))) & length
+    few = open_.filter(F.col("all") <= PART_MEMBERS).join(firsts.select("rep", "sketch"), "rep")
+    few = held_(few, "few")
+    x, y = _with_bitmaps(few, "x"), _with_bitmaps(_others(few, "sketch"), "y").withColumnsRenamed({"bucket": "yb", "level": "yl"})
+    met = x.join(y, (F.col("bucket") == F.col("yb")) & (F.col("level") == F.col("yl")) & across & ~(F.col("x_next") & F.col("y_next")) & _may_be_similar(percent))
+    many = held_(_parted(spark, held_(open_.filter(F.col("all") > PART_MEMBERS), "many"), sets, percent), "parts")
+    both = many.join(_others(many, "part").withColumnsRenamed({"bucket": "yb", "part": "yp"}), (F.col("bucket") == F.col("yb")) & (F.col("part") == F.col("yp")) & across)
+    pairs = met.select("rep", "h", "largest").unionByName(both.select("rep", "h", "largest"))
+    pairs = pairs.groupBy(F.greatest("rep", "h").alias("a"), F.least("rep", "h").alias("b")).agg(F.min("largest").alias("group")).join(stars.drop("group"), ["a", "b"], "left_anti")
+    labels = _joined(spark, labels, _confirmed(spark, held_(pairs.select("group", "a", "b"), "pairs"), sets, percent))
 
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component"))
-    out = features.select("_key", "n_shingles", "class").join(durable(spark, classes, "components"), "class", "left")
+    classes = durable(spark, classes, "components")
+    discard(*used)
+    out = features.select("_key", "n_shingles", "class").join(classes, "class", "left")
     out = out.select("_key", "n_shingles", F.coalesce("component", "_key").alias("component"))
     own = "id" in base.columns
     if carry or own:
@@ -259,22 +254,24 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     return out.select(*(["row", "text"] if carry else ["id"]), "n_shingles", "component_id", (F.col("_key") == F.col("component")).alias("kept"))
 
 
-def _parted(spark: SparkSession, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows of open buckets (bucket, rep, ...) with the part of the bucket in which they are compared.
+def _others(rows: DataFrame, *more: str) -> DataFrame:
+    """Members outside their bucket's largest component, as the second of a pair."""
+    return rows.filter("label <> largest").select("bucket", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb"), *more)
+
+
+def _parted(spark: SparkSession, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of large buckets in the parts of their bucket in which they are compared.
 
-    A small bucket is one part.  A large one is parted by codes: a member stands in the parts of the codes that a
-    similar member must share one of, rarest first (`_prefixes`), so all pairs that can hold still meet.
+    A bucket is parted by codes, rarest in the bucket first: two sets with 100 * both >= percent * either have
+    at least ceil(percent * n / 100) codes in common, so in one order of all codes they share one of the first n - ceil(percent * n / 100) + 1.
+    A member stands in the parts of these codes, and all pairs that can hold still meet.
     """
-    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"))
-    rows = open_.join(sizes, "bucket")
-    large = durable(spark, rows.filter(F.col("all") > PART_MEMBERS).select("bucket", "rep"), "large")
-    held = large.join(sets.withColumnRenamed("_key", "rep"), "rep").select("bucket", "rep", "n", "codes").mapInArrow(_each_code, "bucket long, rep long, n long, code long")
+    held = rows.select("bucket", "rep").join(sets.withColumnRenamed("_key", "rep"), "rep").select("bucket", "rep", "n", "codes").mapInArrow(_each_code, "bucket long, rep long, n long, code long")
     held = durable(spark, held, "codes")
     counted = held.join(held.groupBy("bucket", "code").agg(F.count(F.lit(1)).alias("holders")), ["bucket", "code"])
-    ranked = counted.groupBy("bucket", "rep", "n").agg(F.collect_list(F.struct("holders", "code")).alias("ranked"))
-    parts = ranked.mapInArrow(_prefixes(percent), "bucket long, rep long, part long")
-    small = rows.filter(F.col("all") <= PART_MEMBERS).drop("all").withColumn("part", F.lit(0).cast("long"))
-    return small.unionByName(rows.drop("all").join(parts, ["bucket", "rep"]))
+    rarest = F.row_number().over(Window.partitionBy("bucket", "rep").orderBy("holders", "code"))
+    first = counted.withColumn("k", rarest).filter(F.expr(f"k <= n - ((n * {percent} + 99) div 100) + 1"))
+    return rows.join(first.select("bucket", "rep", F.col("code").alias("part")), ["bucket", "rep"])
 
 
 def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
