@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,6 +53,25 @@ def keyed(spark: SparkSession, df: DataFrame, id_col: str, *columns: str) -> Dat
     return durable(spark, ranged.withColumn("_key", F.monotonically_increasing_id()), "keyed")
 
 
+def give_back() -> None:
+    """Hands memory that a worker has freed back to the machine: workers live on from stage to stage, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # there is no malloc_trim outside glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run):
+    """A function over batches that gives back what it has freed when it is through."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def others(docs: DataFrame, text_col: str) -> Column:
     """The columns of docs but the text, as a struct ``row`` (with a placeholder where there are none)."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
@@ -84,7 +105,7 @@ def annotated(docs: DataFrame, work, ddl: str, *, id_col: str, text_col: str, ca
                 columns = [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:fixed], *columns], schema.names)
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(frugal(run), schema)
 
 
 def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

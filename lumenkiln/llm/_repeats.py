@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _winnow
-from ._common import discard, durable, runs
+from ._common import discard, durable, frugal, give_back, runs
 
 #: Classes of one fingerprint from which its windows are grouped by content.
 SPLIT_CLASSES = 48
@@ -240,7 +240,7 @@ def passages(spark: SparkSession, docs: DataFrame, *, reader: Reader, cutter, re
     docs has ``_key`` (unique, not null) and ``text``.  resolve takes a shard's cuts (bytes), their windows, and each window's
     document and place; it returns per window whether it recurs and the index of its first place by (document, place).
     """
-    segs = durable(spark, docs.mapInArrow(_extract(reader, span, k), "_key long, start int, n int, fp long, sh long"), "segments")
+    segs = durable(spark, docs.mapInArrow(frugal(_extract(reader, span, k)), "_key long, start int, n int, fp long, sh long"), "segments")
     # written, so that the join below deals out both sides itself and a skewed fingerprint can be split
     recurring = durable(spark, segs.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "recurring")
     # what recurs is hashed instead of sorting all segments; a partition's share of it is small
@@ -256,12 +256,12 @@ def passages(spark: SparkSession, docs: DataFrame, *, reader: Reader, cutter, re
         wanted.select("fp", "sh", "n", "classes", F.col("one._key").alias("k1"), F.col("one.start").alias("s1"), F.col("last._key").alias("k2"), F.col("last.start").alias("s2"), F.explode(ends).alias("end"))
         .groupBy(F.col("end._key").alias("_key")).agg(F.collect_list(F.struct(F.col("end.start").alias("start"), F.col("end.own").alias("own"), "n", "fp", "sh", "classes", "k1", "s1", "k2", "s2")).alias("segs"))
     )
-    parts = durable(spark, docs.join(segs_of, "_key").select("_key", "text", "segs").mapInArrow(_cut(cutter, span), PART), "parts")
-    compare = lambda rows: rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_compare(resolve, cutter, span), PASSAGE)
+    parts = durable(spark, docs.join(segs_of, "_key").select("_key", "text", "segs").mapInArrow(frugal(_cut(cutter, span)), PART), "parts")
+    compare = lambda rows: rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(frugal(_compare(resolve, cutter, span)), PASSAGE)
     found = durable(spark, compare(parts.filter(F.col("b") != MANY)), "passages")
 
     many = parts.filter(F.col("b") == MANY)
-    windows = durable(spark, many.mapInArrow(_windows(cutter, span), "data binary, _key long, start int, own boolean, fp long, sh long, at int"), "windows")
+    windows = durable(spark, many.mapInArrow(frugal(_windows(cutter, span)), "data binary, _key long, start int, own boolean, fp long, sh long, at int"), "windows")
     twice = windows.groupBy("data").agg(F.min(place).alias("one"), F.max(place).alias("last")).filter("one < last")
     one_window = F.array(F.struct(F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("sh"), F.lit(0).alias("at"), F.lit(1).alias("n")))
     ends = F.explode(F.array(F.struct("one.*", F.lit(True).alias("own")), F.struct("last.*", F.lit(False).alias("own"))))
@@ -288,7 +288,13 @@ def in_chunks(spark: SparkSession, base: DataFrame, instances: DataFrame, found:
     else:
         held = instances.select(chunk, "fp", "sh").distinct()
     dealt = held.join(found, ["fp", "sh"]).drop("fp", "sh")
-    return base.withColumn("chunk", chunk).groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInArrow(lambda left, right: work(left.drop_columns("chunk"), right), schema)
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        done = work(left.drop_columns("chunk"), right)
+        give_back()
+        return done
+
+    return base.withColumn("chunk", chunk).groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInArrow(one, schema)
 
 
 def covered(starts: list[int], ends: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:

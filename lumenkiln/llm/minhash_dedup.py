@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, durable, keyed, others, runs, table
+from ._common import discard, durable, frugal, keyed, others, runs, table
 from ._components import components
 from ._repeats import byte_columns
 from ._winnow import mix64
@@ -199,7 +199,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([others(docs, text_col)] if carry else []))
     base = keyed(spark, chosen, "id", *chosen.columns[1:])
     texts = base.select("_key", "text")
-    features = durable(spark, texts.mapInArrow(_features(shingle_words), FEATURES), "features")
+    features = durable(spark, texts.mapInArrow(frugal(_features(shingle_words)), FEATURES), "features")
     used: list[DataFrame] = []
 
     def held_(df: DataFrame, name: str) -> DataFrame:
@@ -290,14 +290,14 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent:
     rows = needs.join(sets, "_key").select("group", "i", "j", F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), "codes")
     rows = rows.unionByName(dealt.withColumn("codes", F.lit(None).cast("binary")))
     rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", F.col("b").asc_nulls_first())
-    return durable(spark, rows.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+    return durable(spark, rows.mapInArrow(frugal(_confirm(percent)), "a long, b long"), "confirmed")
 
 
 def _sets_of(spark: SparkSession, texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     """The shingle sets (_key, n, codes) of some documents, written once; the keys are broadcast if they are few enough, else both sides are dealt out."""
     few = keys.count() <= MAX_BROADCAST_KEYS
     chosen = texts.join(F.broadcast(keys) if few else keys, "_key", "left_semi")
-    return durable(spark, chosen.mapInArrow(_sets(size), "_key long, n long, codes binary"), "sets")
+    return durable(spark, chosen.mapInArrow(frugal(_sets(size)), "_key long, n long, codes binary"), "sets")
 
 
 def _joined(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
