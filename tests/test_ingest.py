@@ -114,6 +114,46 @@ def test_snapshots_and_upsert(spark, tmp_path):
     assert not store.done("merge") and not store.mark("merge") and store.done("merge")
 
 
+def test_two_writers(spark, tmp_path):
+    """The second writer of a version fails and leaves the first one's files as they are."""
+    root = f"file://{tmp_path}/store"
+    one, two = Snapshots(spark, root), Snapshots(spark, root)
+    frame = lambda n: spark.createDataFrame([(n,)], "id long")
+    one.commit({"t": frame(1), "u": frame(10)})
+
+    class Late:
+        """A frame whose write lets the other writer go first."""
+
+        @property
+        def write(self):
+            one.commit({"t": frame(2)})
+            return frame(3).write
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.commit({"t": Late()})
+    assert two.version() == 2 and [r.id for r in two.read("t").collect()] == [2] and [r.id for r in two.read("t", 1).collect()] == [1]
+    assert [r.id for r in two.read("u").collect()] == [10]  # tables that a commit leaves out stay what they were
+    (tmp_path / "store/_commit-3").touch()  # begun, not ended
+    assert two.version() == 2 and two.commit({"t": frame(4)}) == 4 and [r.id for r in one.read("t").collect()] == [4]
+    with pytest.raises(LookupError):
+        one.read("none")
+
+
+def test_claims_keep_other_leases(spark):
+    from lumenkiln.state import ledger
+
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    rows = [(1, "Queued", None, 0, None, None, None), (2, "Running", "Merged", 1, "x", "2024-01-01 00:00:01", None), (3, "Running", "Staged", 2, "x", "2023-12-31 00:00:00", None), (4, "Queued", None, 1, None, None, "2024-01-02 00:00:00")]
+    imports = spark.createDataFrame(rows, "import_id long, status string, phase string, attempt_count int, lease_hash string, lease_expires string, next_attempt string")
+    imports = imports.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("lease_expires", "next_attempt")})
+    got = {r.import_id: r for r in ledger.claim_imports(imports, "me", at).collect()}
+    assert {i: (r.claimed, r.next_step, r.attempt_count) for i, r in got.items()} == {1: (True, "Download", 1), 2: (False, None, 1), 3: (True, "Merge", 3), 4: (False, None, 1)}
+    assert got[2].lease_hash == "x" and got[3].lease_expires.isoformat() == "2024-01-01T00:15:00"
+    told = spark.createDataFrame([(2, "x", True), (3, "y", True)], "import_id long, lease_hash string, retryable boolean")
+    after = {r.import_id: r for r in ledger.failed_imports(imports, told, at).collect()}
+    assert (after[2].status, after[2].next_attempt.isoformat(), after[3].status) == ("Queued", "2024-01-01T00:05:00", "Running")
+
+
 def test_client_round(spark):
     rows = lambda *r: spark.createDataFrame(list(r) or [], "source_item_id string, revision string")
     sent = client.deltas(rows(("a", "1"), ("b", "2"), ("c", "9")), rows(("a", "1"), ("b", "1"), ("d", "1")), rows(("c", "9")), complete_read=True)
