@@ -1,17 +1,18 @@
 """The set-based merge of a manifest into the catalog: pure functions from old frames to new ones.
 
 Nothing here acts; the caller writes the frames of `Merged` as the catalog's next version.  Numbers of
-rows are in the millions, and every step is a window, an aggregation or an equi-join on the content hash or the source item.
+rows are in the millions, and every step is an aggregation or an equi-join on the content hash or the source item.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import public_id
+from ..storage import durable
 
 GAPS = ["width", "height", "duration_ms", "captured_local", "captured_utc", "time_zone", "utc_offset_minutes"]
 RESOLVED = ["provider", "place_id", "street_address", "city", "state", "country", "rule_version", "provider_updated"]
@@ -61,10 +62,12 @@ def reject(rows: DataFrame, bad: Column, code: str, message: str) -> DataFrame:
 
 
 def reject_duplicates(rows: DataFrame) -> DataFrame:
-    """The first valid row of a source item stays."""
-    order = Window.partitionBy("source_item_id", "validation_state").orderBy("row_number")
-    rows = rows.withColumn("_n", F.row_number().over(order))
-    return reject(rows, F.col("_n") > 1, "DuplicateManifestEntry", "The source item stands in an earlier row.").drop("_n")
+    """The first valid row of a source item stays.  The rows are staged first, as they are read several times and validation is long."""
+    rows = durable(rows.sparkSession, rows, "stage")
+    # an aggregate combines before it moves; rows without an item, which are rejected by now, meet nothing
+    first = rows.filter("validation_state = 'Valid'").groupBy("source_item_id").agg(F.min("row_number").alias("_first"))
+    rows = rows.join(first, "source_item_id", "left")
+    return reject(rows, F.col("row_number") > F.col("_first"), "DuplicateManifestEntry", "The source item stands in an earlier row.").drop("_first")
 
 
 def relinks(rows: DataFrame, occurrences: DataFrame, assets: DataFrame) -> DataFrame:
@@ -98,7 +101,8 @@ def merge(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, locations:
         raise RelinkError("BulkRelinkUnsupported")
     rows = reject_size_conflicts(rows, assets)
     rows = rows.withColumn("asset_id", F.coalesce("old_asset_id", F.when(F.col("validation_state") == "Valid", public_id("asset", F.lit(user_id), F.col("content_sha256")))))
-    rows = classify(rows, occurrences)
+    # written once: seven frames come of it, and each would run the steps so far again
+    rows = durable(rows.sparkSession, classify(rows, occurrences), "classified")
     valid = rows.filter("validation_state = 'Valid'")
 
     _, merged_assets, asset_changes = merge_assets(valid, assets, user_id, as_of)
@@ -111,6 +115,12 @@ def merge(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, locations:
     return Merged(merged_assets, merged_occurrences, merged_locations, changes, failures, rows, result_rows(rows))
 
 
+def refreshed(sources: DataFrame, source_id: int, snapshot_id: str, as_of: Column) -> DataFrame:
+    """Sources after a complete import of one of them: its scan time and snapshot are the import's."""
+    here = F.col("source_id") == source_id
+    return sources.withColumns({"last_complete_scan": F.when(here, as_of).otherwise(F.col("last_complete_scan")), "snapshot_id": F.when(here, F.lit(snapshot_id)).otherwise(F.col("snapshot_id"))})
+
+
 def merge_assets(valid: DataFrame, assets: DataFrame, user_id: int, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new assets, all assets, changed keys)."""
     first = valid.filter("row_number = first_row")

@@ -58,9 +58,22 @@ def _step(name: str, select: str):
     return query(name, STEPS + select)
 
 
+def _size_conflicts(r: Roles):
+    """The rows, with the sizes that they were compared with."""
+    rows = merge.reject_size_conflicts(merge.reject_duplicates(r.manifest.drop("operation")), r.old_asset)
+    bad = rows.filter("error_code = 'ContentHashMetadataMismatch'")
+    first = r.manifest.select(F.col("row_number").alias("first_row"), F.col("byte_size").alias("canon_size"))
+    old = r.old_asset.select(F.col("asset_id").alias("old_asset_id"), F.col("byte_size").alias("old_size"))
+    return bad.join(first, "first_row", "left").join(old, "old_asset_id", "left").select("row_number", "content_sha256", "byte_size", "old_size", "canon_size")
+
+
 _OUTCOMES = "select row_number, outcome, error_code from outcomes"
-for _name in ("M15_outcomes", "M10_size_conflicts", "M16_first_created"):
-    _step(_name, _OUTCOMES)(lambda r: merged(r).rows.select("row_number", "outcome", "error_code"))
+_step("M15_outcomes", _OUTCOMES)(lambda r: merged(r).rows.select("row_number", "outcome", "error_code"))
+_step("M7_reject_duplicates", "select row_number, source_item_id from v2 where error_code = 'DuplicateManifestEntry'")(
+    lambda r: merge.reject_duplicates(r.manifest.drop("operation")).filter("error_code = 'DuplicateManifestEntry'").select("row_number", "source_item_id"))
+_step("M10_size_conflicts", "select row_number, content_sha256, byte_size, old_size, canon_size from v4 where error_code = 'ContentHashMetadataMismatch'")(_size_conflicts)
+_step("M16_first_created", "select content_sha256, min(row_number) as row_number from rows_ where validation_state = 'Valid' and known_id is null and old_asset_id is null group by 1")(
+    lambda r: merged(r).rows.filter("outcome = 'CreatedOccurrence'").select("content_sha256", "row_number"))
 _step("M24_counters", "select count(*) as processed, " + ", ".join(f"count(*) filter (where outcome = '{o}') as {n}" for n, o in merge.OUTCOMES.items()) + " from outcomes")(
     lambda r: merge.outcome_counts(merged(r).rows).withColumnsRenamed({n: n for n in merge.OUTCOMES}))
 _step("M25_status", "select case when count(*) filter (where outcome = 'Rejected') > 0 then 'CompletedWithErrors' else 'Completed' end as status from outcomes")(
@@ -74,8 +87,10 @@ _GAP = """select a.asset_id, case when c.changed then coalesce(a.width, c.width)
   case when c.changed then 'Active' else a.lifecycle_state end as lifecycle_state from old_asset a left join (select o.old_asset_id as asset_id, o.width, o.captured_local,
     a.lifecycle_state = 'Trashed' or (a.width is null and o.width is not null) or (a.captured_local is null and o.captured_local is not null) as changed
     from outcomes o join old_asset a on a.asset_id = o.old_asset_id where o.validation_state = 'Valid' and o.row_number = o.first_row) c using (asset_id)"""
-for _name in ("M13_gap_fill", "M12_changed_assets"):
-    _step(_name, _GAP)(lambda r: merged(r).assets.filter("length(asset_id) < 64").select("asset_id", "width", "captured_local", "lifecycle_state"))
+_step("M13_gap_fill", _GAP)(lambda r: merged(r).assets.filter("length(asset_id) < 64").select("asset_id", "width", "captured_local", "lifecycle_state"))
+_CHANGED = """select o.old_asset_id as asset_id from outcomes o join old_asset a on a.asset_id = o.old_asset_id where o.validation_state = 'Valid' and o.row_number = o.first_row
+    and (a.lifecycle_state = 'Trashed' or (a.width is null and o.width is not null) or (a.captured_local is null and o.captured_local is not null))"""
+_step("M12_changed_assets", _CHANGED)(lambda r: merged(r).changes.filter("entity_type = 'MediaAsset' and length(asset_id) < 64").select("asset_id"))
 _step("M17_occurrences", """select source_item_id, max(file_name) as file_name, max(deletion_state) as deletion_state, max(revision) as revision from (
   select source_item_id, file_name, 'Active' as deletion_state, source_revision as revision from outcomes where outcome in ('CreatedOccurrence', 'DuplicateLinked', 'UpdatedOccurrence')
   union all select o.source_item_id, o.file_name, o.deletion_state, o.revision from old_occurrence o where o.occurrence_id not in (select known_id from outcomes where outcome = 'UpdatedOccurrence')) x group by 1""")(
@@ -84,8 +99,12 @@ _step("M18_changes", """select 'MediaAsset' as entity_type, (select count(*) fro
     where o.validation_state = 'Valid' and o.row_number = o.first_row and (a.lifecycle_state = 'Trashed' or (a.width is null and o.width is not null) or (a.captured_local is null and o.captured_local is not null))) as n
   union all select 'MediaOccurrence', count(*) from outcomes where outcome in ('CreatedOccurrence', 'DuplicateLinked', 'UpdatedOccurrence') union all select 'MediaSource', 1""")(
     lambda r: merged(r).changes.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n")))
-for _name in ("M14_asset_changes", "M23_source_change"):
-    QUERIES[_name], ORACLE_SQL[_name] = QUERIES["M18_changes"], ORACLE_SQL["M18_changes"]
+_step("M14_asset_changes", f"select content_sha256, 'Upsert' as change_type from outcomes where validation_state = 'Valid' and old_asset_id is null and row_number = first_row union all select content_sha256, 'Upsert' from old_asset where asset_id in ({_CHANGED})")(
+    lambda r: (lambda m: m.changes.filter("entity_type = 'MediaAsset'").join(m.assets.select("asset_id", "content_sha256"), "asset_id").select("content_sha256", "change_type"))(merged(r)))
+query("M23_source_change", f"select 'source-1' as entity_public_id, 'Upsert' as change_type, timestamp '{AS_OF}' as created_at, timestamp '{AS_OF}' as last_complete_scan, 'snapshot-1' as snapshot_id")(
+    lambda r: (lambda m: m.changes.filter("entity_type = 'MediaSource'").select("entity_public_id", "change_type", "created_at").join(
+        merge.refreshed(r.spark.createDataFrame([(1, None, None), (2, None, "old")], "source_id long, last_complete_scan timestamp_ntz, snapshot_id string"), 1, "snapshot-1", now())
+        .filter("source_id = 1").select(F.concat(F.lit("source-"), "source_id").alias("entity_public_id"), "last_complete_scan", "snapshot_id"), "entity_public_id"))(merged(r)))
 _step("M19_locations", """select coalesce(l.asset_id, n.content) as asset, coalesce(n.latitude, l.latitude) as latitude, case when n.latitude is null or (n.latitude = l.latitude and n.longitude = l.longitude) then l.provider end as provider
   from (select asset_id, cast(cast(substr(asset_id, 2) as bigint) % 80 as decimal(9,6)) as latitude, cast(0 as decimal(10,6)) as longitude, 'maps' as provider from old_asset where cast(substr(asset_id, 2) as bigint) % 4 = 0) l
   full join (select max(old_asset_id) as asset_id, case when max(old_asset_id) is null then content_sha256 end as content, max_by(latitude, row_number) as latitude, max_by(longitude, row_number) as longitude
@@ -133,8 +152,12 @@ def _incremental_sql(may_delete: str) -> str:
       when known_id is not null then 'UpdatedOccurrence' when content_sha256 is null or (old_asset_id is null and row_number = first_row) then 'CreatedOccurrence' else 'DuplicateLinked' end as outcome from rows_"""
 
 
-for _name in ("N5_outcomes", "N1_batch_duplicates", "N3_pending_upserts", "N4_hashed_upserts"):
-    query(_name, _incremental_sql("true"))(lambda r: _incremental(r).select("row_number", "outcome"))
+query("N5_outcomes", _incremental_sql("true"))(lambda r: _incremental(r).select("row_number", "outcome"))
+query("N1_batch_duplicates", _incremental_sql("true").rsplit("select row_number, case", 1)[0] + "select row_number, source_item_id from rows_ where error_code = 'DuplicateManifestEntry'")(
+    lambda r: _incremental(r).filter("error_code = 'DuplicateManifestEntry'").select("row_number", "source_item_id"))
+for _name, _where in (("N3_pending_upserts", "content_sha256 is null"), ("N4_hashed_upserts", "content_sha256 is not null")):
+    query(_name, _incremental_sql("true") + f" where {_where} and operation = 'Upsert'")(
+        lambda r, w=_where: _incremental(r).filter(f"{w} and operation = 'Upsert'").select("row_number", "outcome"))
 query("N2_ignored_deletions", _incremental_sql("false"))(lambda r: _incremental(r, permission="Denied").select("row_number", "outcome"))
 query("N6_relinked_items", "select count(*) as relinked from (select m.row_number from manifest m join old_occurrence o using (source_item_id) join old_asset a on a.asset_id = o.asset_id where m.content_sha256 <> a.content_sha256) x")(
     lambda r: _incremental(r).filter("relinked").agg(F.count(F.lit(1)).alias("relinked")))
@@ -144,8 +167,8 @@ query("N8_restored", "select asset_id from asset where lifecycle_state = 'Trashe
     lambda r: incremental.trash_cascade(r.asset.filter("lifecycle_state = 'Trashed'").withColumn("purge_after", F.lit(None).cast("timestamp_ntz")), r.occurrence, r.job, now())[0].filter("lifecycle_state = 'Active'").select("asset_id"))
 query("N7_cancelled_jobs", "select job_id from job where status in ('Preparing', 'Queued', 'Running', 'DeferredQuota') and asset_id in (select asset_id from asset where lifecycle_state = 'Active' and asset_id not in (select asset_id from occurrence where deletion_state = 'Active' and source_id % 3 = 0))")(
     lambda r: incremental.trash_cascade(r.asset.withColumn("purge_after", F.lit(None).cast("timestamp_ntz")), r.occurrence.filter("source_id % 3 = 0"), r.job, now())[1].filter("status = 'Cancelled'").select("job_id"))
-query("N10_source_removal", "select occurrence_id, case when source_id = 5 then 'Deleted' else deletion_state end as deletion_state from occurrence where source_id < 10")(
-    lambda r: incremental.remove_source(r.occurrence.filter("source_id < 10"), r.source, 5, now())[0].select("occurrence_id", "deletion_state"))
+query("N10_source_removal", "select occurrence_id, case when source_id = 5 then 'Deleted' else deletion_state end as deletion_state from occurrence")(
+    lambda r: incremental.remove_source(r.occurrence, r.source, 5, now())[0].select("occurrence_id", "deletion_state"))
 
 # ---- client
 
