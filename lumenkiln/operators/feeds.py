@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..ingest.client import batched
 from ..functions.text import blank, coordinate_revision, previewable
 
 
@@ -15,6 +16,15 @@ def keyset(rows: DataFrame, id_col: str, after: int | None, limit: int, *, desce
     return rows.orderBy(F.desc(id_col) if descending else F.asc(id_col)).limit(limit + 1)
 
 
+#: Pages that an iteration over all of them goes through at most.
+MAX_PAGES = 1_000
+
+
+def all_pages(rows: DataFrame, *order: Column, size: int) -> DataFrame:
+    """What going from page to page gives, in one go: each row with the number of its page, up to the thousandth."""
+    return batched(rows, *order, size=size).withColumnRenamed("batch", "page").filter(F.col("page") < MAX_PAGES)
+
+
 def changes_for(changes: DataFrame, visible: DataFrame, device_id: int) -> DataFrame:
     """Changes of no asset, of the device itself, or of an asset it may see."""
     seen = visible.select("asset_id").distinct().withColumn("seen", F.lit(True))

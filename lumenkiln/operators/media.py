@@ -129,11 +129,11 @@ def next_cursor(rows: list, q: MediaQuery, kind: str = "media") -> tuple[list, s
     return shown, X.encode_cursor(kind, [shown[-1]["sort_key"].isoformat(), shown[-1]["asset_id"]]) if more else None, more
 
 
-def summaries(c: Catalog, assets: DataFrame, device_id: int) -> DataFrame:
-    """What a list shows of each asset.  ``assets`` is a page, so every join has a small side."""
+def summaries(c: Catalog, assets: DataFrame, device_id: int, *, page: bool = True) -> DataFrame:
+    """What a list shows of each asset.  With page, ``assets`` has 201 rows at most, so every join has a small side; else nothing is broadcast."""
     keys = ["user_id", "asset_id"]
     few = assets.select(*keys)
-    near = lambda rows: rows.join(F.broadcast(few), keys, "left_semi")  # noqa: E731  a page holds 201 rows at most
+    near = lambda rows: rows.join(F.broadcast(few) if page else few, keys, "left_semi")
     occurrences = near(c.occurrences)
     chosen = preferred_occurrence(occurrences, c.sources, device_id)
     flags = availability(occurrences, c.sources, device_id)
@@ -167,11 +167,12 @@ def hits(c: Catalog, q: MediaQuery) -> DataFrame:
     described = latest_current(c.descriptions.join(few, keys, "left_semi"), "description_id", "description_text")
     described = described.select(*keys, F.col("description_text").alias("d_text"))
     spoken = latest_current(c.transcripts.join(few, keys, "left_semi"), "transcript_id", "transcript_text")
-    first = c.segments.filter(X.matches(F.col("segment_text"), q.text)).groupBy("transcript_id").agg(
+    spoken = spoken.select(*keys, "transcript_id", "transcript_text")
+    first = c.segments.join(F.broadcast(spoken.select("transcript_id")), "transcript_id", "left_semi").filter(X.matches(F.col("segment_text"), q.text)).groupBy("transcript_id").agg(
         F.min_by(F.struct("sequence_number", "start_ms", "segment_text"), "sequence_number").alias("segment"),
     )
     rows = rows.join(described, keys, "left").join(spoken, keys, "left").join(first, "transcript_id", "left")
-    rows = rows.join(c.locations.select(*keys, *[F.col(f).alias(f"place_{f}") for f in LOCATION_FIELDS]), keys, "left")
+    rows = rows.join(c.locations.join(few, keys, "left_semi").select(*keys, *[F.col(f).alias(f"place_{f}") for f in LOCATION_FIELDS]), keys, "left")
     holds = lambda column: X.contains(F.col(column), q.text)
     places = [f"place_{f}" for f in LOCATION_FIELDS]
     in_place = reduce(or_, [holds(f) for f in places])
@@ -195,18 +196,25 @@ def hits(c: Catalog, q: MediaQuery) -> DataFrame:
     })
 
 
-def detail(c: Catalog, asset_ids: DataFrame, device_id: int) -> DataFrame:
-    """Assets with all that hangs on them, nested; trashed ones too.  Locators show only to the device that owns the source."""
+def detail(c: Catalog, asset_ids: DataFrame, device_id: int, *, page: bool = False) -> DataFrame:
+    """Assets with all that hangs on them, nested; trashed ones too.  Locators show only to the device that owns the source.
+
+    Every side is reduced to the assets asked for before it is grouped; with page, these are 201 at most and are broadcast.
+    """
     keys = ["user_id", "asset_id"]
-    assets = visible_assets(c.assets, c.occurrences, c.sources, device_id, with_trash=True).join(asset_ids, "asset_id", "left_semi")
+    asset_ids = asset_ids.select("asset_id").distinct()
+    few = F.broadcast(asset_ids) if page else asset_ids
+    near = lambda rows: rows.join(few, "asset_id", "left_semi")
+    occurrences = near(c.occurrences)
+    assets = visible_assets(near(c.assets), occurrences, c.sources, device_id, with_trash=True)
     own = F.when(F.col("device_id") == device_id, F.col("file_name"))
-    files = c.occurrences.join(c.sources, "source_id").groupBy(*keys).agg(
+    files = occurrences.join(c.sources, "source_id").groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("occurrence_id", "source_key", "deletion_state", own.alias("locator")))).alias("occurrences"),
     )
-    described = latest_current(c.descriptions, "description_id", "description_text")
-    spoken = latest_current(c.transcripts, "transcript_id", "transcript_text")
-    said = c.segments.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("sequence_number", "start_ms", "speaker"))).alias("segments"))
+    described = latest_current(near(c.descriptions), "description_id", "description_text")
+    spoken = latest_current(near(c.transcripts), "transcript_id", "transcript_text")
+    said = c.segments.join(F.broadcast(spoken) if page else spoken, "transcript_id", "left_semi").groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("sequence_number", "start_ms", "speaker"))).alias("segments"))
     return (
-        assets.join(files, keys, "left").join(c.locations.select(*keys, "latitude", "longitude", "city"), keys, "left")
+        assets.join(files, keys, "left").join(near(c.locations).select(*keys, "latitude", "longitude", "city"), keys, "left")
         .join(described, keys, "left").join(spoken, keys, "left").join(said, "transcript_id", "left")
     )

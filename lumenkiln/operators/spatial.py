@@ -42,44 +42,84 @@ def in_box(radius_m: float) -> Column:
 def nearest_resolved(probe: DataFrame, target: DataFrame, radius_m: float, *, key: str, candidate_cap: int | None = None, on: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """The nearest resolved target (t_id, t_updated) of each probe row; ties go to the latest update, then the greatest id.
 
-    candidate_cap reproduces a reader that looks only at the latest so many targets of the box, which changes answers
+    Many rows share one spot, so spots are paired and not rows: each distinct probe place meets each distinct target place, which
+    stands for its best targets.  candidate_cap reproduces a reader that looks only at the latest so many targets of the box, which changes answers
     only in dense places; without it the answer is exact.
     """
-    order = [F.col("t_updated").desc_nulls_last(), F.col("t_id").desc()]
+    newest = F.struct(F.coalesce(F.unix_micros(F.col("t_updated").cast("timestamp")), F.lit(-(1 << 62))).alias("u"), F.col("t_id").alias("t_id"))
+    spot_p, spot_t = [*on, "p_lat", "p_lon"], [*on, "t_lat", "t_lon"]
+    spots = probe.select(*spot_p).distinct()
     if candidate_cap is None:
-        pairs = within_radius(probe, target, radius_m, on=list(on))
-        best = F.min_by(F.struct("t_id", "distance_m"), F.struct("distance_m", (-F.unix_micros(F.col("t_updated").cast("timestamp"))).alias("u"), (-F.col("t_id")).alias("i")))
-        return pairs.groupBy(key).agg(best.alias("best")).select(key, "best.*")
-    # the box reaches beyond the circle, so cells are taken half as wide again
-    p = _with_cells(probe.filter("p_lat is not null and p_lon is not null"), "p_lat", "p_lon", 1.5 * radius_m, True)
-    t = _with_cells(target.filter("t_lat is not null and t_lon is not null"), "t_lat", "t_lon", 1.5 * radius_m, False)
-    pairs = p.join(t, [*on, "_row", "_col"]).filter(in_box(radius_m))
-    pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= candidate_cap)
-    pairs = pairs.withColumn("distance_m", geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("t_lat"), F.col("t_lon"))).filter(F.col("distance_m") <= radius_m)
-    best = F.min_by(F.struct("t_id", "distance_m"), F.struct("distance_m", "_n"))
-    return pairs.groupBy(key).agg(best.alias("best")).select(key, "best.*")
+        best_here = target.groupBy(*spot_t).agg(F.max(newest).alias("t"))
+        pairs = within_radius(spots, best_here, radius_m, on=list(on))
+        best = F.min_by(F.struct("t.t_id", "distance_m"), F.struct("distance_m", (-F.col("t.u")).alias("u"), (-F.col("t.t_id")).alias("i")))
+    else:
+        # of one spot no more than the cap can be among the latest of a box; the box reaches beyond the circle, so cells are taken half as wide again
+        kept = target.withColumn("_n", F.row_number().over(Window.partitionBy(*spot_t).orderBy(F.col("t_updated").desc_nulls_last(), F.col("t_id").desc()))).filter(F.col("_n") <= candidate_cap)
+        here = kept.groupBy(*spot_t).agg(F.collect_list(newest).alias("ts"))
+        p = _with_cells(spots.filter("p_lat is not null and p_lon is not null"), "p_lat", "p_lon", 1.5 * radius_m, True)
+        t = _with_cells(here.filter("t_lat is not null and t_lon is not null"), "t_lat", "t_lon", 1.5 * radius_m, False)
+        pairs = p.join(t, [*on, "_row", "_col"]).filter(in_box(radius_m)).withColumn("t", F.explode("ts"))
+        pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*spot_p).orderBy(F.col("t").desc()))).filter(F.col("_n") <= candidate_cap)
+        pairs = pairs.withColumn("distance_m", geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("t_lat"), F.col("t_lon"))).filter(F.col("distance_m") <= radius_m)
+        best = F.min_by(F.struct("t.t_id", "distance_m"), F.struct("distance_m", "_n"))
+    of_spot = pairs.groupBy(*spot_p).agg(best.alias("best"))
+    return probe.join(of_spot, spot_p).select(key, "best.*")
+
+
+def todo_and_seeds(rows: DataFrame, *, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows that may get a category, rows that have one); manual categories are never replaced, others only with force."""
+    has = F.coalesce(F.trim("category"), F.lit("")) != ""
+    todo = rows.filter(F.coalesce(F.col("category_source") != "Manual", F.lit(True)) & (F.lit(force) | ~has) | ~has)
+    return todo, rows.filter(has)
+
+
+def _manual() -> Column:
+    return F.when(F.col("category_source") == "Manual", 0).otherwise(1)
+
+
+def category_by_address(todo: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(location_id, address_category): of the rows at the same address but itself the first, manual ones before others, then the latest.
+
+    The two best seeds of an address are enough, as a row must only not take its own; they come of two aggregates, which combine before they move.
+    """
+    seeds = seeds.filter("street_address is not null")
+    rank = F.struct((-_manual()).alias("m"), F.col("modified_at").alias("at"), F.col("location_id").alias("s_id"))
+    best = seeds.groupBy("street_address").agg(F.max_by(F.struct(F.col("location_id").alias("s_id"), F.col("category").alias("s_category")), rank).alias("one"))
+    rest = seeds.join(best.select(F.col("one.s_id").alias("location_id")), "location_id", "left_anti")
+    then = rest.groupBy("street_address").agg(F.max_by("category", rank).alias("two"))
+    found = todo.select("location_id", "street_address").join(best, "street_address").join(then, "street_address", "left")
+    found = found.select("location_id", F.when(F.col("one.s_id") != F.col("location_id"), F.col("one.s_category")).otherwise(F.col("two")).alias("address_category"))
+    return found.filter("address_category is not null")
+
+
+def category_by_radius(todo: DataFrame, seeds: DataFrame, radius_m: float) -> DataFrame:
+    """(location_id, radius_category) of the nearest other categorised row, manual on ties, then the greatest id.  Spots are paired, with two seeds each."""
+    spot = ["p_lat", "p_lon"]
+    p = todo.select("location_id", F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
+    rank = F.struct((-_manual()).alias("m"), F.col("location_id").alias("i"))
+    t = seeds.filter("latitude is not null and longitude is not null").select(F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), rank.alias("rank"), F.col("category").alias("t_category"))
+    one = t.groupBy("t_lat", "t_lon").agg(F.max(F.struct("rank", "t_category")).alias("one"))
+    rest = t.join(one.select(F.col("one.rank").alias("rank")), "rank", "left_anti")
+    here = one.join(rest.groupBy("t_lat", "t_lon").agg(F.max(F.struct("rank", "t_category")).alias("two")), ["t_lat", "t_lon"], "left")
+    near = within_radius(p.select(*spot).distinct(), here.select("t_lat", "t_lon", F.array_compact(F.array("one", "two")).alias("best")), radius_m, on=[], earth_m=geo.LEGACY_EARTH_M)
+    # the two best of all seeds around a spot: a row on it must only not take its own
+    by = F.struct((-F.col("distance_m")).alias("d"), F.col("s.rank").alias("rank"), F.col("s.t_category").alias("t_category"))
+    ranked = near.select(*spot, "distance_m", F.explode("best").alias("s")).select(*spot, by.alias("c"))
+    first = ranked.groupBy(*spot).agg(F.max("c").alias("one"))
+    second = ranked.join(first, spot).filter("c.rank.i <> one.rank.i").groupBy(*spot).agg(F.max("c").alias("two"))
+    found = p.join(first, spot).join(second, spot, "left")
+    found = found.select("location_id", F.when(F.col("one.rank.i") != F.col("location_id"), F.col("one.t_category")).otherwise(F.col("two.t_category")).alias("radius_category"))
+    return found.filter("radius_category is not null")
 
 
 def propagated_category(rows: DataFrame, *, radius_m: float = 10.0, force: bool = False) -> DataFrame:
     """Category of each row from one at the same address, else from the nearest categorised one within the radius.
 
-    Manual categories are never replaced, others only with force.  At the address the manual ones come first, then the
-    latest; by distance the nearest, manual on ties.  Rows: location_id, street_address, latitude, longitude, category, category_source, modified_at.
+    Rows: location_id, street_address, latitude, longitude, category, category_source, modified_at.
     """
-    has = F.coalesce(F.trim("category"), F.lit("")) != ""
-    manual = F.when(F.col("category_source") == "Manual", 0).otherwise(1)
-    todo = rows.filter(F.coalesce(F.col("category_source") != "Manual", F.lit(True)) & (F.lit(force) | ~has) | ~has)
-    seeds = rows.filter(has)
-    # two best seeds an address: a row must not take its own
-    ranked = seeds.filter("street_address is not null").withColumn("_n", F.row_number().over(Window.partitionBy("street_address").orderBy(manual, F.desc("modified_at"), F.desc("location_id")))).filter("_n <= 2")
-    ranked = ranked.select("street_address", F.col("location_id").alias("s_id"), F.col("category").alias("s_category"), F.col("_n").alias("s_n"))
-    by_address = todo.select("location_id", "street_address").join(ranked, "street_address").filter("s_id <> location_id")
-    by_address = by_address.groupBy("location_id").agg(F.min_by("s_category", "s_n").alias("address_category"))
-    p = todo.select("location_id", F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
-    t = seeds.select(F.col("location_id").alias("t_id"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), F.col("category").alias("t_category"), manual.alias("t_manual"))
-    near = within_radius(p, t, radius_m, on=[], earth_m=geo.LEGACY_EARTH_M).filter("t_id <> location_id")
-    near = near.groupBy("location_id").agg(F.min_by("t_category", F.struct("distance_m", "t_manual", (-F.col("t_id")).alias("i"))).alias("radius_category"))
-    out = todo.select("location_id").join(by_address, "location_id", "left").join(near, "location_id", "left")
+    todo, seeds = todo_and_seeds(rows, force=force)
+    out = todo.select("location_id").join(category_by_address(todo, seeds), "location_id", "left").join(category_by_radius(todo, seeds, radius_m), "location_id", "left")
     return out.select(
         "location_id", F.coalesce("address_category", "radius_category").alias("new_category"),
         F.when(F.col("address_category").isNotNull(), "AddressPropagation").when(F.col("radius_category").isNotNull(), "RadiusPropagation10m").alias("new_source"),

@@ -197,12 +197,12 @@ def _(r: Roles):
 
 
 @query("J7_detail_fan_out", """select a.asset_id, (select count(*) from occurrence o join source s on s.source_id = o.source_id where o.asset_id = a.asset_id) as occurrences, l.city, d.description_text
-  from asset a left join location l on l.asset_id = a.asset_id left join (select asset_id, max_by(description_text, description_id) as description_text from description where is_current group by asset_id) d on d.asset_id = a.asset_id where a.asset_id < 50""")
+  from asset a left join location l on l.asset_id = a.asset_id left join (select asset_id, max_by(description_text, description_id) as description_text from description where is_current group by asset_id) d on d.asset_id = a.asset_id""")
 def _(r: Roles):
     keys = ["user_id", "asset_id"]
     n = r.occurrence.join(r.source, "source_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"))
     d = latest_current(r.description, "description_id", "description_text")
-    rows = r.asset.filter("asset_id < 50").join(n, keys, "left").join(r.location.select(*keys, "city"), keys, "left").join(d, keys, "left")
+    rows = r.asset.join(n, keys, "left").join(r.location.select(*keys, "city"), keys, "left").join(d, keys, "left")
     return rows.select("asset_id", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), "city", "description_text")
 
 
@@ -236,8 +236,9 @@ def _duplicates(r: Roles):
     return r.stage.withColumn("n", F.row_number().over(w)).filter("n > 1").select("import_id", "row_no")
 
 
-for _name in ("J11_stage_duplicates", "W0a_first_per_item", "M7_reject_duplicates"):
-    query(_name, _DUP)(_duplicates)
+query("J11_stage_duplicates", _DUP)(_duplicates)
+query("W0a_first_per_item", _DUP.replace("n > 1", "n = 1"))(
+    lambda r: r.stage.groupBy("import_id", "source_item_id").agg(F.min("row_no").alias("row_no")).select("import_id", "row_no"))
 query("J12_relinks", "select count(*) as relinks from stage s join part p on p.p_partkey = s.source_id where s.content_key <> p.p_size")(
     lambda r: r.stage.join(r.part, F.col("source_id") == F.col("p_partkey")).filter("content_key <> p_size").agg(F.count(F.lit(1)).alias("relinks")))
 query("J13_hash_resolution", "select w.content_key, a.asset_id from (select distinct content_key from stage) w left join asset a on a.asset_id = w.content_key and a.user_id = w.content_key % 3")(
@@ -252,8 +253,8 @@ query("J16_orphan_assets", "select asset_id from asset where asset_id not in (se
     lambda r: r.asset.join(r.occurrence.filter("deletion_state = 'Active'"), "asset_id", "left_anti").select("asset_id"))
 query("J17_import_claim", "select o.o_orderkey as import_id, s.source_key, c.c_name as owner from orders o join source s on s.source_id = o.o_orderkey % 7 join customer c on c.c_custkey = o.o_custkey where o.o_orderstatus = 'O'")(
     lambda r: r.orders.filter("o_orderstatus = 'O'").join(r.source, F.col("source_id") == F.col("o_orderkey") % 7).join(r.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("import_id"), "source_key", F.col("c_name").alias("owner")))
-query("J18_dispatchable_jobs", "select distinct j.job_id from stage s join job j on j.asset_id = s.content_key where j.status = 'Queued' and s.import_id < 500")(
-    lambda r: r.job.filter("status = 'Queued'").join(r.stage.filter("import_id < 500").select(F.col("content_key").alias("asset_id")), "asset_id", "left_semi").select("job_id"))
+query("J18_dispatchable_jobs", "select distinct j.job_id from stage s join job j on j.asset_id = s.content_key where j.status = 'Queued'")(
+    lambda r: r.job.filter("status = 'Queued'").join(r.stage.select(F.col("content_key").alias("asset_id")), "asset_id", "left_semi").select("job_id"))
 
 
 @query("J19_page_then_aggregate", "select count(*) as n, count(l.location_id) as mapped, coalesce(min(p.asset_id), 0) as first_id, coalesce(max(p.asset_id), 0) as last_id from (select asset_id from asset where asset_id > 20 order by asset_id limit 100) p left join location l on l.asset_id = p.asset_id")
@@ -389,7 +390,7 @@ _LATEST = "select asset_id, captured_local from asset where captured_local is no
 for _name in ("T9_latest_25", "Q15_latest_photos"):
     query(_name, _LATEST)(lambda r: r.asset.filter("captured_local is not null").orderBy(F.desc("captured_local"), F.desc("asset_id")).limit(25).select("asset_id", "captured_local"))
 query("T10_preview_10", "select location_id from location where lower(city) like '%town3%' order by location_id limit 10")(lambda r: r.location.filter(X.matches(F.col("city"), "town3")).orderBy("location_id").limit(10).select("location_id"))
-query("T11_path_order", "select occurrence_id, file_name from occurrence where import_id < 40 order by lower(file_name), occurrence_id")(lambda r: r.occurrence.filter("import_id < 40").orderBy(F.lower("file_name"), "occurrence_id").select("occurrence_id", "file_name"))
+query("T11_path_order", "select occurrence_id, file_name from occurrence order by lower(file_name), occurrence_id")(lambda r: r.occurrence.orderBy(F.lower("file_name"), "occurrence_id").select("occurrence_id", "file_name"))
 query("T12_result_order", "select row_no, source_item_id from stage where import_id = 7 order by row_no")(lambda r: r.stage.filter("import_id = 7").orderBy("row_no").select("row_no", "source_item_id"))
 query("T13_checkpoint_page", "select asset_id from asset where asset_id > 20 order by asset_id limit 100")(lambda r: r.asset.filter("asset_id > 20").orderBy("asset_id").limit(100).select("asset_id"))
 

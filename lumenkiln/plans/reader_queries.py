@@ -56,8 +56,8 @@ def _(r: Roles):
     return media.timeline(catalog(r), MediaQuery(device_id=DEVICE, trash="Trashed", sort="UpdatedAtDesc", limit=30)).select(*_COLUMNS)
 
 
-query("Q3_summaries", f"with page as (select *, created_at as sort_key from asset where asset_id < 60), {_SUMMARY} select {', '.join(_COLUMNS)} from summary")(
-    lambda r: media.summaries(catalog(r), r.asset.filter("asset_id < 60").withColumn("sort_key", F.col("created_at")), DEVICE).select(*_COLUMNS))
+query("Q3_summaries", f"with page as (select *, created_at as sort_key from asset), {_SUMMARY} select {', '.join(_COLUMNS)} from summary")(
+    lambda r: media.summaries(catalog(r), r.asset.withColumn("sort_key", F.col("created_at")), DEVICE, page=False).select(*_COLUMNS))
 
 
 def _search_sql(text: str, limit: int) -> str:
@@ -100,9 +100,9 @@ for _name, _text, _limit in (("Q2_search", "town3", 40), ("Q2_search_wildcard",
   left join (select user_id, asset_id, count(*) as n, count(*) filter (where device_id = {DEVICE}) as own from occurrence o join source s on s.source_id = o.source_id group by 1, 2) o using (user_id, asset_id)
   left join location l using (user_id, asset_id) left join (select user_id, asset_id, max_by(description_text, description_id) as description_text from description where is_current group by 1, 2) d using (user_id, asset_id)
   left join (select user_id, asset_id, max(transcript_id) as transcript_id from transcript where is_current group by 1, 2) t using (user_id, asset_id)
-  left join (select transcript_id, count(*) as n from segment group by 1) g using (transcript_id) where a.asset_id < 120 and {VISIBLE_TRASH.format(d=DEVICE)}""")
+  left join (select transcript_id, count(*) as n from segment group by 1) g using (transcript_id) where {VISIBLE_TRASH.format(d=DEVICE)}""")
 def _(r: Roles):
-    rows = media.detail(catalog(r), r.asset.filter("asset_id < 120").select("asset_id"), DEVICE)
+    rows = media.detail(catalog(r), r.asset.select("asset_id"), DEVICE)
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long")
     own = F.when(F.col("occurrences").isNotNull(), F.size(F.filter("occurrences", lambda o: o["locator"].isNotNull()))).cast("long")
     return rows.select("asset_id", size("occurrences").alias("n"), own.alias("own_locators"), "city", "description_text", "transcript_id", size("segments").alias("segments")).withColumnRenamed("n", "occurrences")
@@ -121,8 +121,8 @@ query("Q8_devices", "select device_id, count(*) as sources from source where dev
     lambda r: feeds.keyset(r.source.groupBy("device_id").agg(F.count(F.lit(1)).alias("sources")), "device_id", 20, 20, descending=True))
 query("Q8_sources", f"select source_id, source_key, storage_mode, source_status from source where device_id = {DEVICE} or storage_mode = 'Remote' order by source_id desc limit 51")(
     lambda r: feeds.keyset(r.source.filter(f"device_id = {DEVICE} or storage_mode = 'Remote'"), "source_id", None, 50, descending=True).select("source_id", "source_key", "storage_mode", "source_status"))
-query("Q9_import_status", "select o_orderkey as import_id, o_orderstatus as status, s.n as processed, s.rejected, case when s.rejected > 0 then 'CompletedWithErrors' else 'Completed' end as result from orders join (select import_id, count(*) as n, count(*) filter (where file_name is null) as rejected from stage group by 1) s on s.import_id = o_orderkey where o_orderkey < 100")(
-    lambda r: r.orders.filter("o_orderkey < 100").join(r.stage.groupBy("import_id").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("file_name").isNull()).alias("rejected")), F.col("import_id") == F.col("o_orderkey")).select(
+query("Q9_import_status", "select o_orderkey as import_id, o_orderstatus as status, s.n as processed, s.rejected, case when s.rejected > 0 then 'CompletedWithErrors' else 'Completed' end as result from orders join (select import_id, count(*) as n, count(*) filter (where file_name is null) as rejected from stage group by 1) s on s.import_id = o_orderkey")(
+    lambda r: r.orders.join(r.stage.groupBy("import_id").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("file_name").isNull()).alias("rejected")), F.col("import_id") == F.col("o_orderkey")).select(
         "import_id", F.col("o_orderstatus").alias("status"), "processed", "rejected", F.when(F.col("rejected") > 0, "CompletedWithErrors").otherwise("Completed").alias("result")))
 query("Q11_legacy_audit", "select 'status:' || status as item, count(*) as n from job group by 1 union all select 'rows:asset', count(*) from asset union all select 'inconsistent', count(*) from asset where abs(date_sub('second', captured_local - to_minutes(cast(-240 + asset_id % 2 as bigint)), captured_utc)) > 1")(
     lambda r: r.job.groupBy(F.concat(F.lit("status:"), "status").alias("item")).agg(F.count(F.lit(1)).alias("n")).union(r.asset.agg(F.lit("rows:asset").alias("item"), F.count(F.lit(1)).alias("n"))).union(
@@ -171,9 +171,12 @@ query("T6_nearest_of_latest", f"""select p_id, t_id, round(d, 1) as distance_m f
     lambda r: spatial.nearest_resolved(*_points(r), RADIUS, key="p_id", candidate_cap=3).select("p_id", "t_id", F.round("distance_m", 1).alias("distance_m")))
 
 
+def _rows(r: Roles):
+    return r.location.withColumn("category_source", F.when(F.coalesce(F.trim("category"), F.lit("")) != "", F.col("category_source")))
+
+
 def _propagated(r: Roles):
-    rows = r.location.withColumn("category_source", F.when(F.coalesce(F.trim("category"), F.lit("")) != "", F.col("category_source")))
-    return spatial.propagated_category(rows, radius_m=RADIUS)
+    return spatial.propagated_category(_rows(r), radius_m=RADIUS)
 
 
 _LD = _dist("p.latitude", "p.longitude", "t.latitude", "t.longitude", "6371000.0")
@@ -181,8 +184,10 @@ _PROP = f"""with base as (select * replace (case when coalesce(trim(category), '
   addr as (select location_id, category from (select p.location_id, t.category, row_number() over (partition by p.location_id order by case when t.category_source = 'Manual' then 0 else 1 end, t.modified_at desc, t.location_id desc) as n from todo p join seed t on t.street_address = p.street_address and t.location_id <> p.location_id) x where n = 1),
   near as (select location_id, category from (select p.location_id, t.category, row_number() over (partition by p.location_id order by {_LD}, case when t.category_source = 'Manual' then 0 else 1 end, t.location_id desc) as n from todo p join seed t on t.location_id <> p.location_id and {_LD} <= {RADIUS}) x where n = 1)
   select p.location_id, coalesce(a.category, n.category) as new_category, case when a.category is not null then 'AddressPropagation' else 'RadiusPropagation10m' end as new_source from todo p left join addr a using (location_id) left join near n using (location_id) where coalesce(a.category, n.category) is not null"""
-for _name in ("J24_category_by_radius", "J25_category_by_address", "L4_category_propagation"):
-    query(_name, _PROP)(_propagated)
+query("L4_category_propagation", _PROP)(_propagated)
+_WITH = _PROP.rsplit("select p.location_id, coalesce(a.category", 1)[0]
+query("J24_category_by_radius", _WITH + "select location_id, category as radius_category from near")(lambda r: spatial.category_by_radius(*spatial.todo_and_seeds(_rows(r)), RADIUS))
+query("J25_category_by_address", _WITH + "select location_id, category as address_category from addr")(lambda r: spatial.category_by_address(*spatial.todo_and_seeds(_rows(r))))
 
 RULES = [
     Rule("harbour", "Harbour Quarter", city="Town3", street_contains=["quay"]),
