@@ -14,11 +14,13 @@ for _n in ("Z5_recovery_sweep",):
     QUERIES[_n], ORACLE_SQL[_n] = QUERIES["F10_sweep_outcome"], ORACLE_SQL["F10_sweep_outcome"]
 
 _ORDERED = "select *, row_number() over (partition by user_id, idempotency_key order by arrived_at, seq) as n from request"
+_FREE = "date_sub('second', f.holder_at, r.arrived_at) >= 86400"
+_HELD = {"holder_at": "arrived_at", "holder_done": "answered_at", "holder_method": "method", "holder_route": "route", "holder_sha": "request_sha256"}
 query("Z2_idempotency", f"""with recursive r as ({_ORDERED}), f as (
-  select user_id, idempotency_key, seq, n, arrived_at as holder_at, request_sha256 as holder_sha, 'New' as outcome from r where n = 1
-  union all select r.user_id, r.idempotency_key, r.seq, r.n, case when date_sub('second', f.holder_at, r.arrived_at) >= 86400 then r.arrived_at else f.holder_at end,
-    case when date_sub('second', f.holder_at, r.arrived_at) >= 86400 then r.request_sha256 else f.holder_sha end,
-    case when date_sub('second', f.holder_at, r.arrived_at) >= 86400 then 'New' when f.holder_sha = r.request_sha256 then 'Replay' else 'KeyReused' end
+  select user_id, idempotency_key, seq, n, {', '.join(f'{c} as {h}' for h, c in _HELD.items())}, 'New' as outcome from r where n = 1
+  union all select r.user_id, r.idempotency_key, r.seq, r.n, {', '.join(f'case when {_FREE} then r.{c} else f.{h} end' for h, c in _HELD.items())},
+    case when {_FREE} then 'New' when f.holder_sha <> r.request_sha256 or f.holder_method <> r.method or f.holder_route <> r.route then 'KeyReused'
+      when f.holder_done is not null and f.holder_done <= r.arrived_at then 'Replay' else 'RequestInProgress' end
   from f join r on r.user_id = f.user_id and r.idempotency_key = f.idempotency_key and r.n = f.n + 1)
 select user_id, idempotency_key, seq, outcome from f""")(lambda r: ledger.idempotency(r.request))
 
@@ -52,6 +54,21 @@ query("Z9_open_circuits", _OPEN)(lambda r: ledger.circuits(_circuit_events(r)))
 query("Z9_blocked_by_circuit", f"select u.seq, case when c.user_id is null and n <= 12 then 'Admitted' else 'DeferredQuota' end as decision from (select *, row_number() over (partition by user_id, provider, usage_month order by seq) as n from usage) u left join ({_OPEN}) c using (user_id, provider, usage_month)")(
     lambda r: ledger.admit(r.usage, limit=12, circuits=ledger.circuits(_circuit_events(r))).select("seq", "decision"))
 
+
+
+def _deferred(r: Roles):
+    """Jobs with their provider, some deferred by an open circuit; the first job of each user and provider is retried."""
+    jobs = r.job.withColumns({"provider": F.when(F.col("job_type") == "Geocode", "maps").otherwise("vision"), "failure_code": F.when(F.col("job_id") % 5 < 4, "ProviderCircuitOpen")}).select(
+        "job_id", "user_id", "provider", "job_type", "status", "attempt_count", "next_attempt", "failure_code")
+    return jobs, jobs.groupBy("user_id", "provider").agg(F.min("job_id").alias("job_id"))
+
+
+query("Z9_promoted", """with j as (select job_id, user_id, job_type, status, attempt_count, next_attempt, status = 'DeferredQuota' and job_id % 5 < 4 and job_id <> min(job_id) over (partition by user_id, job_type) as waits from job),
+  n as (select *, count(*) filter (where waits) over (partition by user_id, job_type order by job_id) as k from j)
+  select job_id, case when waits and k <= 100 then case when job_type = 'Description' then 'Preparing' else 'Queued' end else status end as status, case when waits and k <= 100 then 0 else attempt_count end as attempt_count,
+    case when waits and k <= 100 and job_type = 'Description' then null when waits then timestamp '2024-02-01' else next_attempt end as next_attempt from n""")(
+    lambda r: ledger.promote_deferred(*_deferred(r), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).select("job_id", "status", F.col("attempt_count").cast("long").alias("attempt_count"), "next_attempt"))
+
 _ALLOWED = " or ".join(f"(f.status = '{a}' and r.status in ({', '.join(repr(b) for b in bs)}))" for a, bs in ledger.TRANSITIONS.items())
 query("Z3_job_states", f"""with recursive r as (select asset_id as job_id, job_id as seq, status, row_number() over (partition by asset_id order by job_id) as n, count(*) over (partition by asset_id) as events from job), f as (
   select job_id, status, n, events from r where n = 1 union all select r.job_id, case when {_ALLOWED} then r.status else f.status end, r.n, r.events from f join r on r.job_id = f.job_id and r.n = f.n + 1)
@@ -73,6 +90,33 @@ query("Z7_active_imports", f"select source_id, import_id from (select o_custkey
     lambda r: ledger.active_imports(_imports(r), F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")).select("source_id", "import_id"))
 query("Z6_claimable_imports", f"select o_orderkey as import_id from orders where o_orderstatus not in ('O', 'F') and o_orderdate <= {_AT} order by o_orderdate, o_orderkey limit 20")(
     lambda r: _imports(r).filter("status = 'Queued' and created_at <= timestamp_ntz '1997-01-01'").orderBy("created_at", "import_id").limit(20).select("import_id"))
+
+
+def _phased(r: Roles):
+    """Imports in all states and phases, with leases and times of a next attempt."""
+    k = F.col("o_orderkey")
+    phase = F.element_at(F.array(*map(F.lit, ("Downloading", "Staged", "Merging", "Merged", "WritingResult", "None"))), (k % 6 + 1).cast("int"))
+    return r.orders.select(
+        k.alias("import_id"), F.when(k % 3 == 0, "Running").when(k % 3 == 1, "Queued").otherwise("Completed").alias("status"), F.when(k % 6 != 5, phase).alias("phase"), (k % 5).cast("int").alias("attempt_count"),
+        F.when(k % 3 == 0, F.sha2(F.lit("m-0"), 256)).alias("lease_hash"), F.when(k % 3 == 0, F.col("o_orderdate").cast("timestamp_ntz")).alias("lease_expires"), F.when(k % 4 == 1, F.col("o_orderdate").cast("timestamp_ntz")).alias("next_attempt"))
+
+
+_PHASED = f"""select o_orderkey as import_id, case o_orderkey % 6 when 0 then 'Downloading' when 1 then 'Staged' when 2 then 'Merging' when 3 then 'Merged' when 4 then 'WritingResult' end as phase, o_orderkey % 5 as attempt_count,
+  case when o_orderkey % 3 = 0 then 'Running' when o_orderkey % 3 = 1 then 'Queued' else 'Completed' end as status, (o_orderkey % 3 = 0 and o_orderdate <= {_AT}) or (o_orderkey % 3 = 1 and (o_orderkey % 4 <> 1 or o_orderdate <= {_AT})) as claimed from orders"""
+query("Z6_claims", f"""select import_id, case when claimed then 'Running' else status end as status, attempt_count + case when claimed then 1 else 0 end as attempt_count, case when claimed then coalesce(case when phase <> 'Downloading' then phase end, 'Downloading') else phase end as phase,
+  case when claimed then case when phase in ('Staged', 'Merging') then 'Merge' when phase in ('Merged', 'WritingResult') then 'WriteResult' else 'Download' end end as next_step from ({_PHASED}) p""")(
+    lambda r: ledger.claim_imports(_phased(r), "m-1", F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")).select("import_id", "status", F.col("attempt_count").cast("long").alias("attempt_count"), "phase", "next_step"))
+
+
+def _failed(r: Roles):
+    """Every running import's worker reports a failure, a third of them under a lease that is not its own."""
+    failures = r.orders.select(F.col("o_orderkey").alias("import_id"), F.sha2(F.when(F.col("o_orderkey") % 9 == 0, "other").otherwise("m-0"), 256).alias("lease_hash"), (F.col("o_orderkey") % 2 == 0).alias("retryable"))
+    return ledger.failed_imports(_phased(r), failures, F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"), max_attempts=4)
+
+
+query("Z6_failed", f"""select import_id, case when not told then status when import_id % 2 = 0 and attempt_count < 4 then 'Queued' else 'Failed' end as status,
+  case when told and import_id % 2 = 0 and attempt_count < 4 then {_AT} + to_seconds(cast(least(3600, 300 * 2 ** greatest(attempt_count - 1, 0)) as bigint)) when import_id % 4 = 1 then o_orderdate end as next_attempt
+  from (select p.*, o.o_orderdate, status = 'Running' and import_id % 9 <> 0 as told from ({_PHASED}) p join orders o on o.o_orderkey = p.import_id) x""")(lambda r: _failed(r).select("import_id", "status", "next_attempt"))
 query("Z10_can_retry", "select job_id, status = 'DeferredQuota' or (status = 'Failed' and attempt_count < max_attempts) as can_retry from job")(lambda r: r.job.select("job_id", feeds.can_retry().alias("can_retry")))
 query("Z11_upload_leases", f"select o_orderkey as session_id from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey) as n from orders where o_orderstatus = 'O' and o_orderdate + interval 1 day > {_AT}) x where n = 1")(
     lambda r: ledger.active_uploads(r.orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("asset_id"), F.col("o_orderpriority").alias("purpose"), F.when(F.col("o_orderstatus") == "O", "Active").otherwise("Closed").alias("state"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(1))).alias("expires_at")), F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))[0].select("session_id"))

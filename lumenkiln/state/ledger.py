@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,22 +44,43 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def idempotency(requests: DataFrame) -> DataFrame:
-    """Each request as New, Replay or KeyReused: against the first request of its key within the expiry.
+IDENTITY = ("method", "route", "request_sha256")
 
-    Rows: user_id, idempotency_key, request_sha256, arrived_at, seq.  A key whose holder is older than the expiry is free
-    again, so a key's requests fall into spans, each held by its first request.
-    """
 
-    def step(holder, row):
-        if holder is None or (row.arrived_at - holder[0]).total_seconds() >= EXPIRY_HOURS * 3600:
-            holder, said = (row.arrived_at, row.request_sha256), "New"
-        else:
-            said = "Replay" if holder[1] == row.request_sha256 else "KeyReused"
-        return holder, (row.user_id, row.idempotency_key, row.seq, said)
+def idempotency(requests: DataFrame) -> DataFrame:
+    """Each request as New, Replay, KeyReused or RequestInProgress: against the first request of its key within the expiry.
 
-    columns = requests.select("user_id", "idempotency_key", "seq", "request_sha256", "arrived_at")
-    return folded(columns, ["user_id", "idempotency_key"], ["arrived_at", "seq"], lambda: None, step, "user_id long, idempotency_key string, seq long, outcome string")
+    Rows: user_id, idempotency_key, method, route, request_sha256, arrived_at, answered_at (when the response was stored, null if it never was),
+    seq.  A key whose holder is older than the expiry is free again, so a key's requests fall into spans, each held by its first request.
+    A request that is the holder's in method, route and hash gets the stored response if there is one by then.
+
+    A pause of the expiry or longer always ends a span.  Between pauses, requests that all stand within the expiry of their first are one span; only
+    the rest, in which spans follow each other without a pause, are gone through one by one.
+    """
+    own = requests.select("user_id", "idempotency_key", *IDENTITY, "arrived_at", "answered_at", "seq")
+    key, seconds = ["user_id", "idempotency_key"], lambda a, b: F.unix_seconds(F.col(b).cast("timestamp")) - F.unix_seconds(F.col(a).cast("timestamp"))
+    line = Window.partitionBy(*key).orderBy("arrived_at", "seq")
+    pause = F.coalesce(seconds("_before", "arrived_at") >= EXPIRY_HOURS * 3600, F.lit(True))
+    rows = own.withColumn("_before", F.lag("arrived_at").over(line)).withColumn("_run", F.sum(pause.cast("int")).over(line)).drop("_before")
+    runs = rows.groupBy(*key, "_run").agg(F.min("arrived_at").alias("_from"), F.max("arrived_at").alias("_to"), F.min_by(F.struct("seq", "answered_at", *IDENTITY), F.struct("arrived_at", "seq")).alias("_holder"))
+    rows = rows.join(runs, [*key, "_run"])
+    short = seconds("_from", "_to") < EXPIRY_HOURS * 3600
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_holder.{c}")) for c in IDENTITY])
+    said = F.when(F.col("seq") == F.col("_holder.seq"), "New").when(~same, "KeyReused").when(F.coalesce(F.col("_holder.answered_at") <= F.col("arrived_at"), F.lit(False)), "Replay").otherwise("RequestInProgress")
+    one_by_one = folded(rows.filter(~short).select(*own.columns, "_run"), [*key, "_run"], ["arrived_at", "seq"], lambda: None, idempotent_step, "user_id long, idempotency_key string, seq long, outcome string")
+    return rows.filter(short).select(*key, "seq", said.alias("outcome")).unionByName(one_by_one)
+
+
+def idempotent_step(holder, row):
+    """The holder after a request, and what is said to it: (arrived, answered, method, route, hash) and the outcome."""
+    own = (row.method, row.route, row.request_sha256)
+    if holder is None or (row.arrived_at - holder[0]).total_seconds() >= EXPIRY_HOURS * 3600:
+        holder, said = (row.arrived_at, row.answered_at, *own), "New"
+    elif holder[2:] != own:
+        said = "KeyReused"
+    else:
+        said = "Replay" if holder[1] is not None and holder[1] == holder[1] and holder[1] <= row.arrived_at else "RequestInProgress"
+    return holder, (row.user_id, row.idempotency_key, row.seq, said)
 
 
 def admit(requests: DataFrame, *, limit: int, usd_limit: Decimal | None = None, reservation: Decimal | None = None, circuits: DataFrame | None = None) -> DataFrame:
@@ -104,6 +127,39 @@ def circuits(events: DataFrame) -> DataFrame:
     return last.filter("last = 'Failure'").drop("last")
 
 
+def delivered(messages: DataFrame, schema: str, succeeds: Callable[[Column], Column], *, max_receives: int = MAX_ATTEMPTS) -> DataFrame:
+    """Messages (message_id, body, receive_count) after a round: Done, Retry or Dead, one by one.
+
+    A body that is no JSON of the schema is Dead at once and fails nothing else; a message whose work fails comes again until it was received max_receives times.
+    """
+    bad = F.col("m._corrupt").isNotNull() | F.col("body").isNull()
+    rows = messages.withColumn("m", F.from_json("body", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    state = F.when(bad, "Dead").when(F.coalesce(succeeds(F.col("m")), F.lit(False)), "Done").when(F.col("receive_count") >= max_receives, "Dead").otherwise("Retry")
+    return rows.withColumn("state", state).drop("m")
+
+
+#: Deferred jobs of a provider that an explicit retry takes with it.
+PROMOTED = 100
+
+
+def promote_deferred(jobs: DataFrame, retried: DataFrame, as_of: Column) -> DataFrame:
+    """Jobs after explicit retries (user_id, provider, job_id) closed circuits.
+
+    The first hundred other jobs of the user and provider that an open circuit deferred run again, descriptions from their preparation on; the rest of them
+    are due at once.
+    """
+    mine = jobs.join(retried.select("user_id", "provider", F.col("job_id").alias("_retried")), ["user_id", "provider"])
+    waiting = mine.filter((F.col("status") == "DeferredQuota") & (F.col("failure_code") == "ProviderCircuitOpen") & (F.col("job_id") != F.col("_retried"))).select("user_id", "provider", "job_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("user_id", "provider").orderBy("job_id"))
+    marked = jobs.join(waiting.withColumn("_n", rank).select("job_id", "_n"), "job_id", "left")
+    up, due = F.coalesce(F.col("_n") <= PROMOTED, F.lit(False)), F.col("_n").isNotNull()
+    prepared = F.col("job_type") == "Description"
+    return marked.withColumns({
+        "status": F.when(up, F.when(prepared, "Preparing").otherwise("Queued")).otherwise(F.col("status")), "next_attempt": F.when(up & prepared, F.lit(None)).when(due, as_of).otherwise(F.col("next_attempt")),
+        "attempt_count": F.when(up, F.lit(0)).otherwise(F.col("attempt_count")), "failure_code": F.when(~up, F.col("failure_code")),
+    }).select(*jobs.columns)
+
+
 def fold_jobs(events: DataFrame) -> DataFrame:
     """Current state of each job from its events (job_id, seq, status): transitions that are not allowed are passed over."""
     allowed = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in TRANSITIONS.items() for x in pair])
@@ -134,6 +190,41 @@ def complete(jobs: DataFrame, completions: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("outcome").isNotNull() & held, F.when(fresh, F.col("outcome")).otherwise("Cancelled")).otherwise(F.col("status"))).select(*jobs.columns)
 
 
+IMPORT_LEASE_SECONDS = 900
+#: What a claimed import goes on with, by the phase it was left in; any other phase starts from the download.
+RESUME = {"Staged": "Merge", "Merging": "Merge", "Merged": "WriteResult", "WritingResult": "WriteResult"}
+
+
+def claim_imports(imports: DataFrame, owner: str, as_of: Column) -> DataFrame:
+    """Imports as a worker's claim leaves them: what is queued and due, or running under a lease that ran out, is leased and goes on in its phase.
+
+    Adds claimed and next_step (Download, Merge or WriteResult); imports that aren't claimed stay as they are.
+    """
+    due = (F.col("status") == "Queued") & (F.col("next_attempt").isNull() | (F.col("next_attempt") <= as_of))
+    lost = (F.col("status") == "Running") & (F.col("lease_expires").isNull() | (F.col("lease_expires") <= as_of))
+    claimed = F.coalesce(due | lost, F.lit(False))
+    phase = F.when(F.col("phase").isin(*RESUME), F.col("phase")).otherwise("Downloading")
+    step = reduce(lambda c, x: c.when(F.col("phase") == x[0], x[1]), RESUME.items(), F.when(F.lit(False), "")).otherwise("Download")
+    expires = as_of + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(IMPORT_LEASE_SECONDS))
+    keep = lambda name, value: F.when(F.col("claimed"), value).otherwise(F.col(name))
+    return imports.withColumns({"claimed": claimed, "next_step": F.when(claimed, step)}).withColumns({
+        "phase": keep("phase", phase), "attempt_count": keep("attempt_count", F.col("attempt_count") + 1), "lease_hash": keep("lease_hash", F.sha2(F.lit(owner), 256)),
+        "lease_expires": keep("lease_expires", expires), "status": keep("status", F.lit("Running")),
+    })
+
+
+def failed_imports(imports: DataFrame, failures: DataFrame, as_of: Column, *, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Imports after failures (import_id, lease_hash, retryable): only the lease's holder may report; retryable ones wait longer each time, others end."""
+    rows = imports.join(failures.select("import_id", F.col("lease_hash").alias("_lease"), "retryable"), "import_id", "left")
+    hit = F.coalesce((F.col("status") == "Running") & (F.col("lease_hash") == F.col("_lease")), F.lit(False))
+    again = hit & F.col("retryable") & (F.col("attempt_count") < max_attempts)
+    wait = F.least(F.lit(3600.0), 300 * F.pow(F.lit(2.0), F.greatest(F.col("attempt_count") - 1, F.lit(0))))
+    return rows.withColumns({
+        "next_attempt": F.when(again, as_of + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), wait)).otherwise(F.col("next_attempt")),
+        "status": F.when(again, "Queued").when(hit, "Failed").otherwise(F.col("status")), "lease_hash": F.when(~hit, F.col("lease_hash")), "lease_expires": F.when(~hit, F.col("lease_expires")),
+    }).select(*imports.columns)
+
+
 def active_uploads(sessions: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(active, expired) upload leases; of several active ones of an asset and purpose the first holds."""
     w = Window.partitionBy("asset_id", "purpose").orderBy("created_at", "session_id")

@@ -7,6 +7,7 @@ available-now trigger and compare.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..state.ledger import EXPIRY_HOURS, TRANSITIONS
+from ..state.ledger import EXPIRY_HOURS, TRANSITIONS, idempotent_step
+
+#: How long a month's usage is remembered after its last request: two months.
+MONTHS_KEPT_MS = 62 * 24 * 3_600_000
 
 
 def change_feed(spark: SparkSession, path: str, schema: T.StructType, visible: DataFrame, device_id: int) -> DataFrame:
@@ -30,35 +34,46 @@ def replays_dropped(requests: DataFrame, *, delay: str = f"{EXPIRY_HOURS} hours"
     return requests.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["user_id", "idempotency_key", "request_sha256"])
 
 
+def _in_order(rows: Iterator[pd.DataFrame], *order: str) -> Iterator:
+    """A key's rows of one batch, from all its frames, in order; a batch's size is the source's to bound."""
+    return pd.concat(list(rows)).sort_values(list(order)).itertuples()
+
+
 class IdempotencyProcessor(StatefulProcessor):
-    """Keeps the holder of a key and tells New, Replay and KeyReused apart; a holder older than the expiry is replaced."""
+    """Keeps the holder of a key and tells the outcomes apart; a holder older than the expiry is replaced, and with forget its state goes after twice the expiry."""
+
+    def __init__(self, forget: bool):
+        self._ttl = 2 * EXPIRY_HOURS * 3_600_000 if forget else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._holder = handle.getValueState("holder", "at timestamp, sha string")
+        self._holder = handle.getValueState("holder", "at timestamp, done timestamp, method string, route string, sha string", ttlDurationMs=self._ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = self._holder.get() if self._holder.exists() else None
-        at, sha = (pd.Timestamp(held[0]).tz_localize(None), held[1]) if held else (None, None)
-        for frame in rows:
-            out = []
-            for row in frame.sort_values(["arrived_at", "seq"]).itertuples():
-                now = pd.Timestamp(row.arrived_at).tz_localize(None)
-                if at is None or (now - at).total_seconds() >= EXPIRY_HOURS * 3600:
-                    at, sha, said = now, row.request_sha256, "New"
-                else:
-                    said = "Replay" if sha == row.request_sha256 else "KeyReused"
-                out.append((key[0], key[1], row.seq, said))
-            yield pd.DataFrame(out, columns=["user_id", "idempotency_key", "seq", "outcome"])
-        self._holder.update((at.to_pydatetime(), sha))
+        plain = lambda t: None if t is None or pd.isna(t) else pd.Timestamp(t).tz_localize(None)
+        holder = None
+        if self._holder.exists():
+            at, done, *own = self._holder.get()
+            holder = (plain(at), plain(done), *own)
+        out = []
+        for row in _in_order(rows, "arrived_at", "seq"):
+            row = SimpleNamespace(user_id=key[0], idempotency_key=key[1], seq=row.seq, method=row.method, route=row.route, request_sha256=row.request_sha256, arrived_at=plain(row.arrived_at), answered_at=plain(row.answered_at))
+            holder, said = idempotent_step(holder, row)
+            out.append(said)
+        self._holder.update((holder[0].to_pydatetime(), holder[1] and holder[1].to_pydatetime(), *holder[2:]))
+        yield pd.DataFrame(out, columns=["user_id", "idempotency_key", "seq", "outcome"])
 
     def close(self) -> None:
         pass
 
 
-def idempotency(requests: DataFrame) -> DataFrame:
-    """Outcome of every request, keyed state in place of stored responses."""
+def idempotency(requests: DataFrame, *, forget: bool = False) -> DataFrame:
+    """Outcome of every request, keyed state in place of stored responses.
+
+    With forget, state that was not touched for twice the expiry goes.  That is measured in processing time, for which Spark starts batches
+    for as long as the query runs, so it is for queries that run on, not for available-now triggers.
+    """
     return requests.groupBy("user_id", "idempotency_key").transformWithStateInPandas(
-        IdempotencyProcessor(), "user_id long, idempotency_key string, seq long, outcome string", "Append", "None",
+        IdempotencyProcessor(forget), "user_id long, idempotency_key string, seq long, outcome string", "Append", "ProcessingTime" if forget else "None",
     )
 
 
@@ -70,11 +85,10 @@ class JobProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         now, events = self._status.get() if self._status.exists() else (None, 0)
-        for frame in rows:
-            for row in frame.sort_values("seq").itertuples():
-                events += 1
-                if now is None or row.status in TRANSITIONS.get(now, []):
-                    now = row.status
+        for row in _in_order(rows, "seq"):
+            events += 1
+            if now is None or row.status in TRANSITIONS.get(now, []):
+                now = row.status
         self._status.update((now, events))
         yield pd.DataFrame([(key[0], now, events)], columns=["job_id", "status", "events"])
 
@@ -88,30 +102,30 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 class QuotaProcessor(StatefulProcessor):
-    """Admits one unit a request until the month's limit."""
+    """Admits one unit a request until the month's limit; with forget, a month's state goes some time after its last request."""
 
-    def __init__(self, limit: int):
-        self._limit = limit
+    def __init__(self, limit: int, forget: bool):
+        self._limit, self._ttl = limit, MONTHS_KEPT_MS if forget else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._used = handle.getValueState("used", "used long")
+        self._used = handle.getValueState("used", "used long", ttlDurationMs=self._ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         used = self._used.get()[0] if self._used.exists() else 0
-        for frame in rows:
-            out = []
-            for row in frame.sort_values("seq").itertuples():
-                used += (fits := used < self._limit)
-                out.append((row.seq, "Admitted" if fits else "DeferredQuota"))
-            yield pd.DataFrame(out, columns=["seq", "decision"])
+        out = []
+        for row in _in_order(rows, "seq"):
+            used += (fits := used < self._limit)
+            out.append((row.seq, "Admitted" if fits else "DeferredQuota"))
         self._used.update((used,))
+        yield pd.DataFrame(out, columns=["seq", "decision"])
 
     def close(self) -> None:
         pass
 
 
-def quota(requests: DataFrame, limit: int) -> DataFrame:
-    return requests.groupBy("user_id", "provider", "usage_month").transformWithStateInPandas(QuotaProcessor(limit), "seq long, decision string", "Append", "None")
+def quota(requests: DataFrame, limit: int, *, forget: bool = False) -> DataFrame:
+    """Decisions in the order of seq; forget as for `idempotency`."""
+    return requests.groupBy("user_id", "provider", "usage_month").transformWithStateInPandas(QuotaProcessor(limit, forget), "seq long, decision string", "Append", "ProcessingTime" if forget else "None")
 
 
 def windowed(changes: DataFrame, time_col: str, size: str, *keys: str, slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
@@ -124,10 +138,10 @@ def sessions(changes: DataFrame, time_col: str, gap: str, *keys: str, watermark:
     return changes.withWatermark(time_col, watermark).groupBy(F.session_window(time_col, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def watch(spark: SparkSession, root: str) -> DataFrame:
-    """Files as they appear below a folder, for a writer with a processing-time trigger."""
+def watch(spark: SparkSession, root: str, *, pattern: str = "*") -> DataFrame:
+    """Files as they appear below a folder, for a writer with a processing-time trigger; contents are not read."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length", "modificationTime")
 
 
 def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append"):
