@@ -59,23 +59,76 @@ def _png_or_jpeg_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-def _exif(data: bytes) -> dict:
-    """EXIF values by Pillow where it is installed; nothing otherwise."""
-    try:
-        import io
+#: Bytes of one value of a TIFF field, by its type.
+_WIDTHS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8}
+
 
-        from PIL import Image
-    except ImportError:
+def _tiff_block(data: bytes) -> bytes | None:
+    """The TIFF structure that holds the EXIF fields: an APP1 segment, an eXIf chunk, or the file itself."""
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return data
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(data):
+            size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+            if kind == b"eXIf":
+                return data[at + 8 : at + 8 + size]
+            at += 12 + size
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+            size = int.from_bytes(data[at + 2 : at + 4], "big")
+            if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+                return data[at + 10 : at + 2 + size]
+            at += 2 + size
+    return None
+
+
+def _fields(tiff: bytes, at: int) -> dict[int, list | str]:
+    """Fields of one directory: texts, or lists of numbers (rationals as floats, None where the denominator is 0)."""
+    order = "little" if tiff[:2] == b"II" else "big"
+    number = lambda a, n, signed=False: int.from_bytes(tiff[a : a + n], order, signed=signed)
+    out: dict[int, list | str] = {}
+    for i in range(number(at, 2)):
+        entry = at + 2 + 12 * i
+        if entry + 12 > len(tiff):
+            break
+        tag, kind, count = number(entry, 2), number(entry + 2, 2), number(entry + 4, 4)
+        width = _WIDTHS.get(kind, 0) * count
+        place = entry + 8 if width <= 4 else number(entry + 8, 4)
+        if not width or place + width > len(tiff):
+            continue
+        if kind == 2:
+            out[tag] = tiff[place : place + count].split(b"\0")[0].decode("ascii", "replace").strip()
+        elif kind in (5, 10):
+            pairs = [(number(place + 8 * j, 4, kind == 10), number(place + 8 * j + 4, 4, kind == 10)) for j in range(count)]
+            out[tag] = [a / b if b else None for a, b in pairs]
+        else:
+            out[tag] = [number(place + j * _WIDTHS[kind], _WIDTHS[kind], kind in (6, 8, 9)) for j in range(count)]
+    return out
+
+
+def exif(data: bytes) -> dict:
+    """Capture time, offset and place from the EXIF fields; the original time counts before the digitised one and that before the file's."""
+    tiff = _tiff_block(data)
+    if tiff is None:
         return {}
-    with Image.open(io.BytesIO(data)) as image:
-        tags = image.getexif()
-        sub, gps = tags.get_ifd(0x8769), tags.get_ifd(0x8825)
-        when = next((t for t in (sub.get(0x9003), sub.get(0x9004), tags.get(0x0132)) if t), None)
-        out = {"exif_time": when, "exif_offset": sub.get(0x9011) or sub.get(0x9010), "width": image.width, "height": image.height}
-        if 2 in gps and 4 in gps:
-            degrees = lambda v, ref: (-1 if ref in ("S", "W") else 1) * (float(v[0]) + float(v[1]) / 60 + float(v[2]) / 3600)
-            out |= {"latitude": degrees(gps[2], gps.get(1)), "longitude": degrees(gps[4], gps.get(3)), "altitude": float(gps[6]) if 6 in gps else None}
-        return out
+    order = "little" if tiff[:2] == b"II" else "big"
+    main = _fields(tiff, int.from_bytes(tiff[4:8], order))
+    sub, gps = (_fields(tiff, main[tag][0]) if tag in main else {} for tag in (0x8769, 0x8825))
+    when, offset = next(((t, o) for t, o in ((sub.get(0x9003), sub.get(0x9011)), (sub.get(0x9004), sub.get(0x9012)), (main.get(0x0132), sub.get(0x9010))) if t), (None, None))
+    out = {"exif_time": when, "exif_offset": offset or None}
+
+    def degrees(value, ref):
+        if not isinstance(value, list) or len(value) != 3 or None in value:
+            return None
+        return (-1 if ref in ("S", "W") else 1) * (value[0] + value[1] / 60 + value[2] / 3600)
+
+    lat, lon = degrees(gps.get(2), gps.get(1)), degrees(gps.get(4), gps.get(3))
+    if lat is not None and lon is not None:
+        height = (gps.get(6) or [None])[0]
+        out |= {"latitude": lat, "longitude": lon, "altitude": None if height is None else -height if (gps.get(5) or [0])[0] == 1 else height}
+    return out
 
 
 def photo_metadata(files: DataFrame) -> DataFrame:
@@ -91,7 +144,7 @@ def photo_metadata(files: DataFrame) -> DataFrame:
                 try:
                     size = _png_or_jpeg_size(bytes(content))
                     row |= {"width": size[0], "height": size[1]} if size else {}
-                    row |= _exif(bytes(content))
+                    row |= exif(bytes(content))
                 except Exception as e:  # any decoder error belongs to the file
                     row["error"] = type(e).__name__
                 rows.append(row)

@@ -60,6 +60,27 @@ def header_problems(h: dict) -> list[str]:
     return found + [f"{k} is missing" for k in ("sourceId", "snapshotId") if not h.get(k)] + ([] if str(h.get("entryCount") or "").isdigit() else ["entryCount is no number"])
 
 
+#: What permissionState may say.
+PERMISSIONS = ("NotApplicable", "Full", "Limited", "Denied", "Unavailable")
+_UUID = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
+
+
+def header_code(h: Column) -> Column:
+    """The code under which a header (a struct of texts) is refused, or null: its first fault in the order of the checks."""
+    known = lambda c: F.coalesce(h[c].rlike(_UUID), F.lit(False))
+    count = h["entryCount"].try_cast("long")
+    checks = [
+        ((h["recordType"] == "Manifest") & (h["schemaVersion"] == MANIFEST_VERSION), "ManifestHeaderInvalid"),
+        (F.coalesce(h["storageMode"], F.lit("Local")) == "Local", "BulkRemoteUnsupported"),
+        (known("sourceId") & known("snapshotId") & (count >= 1) & (count <= MAX_ENTRIES), "ManifestHeaderInvalid"),
+        (h["kind"] == "Full", "BulkManifestKindUnsupported"),
+        (h["permissionState"].isin(*PERMISSIONS), "ManifestHeaderInvalid"),
+        (h["deletionDetectionReliable"] == "false", "BulkDeletionDetectionUnsupported"),
+        (h["clientCursor"].isNull() | ((F.length(h["clientCursor"]) <= 1024) & ~F.contains(h["clientCursor"], F.lit("\0"))), "ManifestHeaderInvalid"),
+    ]
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), code) for ok, code in checks])
+
+
 def write_manifest(header: dict, entries: DataFrame, path: str) -> None:
     """One gzip file: the header line, then entries by row number."""
     spark = entries.sparkSession
@@ -95,6 +116,20 @@ def read_result(spark: SparkSession, path: str, *, after: int = 0) -> tuple[dict
     return header.asDict(), rows.filter(F.col("rowNumber") > after)
 
 
+def put_object(spark: SparkSession, source: str, target: str, *, sha256: str, most: int = MAX_PACKED) -> None:
+    """A copy of a file under its name if size and checksum are right; nothing is left of it otherwise."""
+    path, util = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    part, whole = path(f"{target}.part"), path(target)
+    there = whole.getFileSystem(conf)
+    util.copy(path(source).getFileSystem(conf), path(source), there, part, False, True, conf)
+    facts = file_facts(spark, f"{target}.part").first()
+    if facts.length > most or facts.sha256 != sha256:
+        there.delete(part, False)
+        raise ManifestError("size or checksum is not what was announced")
+    there.rename(part, whole)
+
+
 def read_csv_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Manifest CSV with backslash escapes; a malformed line fails the read."""
     return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", escape="\\", quote='"')
