@@ -5,8 +5,7 @@ cost no pairs.  Classes meet in banded buckets.  A bucket of n classes first giv
 all with its smallest member.  Similar documents may both be unlike that hub; so in buckets whose
 members are not in one component afterwards, the pairs across components are compared too, as only
 these can still change a component.  There a bitmap of each set bounds the intersection from
-above, and pairs that the bound rules out are never emitted; large buckets are compared in parts, by
-the codes of which similar members share one.  Candidates are confirmed on the full sets.
+above, and pairs that the bound rules out are never emitted.  Candidates are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,10 +17,10 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, durable, frugal, keyed, others, runs, table
+from ._common import discard, durable, frugal, keyed, others, table
 from ._components import components
 from ._repeats import byte_columns
 from ._winnow import mix64
@@ -30,9 +29,7 @@ BANDS, ROWS = 24, 5
 _BINS = BANDS * ROWS
 _EDGES = np.array([(i << 64) // _BINS for i in range(_BINS)], np.uint64)
 #: Codes (8 bytes each) of a block of sets in a deal, about, and document keys (8 bytes each) that may be broadcast.
-BLOCK_CODES, MAX_BROADCAST_KEYS = 1_000_000, 1_000_000
-#: Members from which a bucket with several components is compared in parts.
-PART_MEMBERS = 256
+BLOCK_CODES, MAX_BROADCAST_KEYS = 100_000, 1_000_000
 #: 64-bit words of a bitmap, and codes that it holds at most; larger sets are thinned by powers of two.
 WORDS, HELD = 32, 256
 #: Standard deviations by which a thinned set's similarity may fall short before a pair is ruled out.
@@ -178,16 +175,6 @@ def _confirm(percent: int):
     return run
 
 
-def _each_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in ("bucket", "rep", "n")]
-        raw = byte_columns(batch, "codes")
-        for lo, hi in runs([len(x) for x in raw], 4 << 20):
-            codes = [np.frombuffer(x, np.int64) for x in raw[lo:hi]]
-            times = [len(c) for c in codes]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c[lo:hi], times)) for c in columns), pa.array(np.concatenate(codes))], ["bucket", "rep", "n", "code"])
-
-
 def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Groups of documents with 100 * intersection >= percent * union of their shingle sets.
 
@@ -226,16 +213,12 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     by_label = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     several = by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
     open_ = open_.join(held_(several.select("bucket", F.col("most.label").alias("largest")), "several"), "bucket")
-    open_ = held_(open_.join(firsts.select("rep", "n"), "rep").join(open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("all")), "bucket"), "open")
+    open_ = held_(open_.join(firsts.select("rep", "n", "sketch"), "rep"), "open")
+    outside = open_.filter("label <> largest").select("bucket", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb"), "sketch")
     # each pair across components once: the one outside the bucket's largest component, or the larger of two such
-    across = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("rep") < F.col("h"))) & length
-    few = open_.filter(F.col("all") <= PART_MEMBERS).join(firsts.select("rep", "sketch"), "rep")
-    few = held_(few, "few")
-    x, y = _with_bitmaps(few, "x"), _with_bitmaps(_others(few, "sketch"), "y").withColumnsRenamed({"bucket": "yb", "level": "yl"})
-    met = x.join(y, (F.col("bucket") == F.col("yb")) & (F.col("level") == F.col("yl")) & across & ~(F.col("x_next") & F.col("y_next")) & _may_be_similar(percent))
-    many = held_(_parted(spark, held_(open_.filter(F.col("all") > PART_MEMBERS), "many"), sets, percent), "parts")
-    both = many.join(_others(many, "part").withColumnsRenamed({"bucket": "yb", "part": "yp"}), (F.col("bucket") == F.col("yb")) & (F.col("part") == F.col("yp")) & across)
-    pairs = met.select("rep", "h", "largest").unionByName(both.select("rep", "h", "largest"))
+    across = (F.col("label") != F.col("lb")) & ((F.col("label") == F.col("largest")) | (F.col("rep") < F.col("h"))) & length & ~(F.col("x_next") & F.col("y_next"))
+    x, y = _with_bitmaps(open_, "x"), _with_bitmaps(outside, "y").withColumnsRenamed({"bucket": "yb", "level": "yl"})
+    pairs = x.join(y, (F.col("bucket") == F.col("yb")) & (F.col("level") == F.col("yl")) & across & _may_be_similar(percent))
     pairs = pairs.groupBy(F.greatest("rep", "h").alias("a"), F.least("rep", "h").alias("b")).agg(F.min("largest").alias("group")).join(stars.drop("group"), ["a", "b"], "left_anti")
     labels = _joined(spark, labels, _confirmed(spark, held_(pairs.select("group", "a", "b"), "pairs"), sets, percent))
 
@@ -254,26 +237,6 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, *, shingle_words: int =
     return out.select(*(["row", "text"] if carry else ["id"]), "n_shingles", "component_id", (F.col("_key") == F.col("component")).alias("kept"))
 
 
-def _others(rows: DataFrame, *more: str) -> DataFrame:
-    """Members outside their bucket's largest component, as the second of a pair."""
-    return rows.filter("label <> largest").select("bucket", F.col("rep").alias("h"), F.col("n").alias("nb"), F.col("label").alias("lb"), *more)
-
-
-def _parted(spark: SparkSession, rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members of large buckets in the parts of their bucket in which they are compared.
-
-    A bucket is parted by codes, rarest in the bucket first: two sets with 100 * both >= percent * either have
-    at least ceil(percent * n / 100) codes in common, so in one order of all codes they share one of the first n - ceil(percent * n / 100) + 1.
-    A member stands in the parts of these codes, and all pairs that can hold still meet.
-    """
-    held = rows.select("bucket", "rep").join(sets.withColumnRenamed("_key", "rep"), "rep").select("bucket", "rep", "n", "codes").mapInArrow(_each_code, "bucket long, rep long, n long, code long")
-    held = durable(spark, held, "codes")
-    counted = held.join(held.groupBy("bucket", "code").agg(F.count(F.lit(1)).alias("holders")), ["bucket", "code"])
-    rarest = F.row_number().over(Window.partitionBy("bucket", "rep").orderBy("holders", "code"))
-    first = counted.withColumn("k", rarest).filter(F.expr(f"k <= n - ((n * {percent} + 99) div 100) + 1"))
-    return rows.join(first.select("bucket", "rep", F.col("code").alias("part")), ["bucket", "rep"])
-
-
 def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (group, a, b) that hold on full sets.
 

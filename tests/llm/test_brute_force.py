@@ -108,8 +108,8 @@ def naive_bayes(rows):
     return out
 
 
-def test_op1_in_parts_and_small_deals(spark, monkeypatch):
-    """Buckets compared in parts and deals of a few sets give the same groups."""
+def test_op1_in_small_deals(spark, monkeypatch):
+    """Deals of a few sets give the same groups."""
     from lumenkiln.llm import minhash_dedup
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -119,8 +119,7 @@ def test_op1_in_parts_and_small_deals(spark, monkeypatch):
     more = [(1000 + i, " ".join([*words[:300], *(f"g{i // 4}x{k}" for k in range(60)), *(f"t{i}x{k}" for k in range(4))])) for i in range(80)]
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     told = []
-    for members, codes in ((256, 1_000_000), (2, 700)):
-        monkeypatch.setattr(minhash_dedup, "PART_MEMBERS", members)
+    for codes in (100_000, 700):
         monkeypatch.setattr(minhash_dedup, "BLOCK_CODES", codes)
         told.append({(r.id, r.component_id) for r in minhash_dedup.minhash_dedup(spark, docs, percent=90).collect()})
     assert told[0] == told[1] and len({c for i, c in told[0] if i >= 1000}) == 20
