@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import public_id
-from ..storage import durable
+from ..storage import discard, durable
 
 GAPS = ["width", "height", "duration_ms", "captured_local", "captured_utc", "time_zone", "utc_offset_minutes"]
 RESOLVED = ["provider", "place_id", "street_address", "city", "state", "country", "rule_version", "provider_updated"]
@@ -36,9 +36,11 @@ class Merged:
     failures: DataFrame
     rows: DataFrame
     results: DataFrame
+    #: What was decided on each row, without the facts that `rows` has besides: read from one table, nothing is joined.
+    decided: DataFrame
 
     def counts(self) -> dict[str, int]:
-        return outcome_counts(self.rows).first().asDict()
+        return outcome_counts(self.decided).first().asDict()
 
     def status(self) -> str:
         return final_status(self.counts()["rejected"])
@@ -96,23 +98,31 @@ def merge(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, locations:
     compared.  Assets are created from a content's first row or get their gaps filled; items are inserted, revived or found
     unchanged; an asset's last located row sets its coordinates and clears what was resolved for others.
     """
-    rows = reject_duplicates(rows)
-    if check_relinks and relinks(rows, occurrences, assets).limit(1).take(1):
+    spark = rows.sparkSession
+    # staged once, as validation is long and the rows are read several times; what is decided is joined without the other facts
+    staged = durable(spark, rows.withColumn("_at", F.monotonically_increasing_id()), "stage", small=True)
+    items = durable(spark, known_items(staged, occurrences, assets if check_relinks else None), "items", small=True)
+    if check_relinks and items.filter("validation_state = 'Valid' and _relinked").limit(1).take(1):
         raise RelinkError("BulkRelinkUnsupported")
-    rows = reject_size_conflicts(rows, assets)
-    rows = rows.withColumn("asset_id", F.coalesce("old_asset_id", F.when(F.col("validation_state") == "Valid", public_id("asset", F.lit(user_id), F.col("content_sha256")))))
-    # written once: seven frames come of it, and each would run the steps so far again
-    rows = durable(rows.sparkSession, classify(rows, occurrences), "classified")
+    contents = durable(spark, content_facts(items, assets), "contents", small=True)
+    decisions = durable(spark, classify(items.drop("_relinked"), contents, user_id), "decisions", small=True)
+    discard(items, contents)
+
+    rows = staged.drop(*[c for c in DECIDED if c in staged.columns]).join(decisions, "_at")
+    rows, decided = with_ids(rows, user_id).drop("_at"), with_ids(decisions, user_id).drop("_at")
     valid = rows.filter("validation_state = 'Valid'")
 
-    _, merged_assets, asset_changes = merge_assets(valid, assets, user_id, as_of)
-    merged_occurrences, occurrence_changes = merge_occurrences(valid, occurrences, user_id, source_id, as_of)
+    _, merged_assets, gaps_filled = merge_assets(valid, assets, user_id, as_of)
+    created = decided.filter("validation_state = 'Valid' and row_number = first_row and old_asset_id is null")
+    merged_occurrences = merge_occurrences(valid, occurrences, user_id, source_id, as_of)
+    touched = decided.filter("validation_state = 'Valid' and outcome <> 'Unchanged'").select(F.col("occurrence_id").alias("entity_public_id"), "asset_id")
     merged_locations = merge_locations(valid, locations, user_id)
+    asset_changes = gaps_filled.unionByName(created.select(F.col("asset_id").alias("entity_public_id"), "asset_id"))
     change = lambda frame, kind: frame.select(F.lit(user_id).cast("long").alias("user_id"), F.lit(kind).alias("entity_type"), "entity_public_id", "asset_id", F.lit("Upsert").alias("change_type"), as_of.alias("created_at"))
-    source_change = rows.sparkSession.range(1).select(F.lit(f"source-{source_id}").alias("entity_public_id"), F.lit(None).cast("string").alias("asset_id"))
-    changes = change(asset_changes, "MediaAsset").unionByName(change(occurrence_changes, "MediaOccurrence")).unionByName(change(source_change, "MediaSource"))
-    failures = rows.filter("outcome = 'Rejected'").select("row_number", "source_item_id", "error_code", "error_message", as_of.alias("created_at"))
-    return Merged(merged_assets, merged_occurrences, merged_locations, changes, failures, rows, result_rows(rows))
+    source_change = spark.range(1).select(F.lit(f"source-{source_id}").alias("entity_public_id"), F.lit(None).cast("string").alias("asset_id"))
+    changes = change(asset_changes, "MediaAsset").unionByName(change(touched, "MediaOccurrence")).unionByName(change(source_change, "MediaSource"))
+    failures = decided.filter("outcome = 'Rejected'").select("row_number", "source_item_id", "error_code", "error_message", as_of.alias("created_at"))
+    return Merged(merged_assets, merged_occurrences, merged_locations, changes, failures, rows, result_rows(decided), decided)
 
 
 def refreshed(sources: DataFrame, source_id: int, snapshot_id: str, as_of: Column) -> DataFrame:
@@ -122,7 +132,7 @@ def refreshed(sources: DataFrame, source_id: int, snapshot_id: str, as_of: Colum
 
 
 def merge_assets(valid: DataFrame, assets: DataFrame, user_id: int, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new assets, all assets, changed keys)."""
+    """(new assets, all assets, keys of changed old ones)."""
     first = valid.filter("row_number = first_row")
     has_time = F.col("captured_local").isNotNull() | F.col("captured_utc").isNotNull()
     created = first.filter("old_asset_id is null").select(
@@ -145,33 +155,89 @@ def merge_assets(valid: DataFrame, assets: DataFrame, user_id: int, as_of: Colum
         "updated_at": F.when(F.col("changed"), as_of).otherwise(F.col("updated_at")),
     }
     kept = rows.withColumns(filled)
-    key = lambda frame: frame.select(F.col("asset_id").alias("entity_public_id"), "asset_id")
-    return created, kept.select(*assets.columns).unionByName(created.select(*assets.columns)), key(kept.filter("changed")).unionByName(key(created))
+    return created, kept.select(*assets.columns).unionByName(created.select(*assets.columns)), kept.filter("changed").select(F.col("asset_id").alias("entity_public_id"), "asset_id")
+
+
+#: Columns of a row that `classify` gives, besides its place in the stage.
+DECIDED = ["row_number", "source_item_id", "content_sha256", "byte_size", "validation_state", "error_code", "error_message"]
+
+
+def packed(text: Column) -> Column:
+    """A text as bytes, hex digests in half the length: all that is longer than 32 bytes is another text behind 33 zeros."""
+    return F.when(text.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(text)).otherwise(F.concat(F.lit(b"\0" * 33), F.encode(text, "UTF-8")))
 
 
-def classify(rows: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Rows with occurrence_id and outcome, in one pass over all of them.
+def unpacked(value: Column) -> Column:
+    return F.when(F.octet_length(value) == 32, F.lower(F.hex(value))).otherwise(F.decode(F.substring(value, 34, 1 << 30), "UTF-8"))
 
-    Invalid rows are Rejected.  Known items are Unchanged if everything compared is equal (nulls too) and they are active and complete, else UpdatedOccurrence.
-    Of new items the first of a created asset is CreatedOccurrence, all others DuplicateLinked.
+
+def known_items(staged: DataFrame, occurrences: DataFrame, assets: DataFrame | None) -> DataFrame:
+    """Staged rows with what is known of their item, later duplicates rejected; one move of the rows.  Hashes and ids are packed.
+
+    _same_facts: everything compared but the asset is equal (nulls too), and the occurrence is active and complete; _relinked, where assets
+    are given: the item's content was another.
     """
-    old = occurrences.select("source_item_id", "occurrence_id", *[F.col(c).alias(f"old_{c}") for c in COMPARED if c != "asset_id"], F.col("asset_id").alias("linked_id"), F.col("deletion_state").alias("old_deletion"), F.col("hash_status").alias("old_hash"))
-    rows = rows.join(old, "source_item_id", "left")
+    facts = {"file_name": "file_name", "locator": "locator", "revision": "source_revision", "observed_size": "byte_size"}
+    rows = staged.select("_at", *DECIDED, "file_name", "locator", "source_revision").withColumn("content_sha256", packed(F.col("content_sha256")))
+    first = staged.filter("validation_state = 'Valid'").groupBy("source_item_id").agg(F.min("row_number").alias("_first"))
+    old = occurrences.select(
+        "source_item_id", packed(F.col("occurrence_id")).alias("known_id"), "asset_id", *[F.col(c).alias(f"old_{c}") for c in facts], ((F.col("deletion_state") == "Active") & (F.col("hash_status") == "Complete")).alias("_whole"))
+    if assets is None:
+        old = old.withColumn("_old_sha", F.lit(None).cast("binary"))
+    else:
+        old = old.join(assets.select("asset_id", packed(F.col("content_sha256")).alias("_old_sha")), "asset_id", "left")
+    old = old.withColumn("linked_id", packed(F.col("asset_id"))).drop("asset_id")
+    rows = rows.join(first, "source_item_id", "left").join(old, "source_item_id", "left")
+    rows = reject(rows, F.col("row_number") > F.col("_first"), "DuplicateManifestEntry", "The source item stands in an earlier row.")
+    same = F.col("_whole")
+    for old_name, name in facts.items():
+        same = same & F.col(f"old_{old_name}").eqNullSafe(F.col(name))
+    return rows.select("_at", *DECIDED, "known_id", "linked_id", same.alias("_same_facts"), (F.col("_old_sha") != F.col("content_sha256")).alias("_relinked"))
+
+
+def content_facts(items: DataFrame, assets: DataFrame) -> DataFrame:
+    """One row a content of valid rows: its first row, the size that rows have to agree on, its old asset, and its first row of that size with a new item.
+
+    Rows are counted by content and size before they move, so content that very many rows share is no single task's.
+    """
+    new = F.when(F.col("known_id").isNull(), F.col("row_number"))
+    sizes = items.filter("validation_state = 'Valid'").groupBy("content_sha256", "byte_size").agg(F.min("row_number").alias("_row"), F.min(new).alias("_new"))
+    contents = sizes.groupBy("content_sha256").agg(
+        F.min("_row").alias("first_row"), F.min_by(F.struct("byte_size", "_new"), "_row").alias("_c"), F.min("_new").alias("_any"), F.min(F.when(F.col("byte_size").isNull(), F.col("_new"))).alias("_unsized"))
+    old = assets.select(packed(F.col("content_sha256")).alias("content_sha256"), packed(F.col("asset_id")).alias("old_asset_id"), F.col("byte_size").alias("_old_size"))
+    # rows without a size agree with every size, and all rows do where the first has none
+    first_new = F.when(F.col("_c.byte_size").isNull(), F.col("_any")).otherwise(F.least("_c._new", "_unsized"))
+    return contents.join(old, "content_sha256", "full").select("content_sha256", "first_row", "old_asset_id", F.coalesce("_old_size", "_c.byte_size").alias("_size"), F.when(F.col("old_asset_id").isNull(), first_new).alias("_first_new"))
+
+
+def classify(items: DataFrame, contents: DataFrame, user_id: int) -> DataFrame:
+    """Rows with their outcome, in one pass over all of them.
+
+    Rows that disagree on their content's size are rejected.  Invalid rows are Rejected.  Known items are Unchanged if everything compared is
+    equal, else UpdatedOccurrence.  Of new items the first of a created asset is CreatedOccurrence, all others DuplicateLinked.
+    """
+    rows = items.join(contents, "content_sha256", "left")
+    rows = reject(rows, F.col("byte_size") != F.col("_size"), "ContentHashMetadataMismatch", "Rows of one content disagree on the size.")
     ok = F.col("validation_state") == "Valid"
-    new = ok & F.col("occurrence_id").isNull()
-    same = (
-        F.col("linked_id").eqNullSafe(F.col("asset_id")) & F.col("old_file_name").eqNullSafe(F.col("file_name")) & F.col("old_locator").eqNullSafe(F.col("locator"))
-        & F.col("old_revision").eqNullSafe(F.col("source_revision")) & F.col("old_observed_size").eqNullSafe(F.col("byte_size")) & (F.col("old_deletion") == "Active") & (F.col("old_hash") == "Complete")
-    )
-    # counted before the join moves rows, so content that very many rows share is no single task's
-    firsts = rows.filter(new & F.col("old_asset_id").isNull()).groupBy("content_sha256").agg(F.min("row_number").alias("_first_new"))
-    rows = rows.join(firsts, "content_sha256", "left")
-    created = new & F.col("old_asset_id").isNull() & (F.col("row_number") == F.col("_first_new"))
+    new = ok & F.col("known_id").isNull()
+    asset_id = F.coalesce("old_asset_id", packed(public_id("asset", F.lit(user_id), unpacked(F.col("content_sha256")))))
+    same = F.col("_same_facts") & F.col("linked_id").eqNullSafe(asset_id)
+    created = new & (F.col("row_number") == F.col("_first_new"))
     outcome = F.when(~ok, "Rejected").when(created, "CreatedOccurrence").when(new, "DuplicateLinked").when(same, "Unchanged").otherwise("UpdatedOccurrence")
-    return rows.withColumns({"outcome": outcome, "is_new": new, "occurrence_id": F.when(ok, F.coalesce("occurrence_id", public_id("occurrence", F.col("source_item_id"))))}).drop("_first_new")
+    return rows.select("_at", *DECIDED, "known_id", "old_asset_id", "first_row", new.alias("is_new"), outcome.alias("outcome"))
+
+
+def with_ids(rows: DataFrame, user_id: int) -> DataFrame:
+    """Decided rows with asset_id and occurrence_id; hashes and ids are texts again.  New ids are made here, not kept in tables."""
+    ok = F.col("validation_state") == "Valid"
+    rows = rows.withColumns({c: unpacked(F.col(c)) for c in ("content_sha256", "old_asset_id", "known_id")})
+    return rows.withColumns({
+        "asset_id": F.coalesce("old_asset_id", F.when(ok, public_id("asset", F.lit(user_id), F.col("content_sha256")))),
+        "occurrence_id": F.when(ok, F.coalesce("known_id", public_id("occurrence", F.col("source_item_id")))),
+    }).drop("known_id")
 
 
-def merge_occurrences(classified: DataFrame, occurrences: DataFrame, user_id: int, source_id: int, as_of: Column) -> tuple[DataFrame, DataFrame]:
+def merge_occurrences(classified: DataFrame, occurrences: DataFrame, user_id: int, source_id: int, as_of: Column) -> DataFrame:
     facts = {"asset_id": "asset_id", "file_name": "file_name", "locator": "locator", "revision": "source_revision", "observed_size": "byte_size"}
     incoming = classified.filter("not is_new").select("occurrence_id", "outcome", *[F.col(v).alias(f"in_{k}") for k, v in facts.items()])
     rows = occurrences.join(incoming, "occurrence_id", "left")
@@ -185,8 +251,7 @@ def merge_occurrences(classified: DataFrame, occurrences: DataFrame, user_id: in
         "occurrence_id", F.lit(user_id).cast("long").alias("user_id"), F.lit(source_id).cast("long").alias("source_id"), "source_item_id", *[F.col(v).alias(k) for k, v in facts.items()],
         F.lit("Complete").alias("hash_status"), F.lit("Available").alias("availability_state"), F.lit("Active").alias("deletion_state"), as_of.alias("first_seen"), as_of.alias("last_seen"),
     )
-    changed = classified.filter("outcome <> 'Unchanged'").select(F.col("occurrence_id").alias("entity_public_id"), "asset_id")
-    return kept.select(*occurrences.columns).unionByName(added.select(*occurrences.columns)), changed
+    return kept.select(*occurrences.columns).unionByName(added.select(*occurrences.columns))
 
 
 def merge_locations(valid: DataFrame, locations: DataFrame, user_id: int) -> DataFrame:

@@ -68,16 +68,16 @@ def _size_conflicts(r: Roles):
 
 
 _OUTCOMES = "select row_number, outcome, error_code from outcomes"
-_step("M15_outcomes", _OUTCOMES)(lambda r: merged(r).rows.select("row_number", "outcome", "error_code"))
+_step("M15_outcomes", _OUTCOMES)(lambda r: merged(r).decided.select("row_number", "outcome", "error_code"))
 _step("M7_reject_duplicates", "select row_number, source_item_id from v2 where error_code = 'DuplicateManifestEntry'")(
     lambda r: merge.reject_duplicates(r.manifest.drop("operation")).filter("error_code = 'DuplicateManifestEntry'").select("row_number", "source_item_id"))
 _step("M10_size_conflicts", "select row_number, content_sha256, byte_size, old_size, canon_size from v4 where error_code = 'ContentHashMetadataMismatch'")(_size_conflicts)
 _step("M16_first_created", "select content_sha256, min(row_number) as row_number from rows_ where validation_state = 'Valid' and known_id is null and old_asset_id is null group by 1")(
-    lambda r: merged(r).rows.filter("outcome = 'CreatedOccurrence'").select("content_sha256", "row_number"))
+    lambda r: merged(r).decided.filter("outcome = 'CreatedOccurrence'").select("content_sha256", "row_number"))
 _step("M24_counters", "select count(*) as processed, " + ", ".join(f"count(*) filter (where outcome = '{o}') as {n}" for n, o in merge.OUTCOMES.items()) + " from outcomes")(
-    lambda r: merge.outcome_counts(merged(r).rows).withColumnsRenamed({n: n for n in merge.OUTCOMES}))
+    lambda r: merge.outcome_counts(merged(r).decided).withColumnsRenamed({n: n for n in merge.OUTCOMES}))
 _step("M25_status", "select case when count(*) filter (where outcome = 'Rejected') > 0 then 'CompletedWithErrors' else 'Completed' end as status from outcomes")(
-    lambda r: merged(r).rows.agg(F.when(F.count_if(F.col("outcome") == "Rejected") > 0, "CompletedWithErrors").otherwise("Completed").alias("status")))
+    lambda r: merged(r).decided.agg(F.when(F.count_if(F.col("outcome") == "Rejected") > 0, "CompletedWithErrors").otherwise("Completed").alias("status")))
 _step("M24_result_rows", "select row_number as rowNumber, source_item_id as sourceItemId, outcome, error_code as errorCode from outcomes")(
     lambda r: merged(r).results.select("rowNumber", "sourceItemId", "outcome", "errorCode"))
 _step("M22_failures", "select row_number, source_item_id, error_code from outcomes where outcome = 'Rejected'")(lambda r: merged(r).failures.select("row_number", "source_item_id", "error_code"))
@@ -118,7 +118,7 @@ def _rerun(r: Roles):
     """The same manifest again over what it made: everything valid is unchanged."""
     m = merged(r)
     again = merge.merge(_none(r.manifest.drop("operation")), m.assets, m.occurrences, m.locations, user_id=1, source_id=1, as_of=now(), check_relinks=False)
-    return merge.outcome_counts(again.rows)
+    return merge.outcome_counts(again.decided)
 
 
 _step("M_rerun_unchanged", "select count(*) as processed, " + ", ".join(

@@ -29,13 +29,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+#: Shuffle files of a command go when it ends, not when the driver happens to collect its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable(spark: SparkSession, df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so lost executors cost no recomputation.
 
-    The schema is the frame's own, so an empty result reads back too.
+    The schema is the frame's own, so an empty result reads back too.  ``small`` is for tables of whole manifests: packed
+    more tightly, and the write's shuffle files are removed with it.
     """
     at = scratch(spark, name)
-    df.write.parquet(at)
+    if small:
+        before = spark.conf.get(_TIDY, None)
+        spark.conf.set(_TIDY, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+    else:
+        df.write.parquet(at)
     back = spark.read.schema(df.schema).parquet(at)
     back._lumenkiln_table = at
     return back
