@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import enrich, storage
@@ -85,11 +88,13 @@ query("M6_identity_checks", "select o_orderkey as import_id, coalesce(n, 0) as e
 
 @query("S8_manifest_source", "select cast(p_partkey + 1 as string) as row_number, p_name || '.jpg' as file_name from part")
 def _(r: Roles):
-    rows = r.part
-    entries = rows.select((k() + 1).cast("string").alias("rowNumber"), F.lit("Upsert").alias("operation"), F.concat(F.lit("item-"), k()).alias("sourceItemId"), F.concat("p_name", F.lit(".jpg")).alias("fileName"))
-    at = scratch(r, "manifest")
-    manifest.write_manifest({"schemaVersion": manifest.MANIFEST_VERSION, "storageMode": "Local", "kind": "Full", "deletionDetectionReliable": "false", "sourceId": "s", "snapshotId": "n", "entryCount": str(rows.count())}, entries, at)
-    return manifest.read_manifest(r.spark, at)[1].select(F.col("rowNumber").alias("row_number"), F.col("fileName").alias("file_name"))
+    entries = r.part.select((k() + 1).cast("string").alias("rowNumber"), F.lit("Upsert").alias("operation"), F.concat(F.lit("item-"), k()).alias("sourceItemId"), F.concat("p_name", F.lit(".jpg")).alias("fileName"))
+    read = []
+    for n, part in manifest.parted(entries):
+        at = scratch(r, "manifest")
+        manifest.write_manifest({"schemaVersion": manifest.MANIFEST_VERSION, "storageMode": "Local", "kind": "Full", "deletionDetectionReliable": "false", "sourceId": "s", "snapshotId": "n", "entryCount": str(n)}, part, at)
+        read.append(manifest.read_manifest(r.spark, at)[1].select(F.col("rowNumber").alias("row_number"), F.col("fileName").alias("file_name")))
+    return reduce(DataFrame.unionByName, read)
 
 
 def _results(r: Roles):

@@ -81,6 +81,23 @@ def header_code(h: Column) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), code) for ok, code in checks])
 
 
+def parted(entries: DataFrame) -> list[tuple[int, DataFrame]]:
+    """(number, entries) of manifests that keep to the limit, in the order of row numbers; one that is empty where there are no entries.
+
+    So many neighbouring row numbers hold no more entries than one manifest may have, and bands of them are put together as they fit.
+    """
+    band = F.floor((F.col("rowNumber").cast("long") - 1) / MAX_ENTRIES)
+    made = []
+    for at, n in sorted(tuple(x) for x in entries.groupBy(band.alias("band")).count().collect()):
+        if n > MAX_ENTRIES:
+            raise ManifestError("row numbers repeat")
+        if made and made[-1][0] + n <= MAX_ENTRIES:
+            made[-1] = (made[-1][0] + n, made[-1][1], at)
+        else:
+            made.append((n, at, at))
+    return [(n, entries.filter(band.between(lo, hi))) for n, lo, hi in made] or [(0, entries)]
+
+
 def write_manifest(header: dict, entries: DataFrame, path: str) -> None:
     """One gzip file: the header line, then entries by row number."""
     spark = entries.sparkSession
