@@ -86,7 +86,8 @@ def reject_size_conflicts(rows: DataFrame, assets: DataFrame) -> DataFrame:
     valid = rows.filter("validation_state = 'Valid'")
     canonical = valid.groupBy("content_sha256").agg(F.min("row_number").alias("first_row"), F.min_by("byte_size", "row_number").alias("_canonical_size"))
     old = assets.select("content_sha256", F.col("asset_id").alias("old_asset_id"), F.col("byte_size").alias("_old_size"))
-    rows = rows.join(canonical.join(old, "content_sha256", "left"), "content_sha256", "left")
+    # full: a content of invalid rows alone has its old asset too
+    rows = rows.join(canonical.join(old, "content_sha256", "full"), "content_sha256", "left")
     rows = reject(rows, F.col("byte_size") != F.coalesce("_old_size", "_canonical_size"), "ContentHashMetadataMismatch", "Rows of one content disagree on the size.")
     return rows.drop("_old_size", "_canonical_size")
 
