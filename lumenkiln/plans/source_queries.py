@@ -170,7 +170,8 @@ _TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineit
 
 
 def _listed(r: Roles, pattern: str):
-    found, _ = files.stat_pass(files.list_files(r.spark, r.sf_dir, pattern=pattern))
+    """Tables whose entry in the folder, a file or a folder of files, fits the pattern."""
+    found, _ = files.stat_pass(files.list_files(r.spark, f"{r.sf_dir}/{pattern}", pattern="*.parquet"))
     return found.select(F.regexp_extract("path", r"(\w+)\.parquet", 1).alias("table_name")).distinct()
 
 
