@@ -132,7 +132,7 @@ def _(r: Roles):
     """A header a part, each with one fault or none."""
     uuid = F.lit("12345678-1234-4234-8234-123456789abc")
     good = {
-        "recordType": F.lit("Manifest"), "schemaVersion": F.lit(manifest.MANIFEST_VERSION), "storageMode": F.lit("Local"), "sourceId": uuid, "snapshotId": uuid, "entryCount": (k() + 1).cast("string"),
+        "recordType": F.lit("Manifest"), "schemaVersion": F.lit(manifest.MANIFEST_VERSION), "storageMode": F.lit("Local"), "sourceId": uuid, "snapshotId": uuid, "entryCount": (k() % manifest.MAX_ENTRIES + 1).cast("string"),
         "kind": F.lit("Full"), "permissionState": F.lit("Full"), "deletionDetectionReliable": F.lit("false"), "clientCursor": F.lit(None).cast("string"),
     }
     bad = {"schemaVersion": "V0", "storageMode": "Remote", "sourceId": "not-a-uuid", "entryCount": "0", "kind": "Delta", "permissionState": "Perhaps", "deletionDetectionReliable": "true", "clientCursor": "x" * 1025}
