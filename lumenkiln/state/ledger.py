@@ -58,13 +58,14 @@ def idempotency(requests: DataFrame) -> DataFrame:
     the rest, in which spans follow each other without a pause, are gone through one by one.
     """
     own = requests.select("user_id", "idempotency_key", *IDENTITY, "arrived_at", "answered_at", "seq")
-    key, seconds = ["user_id", "idempotency_key"], lambda a, b: F.unix_seconds(F.col(b).cast("timestamp")) - F.unix_seconds(F.col(a).cast("timestamp"))
+    # to the microsecond: whole seconds of both ends would make 24 hours of a little less
+    key, expired = ["user_id", "idempotency_key"], lambda a, b: F.col(b) - F.col(a) >= F.expr(f"interval {EXPIRY_HOURS} hours")
     line = Window.partitionBy(*key).orderBy("arrived_at", "seq")
-    pause = F.coalesce(seconds("_before", "arrived_at") >= EXPIRY_HOURS * 3600, F.lit(True))
+    pause = F.coalesce(expired("_before", "arrived_at"), F.lit(True))
     rows = own.withColumn("_before", F.lag("arrived_at").over(line)).withColumn("_run", F.sum(pause.cast("int")).over(line)).drop("_before")
     runs = rows.groupBy(*key, "_run").agg(F.min("arrived_at").alias("_from"), F.max("arrived_at").alias("_to"), F.min_by(F.struct("seq", "answered_at", *IDENTITY), F.struct("arrived_at", "seq")).alias("_holder"))
     rows = rows.join(runs, [*key, "_run"])
-    short = seconds("_from", "_to") < EXPIRY_HOURS * 3600
+    short = ~expired("_from", "_to")
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_holder.{c}")) for c in IDENTITY])
     said = F.when(F.col("seq") == F.col("_holder.seq"), "New").when(~same, "KeyReused").when(F.coalesce(F.col("_holder.answered_at") <= F.col("arrived_at"), F.lit(False)), "Replay").otherwise("RequestInProgress")
     one_by_one = folded(rows.filter(~short).select(*own.columns, "_run"), [*key, "_run"], ["arrived_at", "seq"], lambda: None, idempotent_step, "user_id long, idempotency_key string, seq long, outcome string")
