@@ -6,13 +6,14 @@ rows are in the millions, and every step is an aggregation or an equi-join on th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import public_id
-from ..storage import discard, durable
+from ..storage import discard, discard_parts, durable, size_of
 
 GAPS = ["width", "height", "duration_ms", "captured_local", "captured_utc", "time_zone", "utc_offset_minutes"]
 RESOLVED = ["provider", "place_id", "street_address", "city", "state", "country", "rule_version", "provider_updated"]
@@ -36,8 +37,10 @@ class Merged:
     failures: DataFrame
     rows: DataFrame
     results: DataFrame
-    #: What was decided on each row, without the facts that `rows` has besides: read from one table, nothing is joined.
+    #: What was decided on each row, without the facts that `rows` has besides; both are read from one table, nothing is joined.
     decided: DataFrame
+    #: The manifest's rows as they came, for another merge of it: read from the same table.
+    staged: DataFrame
 
     def counts(self) -> dict[str, int]:
         return outcome_counts(self.decided).first().asDict()
@@ -99,18 +102,11 @@ def merge(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, locations:
     compared.  Assets are created from a content's first row or get their gaps filled; items are inserted, revived or found
     unchanged; an asset's last located row sets its coordinates and clears what was resolved for others.
     """
-    spark = rows.sparkSession
-    # staged once, as validation is long and the rows are read several times; what is decided is joined without the other facts
-    staged = durable(spark, rows.withColumn("_at", F.monotonically_increasing_id()), "stage", small=True)
-    items = durable(spark, known_items(staged, occurrences, assets if check_relinks else None), "items", small=True)
-    if check_relinks and items.filter("validation_state = 'Valid' and _relinked").limit(1).take(1):
-        raise RelinkError("BulkRelinkUnsupported")
-    contents = durable(spark, content_facts(items, assets), "contents", small=True)
-    decisions = durable(spark, classify(items.drop("_relinked"), contents, user_id), "decisions", small=True)
-    discard(items, contents)
-
-    rows = staged.drop(*[c for c in DECIDED if c in staged.columns]).join(decisions, "_at")
-    rows, decided = with_ids(rows, user_id).drop("_at"), with_ids(decisions, user_id).drop("_at")
+    spark, columns = rows.sparkSession, rows.columns
+    table = decide(rows, assets, occurrences, user_id, check_relinks, columns)
+    staged = as_they_came(table).select(columns)
+    rows = with_ids(table, user_id).drop("_came")
+    decided = rows.select(WITH_IDS)
     valid = rows.filter("validation_state = 'Valid'")
 
     _, merged_assets, gaps_filled = merge_assets(valid, assets, user_id, as_of)
@@ -122,8 +118,38 @@ def merge(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, locations:
     change = lambda frame, kind: frame.select(F.lit(user_id).cast("long").alias("user_id"), F.lit(kind).alias("entity_type"), "entity_public_id", "asset_id", F.lit("Upsert").alias("change_type"), as_of.alias("created_at"))
     source_change = spark.range(1).select(F.lit(f"source-{source_id}").alias("entity_public_id"), F.lit(None).cast("string").alias("asset_id"))
     changes = change(asset_changes, "MediaAsset").unionByName(change(touched, "MediaOccurrence")).unionByName(change(source_change, "MediaSource"))
-    failures = decided.filter("outcome = 'Rejected'").select("row_number", "source_item_id", "error_code", "error_message", as_of.alias("created_at"))
-    return Merged(merged_assets, merged_occurrences, merged_locations, changes, failures, rows, result_rows(decided), decided)
+    return Merged(merged_assets, merged_occurrences, merged_locations, changes, failures(decided, as_of), rows, result_rows(decided), decided, staged)
+
+
+def decided_rows(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, *, user_id: int, check_relinks: bool = True) -> DataFrame:
+    """`Merged.decided` alone: the same steps over all rows, without the facts that only the catalog's new frames need."""
+    return with_ids(decide(rows, assets, occurrences, user_id, check_relinks, DECIDED), user_id).select(WITH_IDS)
+
+
+def decide(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, user_id: int, check_relinks: bool, columns: list[str]) -> DataFrame:
+    """One table of all rows with these columns and what was decided, ids and hashes packed; _came is what `as_they_came` needs.
+
+    The rows are staged once, as validation is long; then they move twice, to their item and to their content, a part at a time, and
+    of each table the parts go as the next one's come.
+    """
+    staged = rows.select(*dict.fromkeys([*columns, *DECIDED, *FACTS.values()])).withColumn("content_sha256", packed(F.col("content_sha256")))
+    staged = staged.withColumn("_part", part(F.coalesce("source_item_id", F.col("row_number").cast("string"))))
+    staged = durable(rows.sparkSession, staged, "stage", small=True, by="_part")
+    items = in_parts(staged, "items", lambda some, here: known_items(some, here(occurrences, F.col("source_item_id")), assets if check_relinks else None, user_id, columns), content_part=True)
+    if check_relinks and items.filter("validation_state = 'Valid' and _relinked").limit(1).take(1):
+        raise RelinkError("BulkRelinkUnsupported")
+    return in_parts(items, "decisions", lambda some, here: classify(some, here(assets, packed(F.col("content_sha256"))), user_id))
+
+
+def as_they_came(table: DataFrame) -> DataFrame:
+    """The rows before any was rejected here."""
+    came = F.col("_came").isNotNull()
+    back = {c: F.when(came, F.col(f"_came.{c}")).otherwise(F.col(c)) for c in ("error_code", "error_message")}
+    return table.withColumns(back | {"content_sha256": unpacked(F.col("content_sha256")), "validation_state": F.when(came, "Valid").otherwise(F.col("validation_state"))})
+
+
+def failures(decided: DataFrame, as_of: Column) -> DataFrame:
+    return decided.filter("outcome = 'Rejected'").select("row_number", "source_item_id", "error_code", "error_message", as_of.alias("created_at"))
 
 
 def refreshed(sources: DataFrame, source_id: int, snapshot_id: str, as_of: Column) -> DataFrame:
@@ -159,8 +185,35 @@ def merge_assets(valid: DataFrame, assets: DataFrame, user_id: int, as_of: Colum
     return created, kept.select(*assets.columns).unionByName(created.select(*assets.columns)), kept.filter("changed").select(F.col("asset_id").alias("entity_public_id"), "asset_id")
 
 
-#: Columns of a row that `classify` gives, besides its place in the stage.
+#: What is decided about a row is told by these columns and what `classify` adds.
 DECIDED = ["row_number", "source_item_id", "content_sha256", "byte_size", "validation_state", "error_code", "error_message"]
+WITH_IDS = [*DECIDED, "old_asset_id", "first_row", "is_new", "outcome", "asset_id", "occurrence_id"]
+#: What of a known occurrence is compared with a row, and the row's columns.
+FACTS = {"file_name": "file_name", "locator": "locator", "revision": "source_revision", "observed_size": "byte_size"}
+#: Rows are dealt into so many parts; a table of up to so many bytes for each of them is read in fewer turns.
+PARTS, PART_BYTES = 8, 48 << 20
+
+
+def part(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def in_parts(table: DataFrame, name: str, step: Callable[[DataFrame, Callable[[DataFrame, Column], DataFrame]], DataFrame], *, content_part: bool = False) -> DataFrame:
+    """What step(rows, here) makes of a table written by _part, some parts at a time; here(frame, key) is what of a frame the same parts meet.
+
+    All of the table is read, once; a part is removed when what came of it is written, and its shuffle files with it.
+    ``content_part``: the result is dealt by content, in parts of its own.
+    """
+    turns, made = min(PARTS, 1 + size_of(table) // PART_BYTES), None
+    for turn in range(turns):
+        mine = [p for p in range(PARTS) if p % turns == turn]
+        out = step(table.filter(F.col("_part").isin(mine)).drop("_part"), lambda frame, key, mine=mine: frame.filter(part(key).isin(mine)) if turns > 1 else frame)
+        if content_part:
+            out = out.withColumn("_part", part(F.coalesce("content_sha256", F.col("row_number").cast("string").cast("binary"))))
+        made = durable(table.sparkSession, out, name, small=True, by="_part" if content_part else None, to=made)
+        discard_parts(table, "_part", mine)
+    discard(table)
+    return made
 
 
 def packed(text: Column) -> Column:
@@ -172,32 +225,41 @@ def unpacked(value: Column) -> Column:
     return F.when(F.octet_length(value) == 32, F.lower(F.hex(value))).otherwise(F.decode(F.substring(value, 34, 1 << 30), "UTF-8"))
 
 
-def known_items(staged: DataFrame, occurrences: DataFrame, assets: DataFrame | None) -> DataFrame:
-    """Staged rows with what is known of their item, later duplicates rejected; one move of the rows.  Hashes and ids are packed.
+def marked(value: Column, usual: Column) -> Column:
+    """An id packed, and no bytes at all where it is the usual one."""
+    return F.when(value == usual, F.lit(b"")).otherwise(packed(value))
+
+
+def known_items(rows: DataFrame, occurrences: DataFrame, assets: DataFrame | None, user_id: int, columns: list[str]) -> DataFrame:
+    """These columns of staged rows with what is known of their item, later duplicates rejected; one move of the rows.  Hashes and ids are packed.
 
     _same_facts: everything compared but the asset is equal (nulls too), and the occurrence is active and complete; _relinked, where assets
     are given: the item's content was another.
     """
-    facts = {"file_name": "file_name", "locator": "locator", "revision": "source_revision", "observed_size": "byte_size"}
-    rows = staged.select("_at", *DECIDED, "file_name", "locator", "source_revision").withColumn("content_sha256", packed(F.col("content_sha256")))
-    first = staged.filter("validation_state = 'Valid'").groupBy("source_item_id").agg(F.min("row_number").alias("_first"))
+    came = F.when(F.col("validation_state") == "Valid", F.struct("error_code", "error_message"))
+    rows = rows.withColumn("_came", came)
+    first = rows.filter("validation_state = 'Valid'").groupBy("source_item_id").agg(F.min("row_number").alias("_first"))
     old = occurrences.select(
-        "source_item_id", packed(F.col("occurrence_id")).alias("known_id"), "asset_id", *[F.col(c).alias(f"old_{c}") for c in facts], ((F.col("deletion_state") == "Active") & (F.col("hash_status") == "Complete")).alias("_whole"))
+        "source_item_id", marked(F.col("occurrence_id"), public_id("occurrence", F.col("source_item_id"))).alias("known_id"), "asset_id", *[F.col(c).alias(f"old_{c}") for c in FACTS],
+        ((F.col("deletion_state") == "Active") & (F.col("hash_status") == "Complete")).alias("_whole"))
     if assets is None:
         old = old.withColumn("_old_sha", F.lit(None).cast("binary"))
     else:
         old = old.join(assets.select("asset_id", packed(F.col("content_sha256")).alias("_old_sha")), "asset_id", "left")
-    old = old.withColumn("linked_id", packed(F.col("asset_id"))).drop("asset_id")
+    old = old.withColumn("_linked", packed(F.col("asset_id"))).drop("asset_id")
     rows = rows.join(first, "source_item_id", "left").join(old, "source_item_id", "left")
     rows = reject(rows, F.col("row_number") > F.col("_first"), "DuplicateManifestEntry", "The source item stands in an earlier row.")
     same = F.col("_whole")
-    for old_name, name in facts.items():
+    for old_name, name in FACTS.items():
         same = same & F.col(f"old_{old_name}").eqNullSafe(F.col(name))
-    return rows.select("_at", *DECIDED, "known_id", "linked_id", same.alias("_same_facts"), (F.col("_old_sha") != F.col("content_sha256")).alias("_relinked"))
+    own = packed(public_id("asset", F.lit(user_id), unpacked(F.col("content_sha256"))))
+    # only what is linked is compared with the id that the content's asset would get
+    linked = F.when(F.col("_linked").isNotNull(), F.when(F.col("_linked") == own, F.lit(b"")).otherwise(F.col("_linked")))
+    return rows.select(*columns, "_came", "known_id", linked.alias("linked_id"), same.alias("_same_facts"), (F.col("_old_sha") != F.col("content_sha256")).alias("_relinked"))
 
 
-def content_facts(items: DataFrame, assets: DataFrame) -> DataFrame:
-    """One row a content of valid rows: its first row, the size that rows have to agree on, its old asset, and its first row of that size with a new item.
+def content_facts(items: DataFrame) -> DataFrame:
+    """One row a content of valid rows: its first row, the size of that row, and its first row with a new item, of that size or any.
 
     Rows are counted by content and size before they move, so content that very many rows share is no single task's.
     """
@@ -205,36 +267,40 @@ def content_facts(items: DataFrame, assets: DataFrame) -> DataFrame:
     sizes = items.filter("validation_state = 'Valid'").groupBy("content_sha256", "byte_size").agg(F.min("row_number").alias("_row"), F.min(new).alias("_new"))
     contents = sizes.groupBy("content_sha256").agg(
         F.min("_row").alias("first_row"), F.min_by(F.struct("byte_size", "_new"), "_row").alias("_c"), F.min("_new").alias("_any"), F.min(F.when(F.col("byte_size").isNull(), F.col("_new"))).alias("_unsized"))
-    old = assets.select(packed(F.col("content_sha256")).alias("content_sha256"), packed(F.col("asset_id")).alias("old_asset_id"), F.col("byte_size").alias("_old_size"))
     # rows without a size agree with every size, and all rows do where the first has none
     first_new = F.when(F.col("_c.byte_size").isNull(), F.col("_any")).otherwise(F.least("_c._new", "_unsized"))
-    return contents.join(old, "content_sha256", "full").select("content_sha256", "first_row", "old_asset_id", F.coalesce("_old_size", "_c.byte_size").alias("_size"), F.when(F.col("old_asset_id").isNull(), first_new).alias("_first_new"))
+    return contents.select("content_sha256", "first_row", F.col("_c.byte_size").alias("_first_size"), first_new.alias("_first_new"))
 
 
-def classify(items: DataFrame, contents: DataFrame, user_id: int) -> DataFrame:
-    """Rows with their outcome, in one pass over all of them.
+def classify(items: DataFrame, assets: DataFrame, user_id: int) -> DataFrame:
+    """Rows with their outcome; one move of the rows.
 
     Rows that disagree on their content's size are rejected.  Invalid rows are Rejected.  Known items are Unchanged if everything compared is
     equal, else UpdatedOccurrence.  Of new items the first of a created asset is CreatedOccurrence, all others DuplicateLinked.
     """
-    rows = items.join(contents, "content_sha256", "left")
-    rows = reject(rows, F.col("byte_size") != F.col("_size"), "ContentHashMetadataMismatch", "Rows of one content disagree on the size.")
+    columns = [c for c in items.columns if c not in ("linked_id", "_same_facts", "_relinked")]
+    old = assets.select(
+        packed(F.col("content_sha256")).alias("content_sha256"), marked(F.col("asset_id"), public_id("asset", F.lit(user_id), F.col("content_sha256"))).alias("old_asset_id"), F.col("byte_size").alias("_old_size"))
+    rows = items.join(content_facts(items), "content_sha256", "left").join(old, "content_sha256", "left")
+    rows = reject(rows, F.col("byte_size") != F.coalesce("_old_size", "_first_size"), "ContentHashMetadataMismatch", "Rows of one content disagree on the size.")
     ok = F.col("validation_state") == "Valid"
     new = ok & F.col("known_id").isNull()
-    asset_id = F.coalesce("old_asset_id", packed(public_id("asset", F.lit(user_id), unpacked(F.col("content_sha256")))))
-    same = F.col("_same_facts") & F.col("linked_id").eqNullSafe(asset_id)
-    created = new & (F.col("row_number") == F.col("_first_new"))
+    # ids of one content's rows: no bytes stand for the one that its new asset gets
+    same = F.col("_same_facts") & F.col("linked_id").eqNullSafe(F.coalesce("old_asset_id", F.lit(b"")))
+    created = new & F.col("old_asset_id").isNull() & (F.col("row_number") == F.col("_first_new"))
     outcome = F.when(~ok, "Rejected").when(created, "CreatedOccurrence").when(new, "DuplicateLinked").when(same, "Unchanged").otherwise("UpdatedOccurrence")
-    return rows.select("_at", *DECIDED, "known_id", "old_asset_id", "first_row", new.alias("is_new"), outcome.alias("outcome"))
+    return rows.select(*columns, "old_asset_id", "first_row", new.alias("is_new"), outcome.alias("outcome"))
 
 
 def with_ids(rows: DataFrame, user_id: int) -> DataFrame:
-    """Decided rows with asset_id and occurrence_id; hashes and ids are texts again.  New ids are made here, not kept in tables."""
+    """Decided rows with asset_id and occurrence_id; hashes and ids are texts again.  Usual ids are made here, not kept in tables."""
     ok = F.col("validation_state") == "Valid"
-    rows = rows.withColumns({c: unpacked(F.col(c)) for c in ("content_sha256", "old_asset_id", "known_id")})
+    own = {"old_asset_id": public_id("asset", F.lit(user_id), F.col("content_sha256")), "known_id": public_id("occurrence", F.col("source_item_id"))}
+    rows = rows.withColumn("content_sha256", unpacked(F.col("content_sha256")))
+    rows = rows.withColumns({c: F.when(F.octet_length(c) == 0, usual).otherwise(unpacked(F.col(c))) for c, usual in own.items()})
     return rows.withColumns({
-        "asset_id": F.coalesce("old_asset_id", F.when(ok, public_id("asset", F.lit(user_id), F.col("content_sha256")))),
-        "occurrence_id": F.when(ok, F.coalesce("known_id", public_id("occurrence", F.col("source_item_id")))),
+        "asset_id": F.coalesce("old_asset_id", F.when(ok, own["old_asset_id"])),
+        "occurrence_id": F.when(ok, F.coalesce("known_id", own["known_id"])),
     }).drop("known_id")
 
 

@@ -37,6 +37,11 @@ def merged(r: Roles) -> merge.Merged:
     return merge.merge(_none(r.manifest.drop("operation")), _none(r.old_asset), r.old_occurrence, _locations(r), user_id=1, source_id=1, as_of=now())
 
 
+def decided(r: Roles):
+    """What `merged` decides on each row, where nothing else of it is asked for."""
+    return merge.decided_rows(r.manifest.drop("operation"), r.old_asset, r.old_occurrence, user_id=1)
+
+
 STEPS = """
 with v1 as (select *, row_number() over (partition by source_item_id, validation_state order by row_number) as dup from manifest),
 v2 as (select * replace (case when validation_state = 'Valid' and dup > 1 then 'Rejected' else validation_state end as validation_state, case when validation_state = 'Valid' and dup > 1 then 'DuplicateManifestEntry' else error_code end as error_code) from v1),
@@ -68,19 +73,19 @@ def _size_conflicts(r: Roles):
 
 
 _OUTCOMES = "select row_number, outcome, error_code from outcomes"
-_step("M15_outcomes", _OUTCOMES)(lambda r: merged(r).decided.select("row_number", "outcome", "error_code"))
+_step("M15_outcomes", _OUTCOMES)(lambda r: decided(r).select("row_number", "outcome", "error_code"))
 _step("M7_reject_duplicates", "select row_number, source_item_id from v2 where error_code = 'DuplicateManifestEntry'")(
     lambda r: merge.reject_duplicates(r.manifest.drop("operation")).filter("error_code = 'DuplicateManifestEntry'").select("row_number", "source_item_id"))
 _step("M10_size_conflicts", "select row_number, content_sha256, byte_size, old_size, canon_size from v4 where error_code = 'ContentHashMetadataMismatch'")(_size_conflicts)
 _step("M16_first_created", "select content_sha256, min(row_number) as row_number from rows_ where validation_state = 'Valid' and known_id is null and old_asset_id is null group by 1")(
-    lambda r: merged(r).decided.filter("outcome = 'CreatedOccurrence'").select("content_sha256", "row_number"))
+    lambda r: decided(r).filter("outcome = 'CreatedOccurrence'").select("content_sha256", "row_number"))
 _step("M24_counters", "select count(*) as processed, " + ", ".join(f"count(*) filter (where outcome = '{o}') as {n}" for n, o in merge.OUTCOMES.items()) + " from outcomes")(
-    lambda r: merge.outcome_counts(merged(r).decided).withColumnsRenamed({n: n for n in merge.OUTCOMES}))
+    lambda r: merge.outcome_counts(decided(r)).withColumnsRenamed({n: n for n in merge.OUTCOMES}))
 _step("M25_status", "select case when count(*) filter (where outcome = 'Rejected') > 0 then 'CompletedWithErrors' else 'Completed' end as status from outcomes")(
-    lambda r: merged(r).decided.agg(F.when(F.count_if(F.col("outcome") == "Rejected") > 0, "CompletedWithErrors").otherwise("Completed").alias("status")))
+    lambda r: decided(r).agg(F.when(F.count_if(F.col("outcome") == "Rejected") > 0, "CompletedWithErrors").otherwise("Completed").alias("status")))
 _step("M24_result_rows", "select row_number as rowNumber, source_item_id as sourceItemId, outcome, error_code as errorCode from outcomes")(
-    lambda r: merged(r).results.select("rowNumber", "sourceItemId", "outcome", "errorCode"))
-_step("M22_failures", "select row_number, source_item_id, error_code from outcomes where outcome = 'Rejected'")(lambda r: merged(r).failures.select("row_number", "source_item_id", "error_code"))
+    lambda r: merge.result_rows(decided(r)).select("rowNumber", "sourceItemId", "outcome", "errorCode"))
+_step("M22_failures", "select row_number, source_item_id, error_code from outcomes where outcome = 'Rejected'")(lambda r: merge.failures(decided(r), now()).select("row_number", "source_item_id", "error_code"))
 _step("M11_new_assets", "select content_sha256, byte_size, width, captured_local, case when captured_local is not null then 'Unknown' end as capture_source from outcomes where validation_state = 'Valid' and old_asset_id is null and row_number = first_row")(
     lambda r: merged(r).assets.filter("length(asset_id) = 64").select("content_sha256", "byte_size", "width", "captured_local", "capture_source"))
 _GAP = """select a.asset_id, case when c.changed then coalesce(a.width, c.width) else a.width end as width, case when c.changed then coalesce(a.captured_local, c.captured_local) else a.captured_local end as captured_local,
@@ -117,8 +122,7 @@ query("M8_relinks", "select count(*) as relinks from manifest m join old_occurre
 def _rerun(r: Roles):
     """The same manifest again over what it made: everything valid is unchanged."""
     m = merged(r)
-    again = merge.merge(_none(r.manifest.drop("operation")), m.assets, m.occurrences, m.locations, user_id=1, source_id=1, as_of=now(), check_relinks=False)
-    return merge.outcome_counts(again.decided)
+    return merge.outcome_counts(merge.decided_rows(m.staged, m.assets, m.occurrences, user_id=1, check_relinks=False))
 
 
 _step("M_rerun_unchanged", "select count(*) as processed, " + ", ".join(

@@ -33,30 +33,45 @@ def scratch(spark: SparkSession, name: str) -> str:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def durable(spark: SparkSession, df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
+def durable(spark: SparkSession, df: DataFrame, name: str, *, small: bool = False, by: str | None = None, to: DataFrame | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so lost executors cost no recomputation.
 
     The schema is the frame's own, so an empty result reads back too.  ``small`` is for tables of whole manifests: packed
-    more tightly, and the write's shuffle files are removed with it.
+    more tightly, and the write's shuffle files are removed with it.  ``by``, the last column, gives each of its values a folder
+    that `discard_parts` can remove.  ``to``: the rows are added to this table, which is read anew.
     """
-    at = scratch(spark, name)
+    at = to._lumenkiln_table if to is not None else scratch(spark, name)
+    out = df.write.mode("append") if to is not None else df.write
+    if by:
+        out = out.partitionBy(by)
     if small:
         before = spark.conf.get(_TIDY, None)
         spark.conf.set(_TIDY, "true")
         try:
-            df.write.option("compression", "zstd").parquet(at)
+            out.option("compression", "zstd").parquet(at)
         finally:
             spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
     else:
-        df.write.parquet(at)
+        out.parquet(at)
     back = spark.read.schema(df.schema).parquet(at)
     back._lumenkiln_table = at
     return back
 
 
-def _remove(spark: SparkSession, at: str) -> None:
+def _path(spark: SparkSession, at: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def size_of(table: DataFrame) -> int:
+    """Bytes of a table that `durable` wrote."""
+    files, path = _path(table.sparkSession, table._lumenkiln_table)
+    return files.getContentSummary(path).getLength()
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    files, path = _path(spark, at)
+    files.delete(path, True)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -65,6 +80,12 @@ def discard(*tables: DataFrame) -> None:
         _remove(df.sparkSession, df._lumenkiln_table)
 
 
+def discard_parts(table: DataFrame, by: str, values: list[int]) -> None:
+    """Remove the parts of a table written ``by`` a column that have these values."""
+    for v in values:
+        _remove(table.sparkSession, f"{table._lumenkiln_table}/{by}={v}")
+
+
 def release(spark: SparkSession) -> None:
     """Remove all tables that this application wrote; results that were not written elsewhere can't be read afterwards."""
     at = _FOLDERS.pop(spark.sparkContext.applicationId, None)
