@@ -24,10 +24,42 @@ OUTCOMES = {
 }
 
 
+#: Why valid rows are rejected here; tables keep a fault's number, from 1.
+FAULTS = [("DuplicateManifestEntry", "The source item stands in an earlier row."), ("ContentHashMetadataMismatch", "Rows of one content disagree on the size.")]
+
+
 class RelinkError(ValueError):
     """A source item is known with other content; the bulk path refuses such manifests whole."""
 
 
+@dataclass
+class Source:
+    """A manifest's rows as they are kept on disk, in frames that are staged one after another.
+
+    ``make`` gives a kept row the manifest's ``columns`` that follow from it, the content's digest packed; other columns stay beside them.  So
+    digests, names and locators that an expression makes of less are written and moved by nothing.
+    """
+
+    shares: list[DataFrame]
+    columns: list[str]
+    make: Callable[[DataFrame], DataFrame]
+
+    @classmethod
+    def of(cls, rows: DataFrame, kept: list[str]) -> Source:
+        """Rows of which nothing is known: these columns are kept as they are."""
+        return cls([rows.select(kept).withColumn("content_sha256", packed(F.col("content_sha256")))], rows.columns, lambda rows: rows)
+
+    @property
+    def kept(self) -> list[str]:
+        return self.shares[0].columns
+
+    def joined(self, rows: DataFrame, key: str, *sides: DataFrame) -> DataFrame:
+        """Kept rows left-joined to frames of one row a key.  Only kept columns and the key move, and small sides are hashed, so nothing is sorted."""
+        for side in sides:
+            rows = rows.join(side.hint("shuffle_hash"), key, "left")
+        return self.make(rows if key in self.kept else rows.drop(key))
+
+
 @dataclass
 class Merged:
     assets: DataFrame
@@ -41,6 +73,10 @@ class Merged:
     decided: DataFrame
     #: The manifest's rows as they came, for another merge of it: read from the same table.
     staged: DataFrame
+    #: The same rows as the merge keeps them, which move in less room.
+    again: Source
+    #: The change rows of assets, with the content they are of.
+    asset_changes: DataFrame
 
     def counts(self) -> dict[str, int]:
         return outcome_counts(self.decided).first().asDict()
@@ -72,7 +108,7 @@ def reject_duplicates(rows: DataFrame) -> DataFrame:
     # an aggregate combines before it moves; rows without an item, which are rejected by now, meet nothing
     first = rows.filter("validation_state = 'Valid'").groupBy("source_item_id").agg(F.min("row_number").alias("_first"))
     rows = rows.join(first, "source_item_id", "left")
-    return reject(rows, F.col("row_number") > F.col("_first"), "DuplicateManifestEntry", "The source item stands in an earlier row.").drop("_first")
+    return reject(rows, F.col("row_number") > F.col("_first"), *FAULTS[0]).drop("_first")
 
 
 def relinks(rows: DataFrame, occurrences: DataFrame, assets: DataFrame) -> DataFrame:
@@ -91,21 +127,22 @@ def reject_size_conflicts(rows: DataFrame, assets: DataFrame) -> DataFrame:
     old = assets.select("content_sha256", F.col("asset_id").alias("old_asset_id"), F.col("byte_size").alias("_old_size"))
     # full: a content of invalid rows alone has its old asset too
     rows = rows.join(canonical.join(old, "content_sha256", "full"), "content_sha256", "left")
-    rows = reject(rows, F.col("byte_size") != F.coalesce("_old_size", "_canonical_size"), "ContentHashMetadataMismatch", "Rows of one content disagree on the size.")
+    rows = reject(rows, F.col("byte_size") != F.coalesce("_old_size", "_canonical_size"), *FAULTS[1])
     return rows.drop("_old_size", "_canonical_size")
 
 
-def merge(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, locations: DataFrame, *, user_id: int, source_id: int, as_of: Column, check_relinks: bool = True) -> Merged:
+def merge(rows: DataFrame | Source, assets: DataFrame, occurrences: DataFrame, locations: DataFrame, *, user_id: int, source_id: int, as_of: Column, check_relinks: bool = True) -> Merged:
     """Merge validated rows of one source; all old frames are the user's, occurrences the source's.
 
     Later duplicates of an item are rejected; then an item with new content refuses the manifest (`RelinkError`); then sizes are
     compared.  Assets are created from a content's first row or get their gaps filled; items are inserted, revived or found
     unchanged; an asset's last located row sets its coordinates and clears what was resolved for others.
     """
-    spark, columns = rows.sparkSession, rows.columns
-    table = decide(rows, assets, occurrences, user_id, check_relinks, columns)
-    staged = as_they_came(table).select(columns)
-    rows = with_ids(table, user_id).drop("_came")
+    spark, source = assets.sparkSession, rows if isinstance(rows, Source) else Source.of(rows, list(dict.fromkeys([*rows.columns, *DECIDED, *FACTS.values()])))
+    table = decide(source, assets, occurrences, user_id, check_relinks)
+    again = Source([table.select(source.kept)], source.columns, source.make)
+    staged = source.make(again.shares[0]).withColumn("content_sha256", unpacked(F.col("content_sha256"))).select(source.columns)
+    rows = with_ids(source, table, user_id)
     decided = rows.select(WITH_IDS)
     valid = rows.filter("validation_state = 'Valid'")
 
@@ -114,38 +151,40 @@ def merge(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, locations:
     merged_occurrences = merge_occurrences(valid, occurrences, user_id, source_id, as_of)
     touched = decided.filter("validation_state = 'Valid' and outcome <> 'Unchanged'").select(F.col("occurrence_id").alias("entity_public_id"), "asset_id")
     merged_locations = merge_locations(valid, locations, user_id)
-    asset_changes = gaps_filled.unionByName(created.select(F.col("asset_id").alias("entity_public_id"), "asset_id"))
-    change = lambda frame, kind: frame.select(F.lit(user_id).cast("long").alias("user_id"), F.lit(kind).alias("entity_type"), "entity_public_id", "asset_id", F.lit("Upsert").alias("change_type"), as_of.alias("created_at"))
+    asset_changes = gaps_filled.unionByName(created.select(F.col("asset_id").alias("entity_public_id"), "asset_id", "content_sha256"))
+    change = lambda frame, kind, *more: frame.select(F.lit(user_id).cast("long").alias("user_id"), F.lit(kind).alias("entity_type"), "entity_public_id", "asset_id", F.lit("Upsert").alias("change_type"), as_of.alias("created_at"), *more)
     source_change = spark.range(1).select(F.lit(f"source-{source_id}").alias("entity_public_id"), F.lit(None).cast("string").alias("asset_id"))
     changes = change(asset_changes, "MediaAsset").unionByName(change(touched, "MediaOccurrence")).unionByName(change(source_change, "MediaSource"))
-    return Merged(merged_assets, merged_occurrences, merged_locations, changes, failures(decided, as_of), rows, result_rows(decided), decided, staged)
+    return Merged(merged_assets, merged_occurrences, merged_locations, changes, failures(decided, as_of), rows, result_rows(decided), decided, staged, again, change(asset_changes, "MediaAsset", "content_sha256"))
 
 
-def decided_rows(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, *, user_id: int, check_relinks: bool = True) -> DataFrame:
+def decided_rows(rows: DataFrame | Source, assets: DataFrame, occurrences: DataFrame, *, user_id: int, check_relinks: bool = True) -> DataFrame:
     """`Merged.decided` alone: the same steps over all rows, without the facts that only the catalog's new frames need."""
-    return with_ids(decide(rows, assets, occurrences, user_id, check_relinks, DECIDED), user_id).select(WITH_IDS)
+    source = rows if isinstance(rows, Source) else Source.of(rows, list(dict.fromkeys([*DECIDED, *FACTS.values()])))
+    return with_ids(source, decide(source, assets, occurrences, user_id, check_relinks), user_id).select(WITH_IDS)
 
 
-def decide(rows: DataFrame, assets: DataFrame, occurrences: DataFrame, user_id: int, check_relinks: bool, columns: list[str]) -> DataFrame:
-    """One table of all rows with these columns and what was decided, ids and hashes packed; _came is what `as_they_came` needs.
+def decide(source: Source, assets: DataFrame, occurrences: DataFrame, user_id: int, check_relinks: bool) -> DataFrame:
+    """One table of all rows as they are kept, with what was decided, ids packed.
 
     The rows are staged once, as validation is long; then they move twice, to their item and to their content, a part at a time, and
     of each table the parts go as the next one's come.
     """
-    staged = rows.select(*dict.fromkeys([*columns, *DECIDED, *FACTS.values()])).withColumn("content_sha256", packed(F.col("content_sha256")))
-    staged = staged.withColumn("_part", part(F.coalesce("source_item_id", F.col("row_number").cast("string"))))
-    staged = durable(rows.sparkSession, staged, "stage", small=True, by="_part")
-    items = in_parts(staged, "items", lambda some, here: known_items(some, here(occurrences, F.col("source_item_id")), assets if check_relinks else None, user_id, columns), content_part=True)
-    if check_relinks and items.filter("validation_state = 'Valid' and _relinked").limit(1).take(1):
+    staged = None
+    for share in source.shares:
+        dealt = source.make(share).withColumn("_part", part(F.coalesce("source_item_id", F.col("row_number").cast("string"))))
+        staged = durable(assets.sparkSession, dealt.select(*source.kept, "_part"), "stage", small=True, by="_part", to=staged)
+    items = in_parts(staged, "items", lambda some, here: known_items(source, some, here(occurrences, F.col("source_item_id")), assets if check_relinks else None, user_id), by="_part")
+    if check_relinks and items.filter("_relinked").limit(1).take(1):
         raise RelinkError("BulkRelinkUnsupported")
-    return in_parts(items, "decisions", lambda some, here: classify(some, here(assets, packed(F.col("content_sha256"))), user_id))
+    return in_parts(items, "decisions", lambda some, here: classify(source, some, here(assets, packed(F.col("content_sha256"))), user_id))
 
 
-def as_they_came(table: DataFrame) -> DataFrame:
-    """The rows before any was rejected here."""
-    came = F.col("_came").isNotNull()
-    back = {c: F.when(came, F.col(f"_came.{c}")).otherwise(F.col(c)) for c in ("error_code", "error_message")}
-    return table.withColumns(back | {"content_sha256": unpacked(F.col("content_sha256")), "validation_state": F.when(came, "Valid").otherwise(F.col("validation_state"))})
+def told(rows: DataFrame) -> DataFrame:
+    """Made rows with the faults that were found here."""
+    for n, fault in enumerate(FAULTS, 1):
+        rows = reject(rows, F.col("_fault") == n, *fault)
+    return rows
 
 
 def failures(decided: DataFrame, as_of: Column) -> DataFrame:
@@ -182,7 +221,7 @@ def merge_assets(valid: DataFrame, assets: DataFrame, user_id: int, as_of: Colum
         "updated_at": F.when(F.col("changed"), as_of).otherwise(F.col("updated_at")),
     }
     kept = rows.withColumns(filled)
-    return created, kept.select(*assets.columns).unionByName(created.select(*assets.columns)), kept.filter("changed").select(F.col("asset_id").alias("entity_public_id"), "asset_id")
+    return created, kept.select(*assets.columns).unionByName(created.select(*assets.columns)), kept.filter("changed").select(F.col("asset_id").alias("entity_public_id"), "asset_id", "content_sha256")
 
 
 #: What is decided about a row is told by these columns and what `classify` adds.
@@ -190,7 +229,7 @@ DECIDED = ["row_number", "source_item_id", "content_sha256", "byte_size", "valid
 WITH_IDS = [*DECIDED, "old_asset_id", "first_row", "is_new", "outcome", "asset_id", "occurrence_id"]
 #: What of a known occurrence is compared with a row, and the row's columns.
 FACTS = {"file_name": "file_name", "locator": "locator", "revision": "source_revision", "observed_size": "byte_size"}
-#: Rows are dealt into so many parts; a table of up to so many bytes for each of them is read in fewer turns.
+#: Rows are dealt into so many parts, a power of two; a table is read in half as many turns, and so on, if a turn then has up to so many bytes of it.
 PARTS, PART_BYTES = 8, 48 << 20
 
 
@@ -198,19 +237,19 @@ def part(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
 
 
-def in_parts(table: DataFrame, name: str, step: Callable[[DataFrame, Callable[[DataFrame, Column], DataFrame]], DataFrame], *, content_part: bool = False) -> DataFrame:
+def in_parts(table: DataFrame, name: str, step: Callable[[DataFrame, Callable[[DataFrame, Column], DataFrame]], DataFrame], *, by: str | None = None) -> DataFrame:
     """What step(rows, here) makes of a table written by _part, some parts at a time; here(frame, key) is what of a frame the same parts meet.
 
     All of the table is read, once; a part is removed when what came of it is written, and its shuffle files with it.
-    ``content_part``: the result is dealt by content, in parts of its own.
+    ``by``: the result's last column, of the parts it is dealt into.
     """
-    turns, made = min(PARTS, 1 + size_of(table) // PART_BYTES), None
+    size, turns, made = size_of(table), 1, None
+    while turns < PARTS and size > turns * PART_BYTES:
+        turns *= 2
     for turn in range(turns):
         mine = [p for p in range(PARTS) if p % turns == turn]
         out = step(table.filter(F.col("_part").isin(mine)).drop("_part"), lambda frame, key, mine=mine: frame.filter(part(key).isin(mine)) if turns > 1 else frame)
-        if content_part:
-            out = out.withColumn("_part", part(F.coalesce("content_sha256", F.col("row_number").cast("string").cast("binary"))))
-        made = durable(table.sparkSession, out, name, small=True, by="_part" if content_part else None, to=made)
+        made = durable(table.sparkSession, out, name, small=True, by=by, to=made)
         discard_parts(table, "_part", mine)
     discard(table)
     return made
@@ -230,15 +269,15 @@ def marked(value: Column, usual: Column) -> Column:
     return F.when(value == usual, F.lit(b"")).otherwise(packed(value))
 
 
-def known_items(rows: DataFrame, occurrences: DataFrame, assets: DataFrame | None, user_id: int, columns: list[str]) -> DataFrame:
-    """These columns of staged rows with what is known of their item, later duplicates rejected; one move of the rows.  Hashes and ids are packed.
+def known_items(source: Source, rows: DataFrame, occurrences: DataFrame, assets: DataFrame | None, user_id: int) -> DataFrame:
+    """Staged rows with what is known of their item, later duplicates faulty; one move of the rows.  Ids are packed.
 
     _same_facts: everything compared but the asset is equal (nulls too), and the occurrence is active and complete; _relinked, where assets
-    are given: the item's content was another.
+    are given: the item's content was another.  Last the part of the content.
     """
-    came = F.when(F.col("validation_state") == "Valid", F.struct("error_code", "error_message"))
-    rows = rows.withColumn("_came", came)
-    first = rows.filter("validation_state = 'Valid'").groupBy("source_item_id").agg(F.min("row_number").alias("_first"))
+    made = source.make(rows)
+    # most items stand in one row, and those need no partner
+    first = made.filter("validation_state = 'Valid'").groupBy("source_item_id").agg(F.min("row_number").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     old = occurrences.select(
         "source_item_id", marked(F.col("occurrence_id"), public_id("occurrence", F.col("source_item_id"))).alias("known_id"), "asset_id", *[F.col(c).alias(f"old_{c}") for c in FACTS],
         ((F.col("deletion_state") == "Active") & (F.col("hash_status") == "Complete")).alias("_whole"))
@@ -247,61 +286,70 @@ def known_items(rows: DataFrame, occurrences: DataFrame, assets: DataFrame | Non
     else:
         old = old.join(assets.select("asset_id", packed(F.col("content_sha256")).alias("_old_sha")), "asset_id", "left")
     old = old.withColumn("_linked", packed(F.col("asset_id"))).drop("asset_id")
-    rows = rows.join(first, "source_item_id", "left").join(old, "source_item_id", "left")
-    rows = reject(rows, F.col("row_number") > F.col("_first"), "DuplicateManifestEntry", "The source item stands in an earlier row.")
+    rows = source.joined(made.select(*dict.fromkeys([*source.kept, "source_item_id"])), "source_item_id", first, old)
+    valid = F.col("validation_state") == "Valid"
+    late = valid & F.coalesce(F.col("row_number") > F.col("_first"), F.lit(False))
     same = F.col("_whole")
     for old_name, name in FACTS.items():
         same = same & F.col(f"old_{old_name}").eqNullSafe(F.col(name))
     own = packed(public_id("asset", F.lit(user_id), unpacked(F.col("content_sha256"))))
     # only what is linked is compared with the id that the content's asset would get
     linked = F.when(F.col("_linked").isNotNull(), F.when(F.col("_linked") == own, F.lit(b"")).otherwise(F.col("_linked")))
-    return rows.select(*columns, "_came", "known_id", linked.alias("linked_id"), same.alias("_same_facts"), (F.col("_old_sha") != F.col("content_sha256")).alias("_relinked"))
+    return rows.select(
+        *source.kept, F.when(late, 1).cast("tinyint").alias("_fault"), "known_id", linked.alias("linked_id"), same.alias("_same_facts"), ((F.col("_old_sha") != F.col("content_sha256")) & valid & ~late).alias("_relinked"),
+        part(F.coalesce("content_sha256", F.col("row_number").cast("string").cast("binary"))).alias("_part"))
 
 
 def content_facts(items: DataFrame) -> DataFrame:
     """One row a content of valid rows: its first row, the size of that row, and its first row with a new item, of that size or any.
 
-    Rows are counted by content and size before they move, so content that very many rows share is no single task's.
+    Rows are counted by content and size before they move, so content that very many rows share is no single task's.  All that is
+    gathered is a whole number, so nothing is sorted.
     """
     new = F.when(F.col("known_id").isNull(), F.col("row_number"))
     sizes = items.filter("validation_state = 'Valid'").groupBy("content_sha256", "byte_size").agg(F.min("row_number").alias("_row"), F.min(new).alias("_new"))
     contents = sizes.groupBy("content_sha256").agg(
-        F.min("_row").alias("first_row"), F.min_by(F.struct("byte_size", "_new"), "_row").alias("_c"), F.min("_new").alias("_any"), F.min(F.when(F.col("byte_size").isNull(), F.col("_new"))).alias("_unsized"))
+        F.min("_row").alias("first_row"), F.min_by("byte_size", "_row").alias("_first_size"), F.min_by("_new", "_row").alias("_own"), F.min("_new").alias("_any"),
+        F.min(F.when(F.col("byte_size").isNull(), F.col("_new"))).alias("_unsized"))
     # rows without a size agree with every size, and all rows do where the first has none
-    first_new = F.when(F.col("_c.byte_size").isNull(), F.col("_any")).otherwise(F.least("_c._new", "_unsized"))
-    return contents.select("content_sha256", "first_row", F.col("_c.byte_size").alias("_first_size"), first_new.alias("_first_new"))
+    first_new = F.when(F.col("_first_size").isNull(), F.col("_any")).otherwise(F.least("_own", "_unsized"))
+    return contents.select("content_sha256", "first_row", "_first_size", first_new.alias("_first_new"))
 
 
-def classify(items: DataFrame, assets: DataFrame, user_id: int) -> DataFrame:
-    """Rows with their outcome; one move of the rows.
+def classify(source: Source, items: DataFrame, assets: DataFrame, user_id: int) -> DataFrame:
+    """Kept rows with their outcome; one move of the rows.
 
-    Rows that disagree on their content's size are rejected.  Invalid rows are Rejected.  Known items are Unchanged if everything compared is
+    Rows that disagree on their content's size are faulty.  Invalid rows are Rejected.  Known items are Unchanged if everything compared is
     equal, else UpdatedOccurrence.  Of new items the first of a created asset is CreatedOccurrence, all others DuplicateLinked.
     """
-    columns = [c for c in items.columns if c not in ("linked_id", "_same_facts", "_relinked")]
     old = assets.select(
         packed(F.col("content_sha256")).alias("content_sha256"), marked(F.col("asset_id"), public_id("asset", F.lit(user_id), F.col("content_sha256"))).alias("old_asset_id"), F.col("byte_size").alias("_old_size"))
-    rows = items.join(content_facts(items), "content_sha256", "left").join(old, "content_sha256", "left")
-    rows = reject(rows, F.col("byte_size") != F.coalesce("_old_size", "_first_size"), "ContentHashMetadataMismatch", "Rows of one content disagree on the size.")
-    ok = F.col("validation_state") == "Valid"
+    made = told(source.make(items.drop("_relinked")))
+    keyed = made.select(*dict.fromkeys([*source.kept, "_fault", "known_id", "linked_id", "_same_facts", "content_sha256"]))
+    rows = told(source.joined(keyed, "content_sha256", content_facts(made), old))
+    valid = F.col("validation_state") == "Valid"
+    conflict = valid & F.coalesce(F.col("byte_size") != F.coalesce("_old_size", "_first_size"), F.lit(False))
+    ok = valid & ~conflict
     new = ok & F.col("known_id").isNull()
     # ids of one content's rows: no bytes stand for the one that its new asset gets
     same = F.col("_same_facts") & F.col("linked_id").eqNullSafe(F.coalesce("old_asset_id", F.lit(b"")))
     created = new & F.col("old_asset_id").isNull() & (F.col("row_number") == F.col("_first_new"))
     outcome = F.when(~ok, "Rejected").when(created, "CreatedOccurrence").when(new, "DuplicateLinked").when(same, "Unchanged").otherwise("UpdatedOccurrence")
-    return rows.select(*columns, "old_asset_id", "first_row", new.alias("is_new"), outcome.alias("outcome"))
+    fault = F.when(conflict, F.lit(2).cast("tinyint")).otherwise(F.col("_fault"))
+    return rows.select(*source.kept, "known_id", fault.alias("_fault"), "old_asset_id", "first_row", new.alias("is_new"), outcome.alias("outcome"))
 
 
-def with_ids(rows: DataFrame, user_id: int) -> DataFrame:
-    """Decided rows with asset_id and occurrence_id; hashes and ids are texts again.  Usual ids are made here, not kept in tables."""
+def with_ids(source: Source, table: DataFrame, user_id: int) -> DataFrame:
+    """Decided rows with the manifest's columns, asset_id and occurrence_id; hashes and ids are texts again.  Usual ids are made here, not kept in tables."""
     ok = F.col("validation_state") == "Valid"
     own = {"old_asset_id": public_id("asset", F.lit(user_id), F.col("content_sha256")), "known_id": public_id("occurrence", F.col("source_item_id"))}
-    rows = rows.withColumn("content_sha256", unpacked(F.col("content_sha256")))
+    rows = told(source.make(table)).withColumn("content_sha256", unpacked(F.col("content_sha256")))
     rows = rows.withColumns({c: F.when(F.octet_length(c) == 0, usual).otherwise(unpacked(F.col(c))) for c, usual in own.items()})
-    return rows.withColumns({
+    rows = rows.withColumns({
         "asset_id": F.coalesce("old_asset_id", F.when(ok, own["old_asset_id"])),
         "occurrence_id": F.when(ok, F.coalesce("known_id", own["known_id"])),
-    }).drop("known_id")
+    })
+    return rows.select(*dict.fromkeys([*(c for c in source.columns if c in rows.columns), *WITH_IDS]))
 
 
 def merge_occurrences(classified: DataFrame, occurrences: DataFrame, user_id: int, source_id: int, as_of: Column) -> DataFrame:

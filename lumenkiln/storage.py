@@ -31,6 +31,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 #: Shuffle files of a command go when it ends, not when the driver happens to collect its garbage.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: So many folders are written side by side; rows for more are sorted by folder first.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def durable(spark: SparkSession, df: DataFrame, name: str, *, small: bool = False, by: str | None = None, to: DataFrame | None = None) -> DataFrame:
@@ -45,12 +47,14 @@ def durable(spark: SparkSession, df: DataFrame, name: str, *, small: bool = Fals
     if by:
         out = out.partitionBy(by)
     if small:
-        before = spark.conf.get(_TIDY, None)
+        before = {k: spark.conf.get(k, None) for k in (_TIDY, _WRITERS)}
         spark.conf.set(_TIDY, "true")
+        spark.conf.set(_WRITERS, "16")
         try:
             out.option("compression", "zstd").parquet(at)
         finally:
-            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     else:
         out.parquet(at)
     back = spark.read.schema(df.schema).parquet(at)
@@ -65,7 +69,12 @@ def _path(spark: SparkSession, at: str):
 
 def size_of(table: DataFrame) -> int:
     """Bytes of a table that `durable` wrote."""
-    files, path = _path(table.sparkSession, table._lumenkiln_table)
+    return bytes_at(table.sparkSession, table._lumenkiln_table)
+
+
+def bytes_at(spark: SparkSession, at: str) -> int:
+    """Bytes of a file, or of all files in a folder."""
+    files, path = _path(spark, at)
     return files.getContentSummary(path).getLength()
 
 
