@@ -158,14 +158,18 @@ def merge(rows: DataFrame | Source, assets: DataFrame, occurrences: DataFrame, l
     return Merged(merged_assets, merged_occurrences, merged_locations, changes, failures(decided, as_of), rows, result_rows(decided), decided, staged, again, change(asset_changes, "MediaAsset", "content_sha256"))
 
 
-def decided_rows(rows: DataFrame | Source, assets: DataFrame, occurrences: DataFrame, *, user_id: int, check_relinks: bool = True) -> DataFrame:
-    """`Merged.decided` alone: the same steps over all rows, without the facts that only the catalog's new frames need."""
+def decided_rows(rows: DataFrame | Source, assets: DataFrame, occurrences: DataFrame, *, user_id: int, check_relinks: bool = True, only: list[str] | None = None) -> DataFrame:
+    """`Merged.decided` alone: the same steps over all rows, without the facts that only the catalog's new frames need.
+
+    ``only``: of what `classify` adds to a row, all that is asked for; then nothing else of the rows is written.
+    """
     source = rows if isinstance(rows, Source) else Source.of(rows, list(dict.fromkeys([*DECIDED, *FACTS.values()])))
-    return with_ids(source, decide(source, assets, occurrences, user_id, check_relinks), user_id).select(WITH_IDS)
+    table = decide(source, assets, occurrences, user_id, check_relinks, only)
+    return table if only else with_ids(source, table, user_id).select(WITH_IDS)
 
 
-def decide(source: Source, assets: DataFrame, occurrences: DataFrame, user_id: int, check_relinks: bool) -> DataFrame:
-    """One table of all rows as they are kept, with what was decided, ids packed.
+def decide(source: Source, assets: DataFrame, occurrences: DataFrame, user_id: int, check_relinks: bool, only: list[str] | None = None) -> DataFrame:
+    """One table of all rows as they are kept, with what was decided, ids packed; or of all rows with these columns only.
 
     The rows are staged once, as validation is long; then they move twice, to their item and to their content, a part at a time, and
     of each table the parts go as the next one's come.
@@ -177,7 +181,7 @@ def decide(source: Source, assets: DataFrame, occurrences: DataFrame, user_id: i
     items = in_parts(staged, "items", lambda some, here: known_items(source, some, here(occurrences, F.col("source_item_id")), assets if check_relinks else None, user_id), by="_part")
     if check_relinks and items.filter("_relinked").limit(1).take(1):
         raise RelinkError("BulkRelinkUnsupported")
-    return in_parts(items, "decisions", lambda some, here: classify(source, some, here(assets, packed(F.col("content_sha256"))), user_id))
+    return in_parts(items, "decisions", lambda some, here: classify(source, some, here(assets, packed(F.col("content_sha256"))), user_id).select(only or "*"))
 
 
 def told(rows: DataFrame) -> DataFrame:
