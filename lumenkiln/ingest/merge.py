@@ -63,6 +63,8 @@ class Source:
 @dataclass
 class Merged:
     assets: DataFrame
+    #: Of these the ones that were there before, gaps filled; read without the created ones.
+    old_assets: DataFrame
     occurrences: DataFrame
     locations: DataFrame
     changes: DataFrame
@@ -146,8 +148,8 @@ def merge(rows: DataFrame | Source, assets: DataFrame, occurrences: DataFrame, l
     decided = rows.select(WITH_IDS)
     valid = rows.filter("validation_state = 'Valid'")
 
-    _, merged_assets, gaps_filled = merge_assets(valid, assets, user_id, as_of)
-    created = decided.filter("validation_state = 'Valid' and row_number = first_row and old_asset_id is null")
+    new_assets, old_assets, gaps_filled = merge_assets(valid, assets, user_id, as_of)
+    created = valid.filter("row_number = first_row and not has_old")
     merged_occurrences = merge_occurrences(valid, occurrences, user_id, source_id, as_of)
     touched = decided.filter("validation_state = 'Valid' and outcome <> 'Unchanged'").select(F.col("occurrence_id").alias("entity_public_id"), "asset_id")
     merged_locations = merge_locations(valid, locations, user_id)
@@ -155,7 +157,7 @@ def merge(rows: DataFrame | Source, assets: DataFrame, occurrences: DataFrame, l
     change = lambda frame, kind, *more: frame.select(F.lit(user_id).cast("long").alias("user_id"), F.lit(kind).alias("entity_type"), "entity_public_id", "asset_id", F.lit("Upsert").alias("change_type"), as_of.alias("created_at"), *more)
     source_change = spark.range(1).select(F.lit(f"source-{source_id}").alias("entity_public_id"), F.lit(None).cast("string").alias("asset_id"))
     changes = change(asset_changes, "MediaAsset").unionByName(change(touched, "MediaOccurrence")).unionByName(change(source_change, "MediaSource"))
-    return Merged(merged_assets, merged_occurrences, merged_locations, changes, failures(decided, as_of), rows, result_rows(decided), decided, staged, again, change(asset_changes, "MediaAsset", "content_sha256"))
+    return Merged(old_assets.unionByName(new_assets.select(*assets.columns)), old_assets, merged_occurrences, merged_locations, changes, failures(decided, as_of), rows, result_rows(decided), decided, staged, again, change(asset_changes, "MediaAsset", "content_sha256"))
 
 
 def decided_rows(rows: DataFrame | Source, assets: DataFrame, occurrences: DataFrame, *, user_id: int, check_relinks: bool = True, only: list[str] | None = None) -> DataFrame:
@@ -175,13 +177,14 @@ def decide(source: Source, assets: DataFrame, occurrences: DataFrame, user_id: i
     of each table the parts go as the next one's come.
     """
     staged = None
-    for share in source.shares:
-        dealt = source.make(share).withColumn("_part", part(F.coalesce("source_item_id", F.col("row_number").cast("string"))))
-        staged = durable(assets.sparkSession, dealt.select(*source.kept, "_part"), "stage", small=True, by="_part", to=staged)
-    items = in_parts(staged, "items", lambda some, here: known_items(source, some, here(occurrences, F.col("source_item_id")), assets if check_relinks else None, user_id), by="_part")
+    for n, share in enumerate(source.shares):
+        dealt = source.make(share).withColumn("_part", part(F.coalesce("source_item_id", F.col("row_number").cast("string")))).select(*source.kept, "_part")
+        # a share is as large as those before it
+        staged = durable(assets.sparkSession, in_files(dealt, size_of(staged) // n) if n else dealt, "stage", small=True, by="_part", to=staged)
+    items = in_parts(staged, "items", lambda some, here: known_items(source, some, here(occurrences, part(F.col("source_item_id"))), assets if check_relinks else None, user_id), by="_part", times=ITEM_TURN)
     if check_relinks and items.filter("_relinked").limit(1).take(1):
         raise RelinkError("BulkRelinkUnsupported")
-    return in_parts(items, "decisions", lambda some, here: classify(source, some, here(assets, packed(F.col("content_sha256"))), user_id).select(only or "*"))
+    return in_parts(items, "decisions", lambda some, here: classify(source, some, here(assets, content_part(F.col("content_sha256"))), user_id).select(only or "*"))
 
 
 def told(rows: DataFrame) -> DataFrame:
@@ -202,15 +205,15 @@ def refreshed(sources: DataFrame, source_id: int, snapshot_id: str, as_of: Colum
 
 
 def merge_assets(valid: DataFrame, assets: DataFrame, user_id: int, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new assets, all assets, keys of changed old ones)."""
+    """(new assets, old ones with gaps filled, keys of changed old ones)."""
     first = valid.filter("row_number = first_row")
     has_time = F.col("captured_local").isNotNull() | F.col("captured_utc").isNotNull()
-    created = first.filter("old_asset_id is null").select(
+    created = first.filter("not has_old").select(
         "asset_id", F.lit(user_id).cast("long").alias("user_id"), "content_sha256", "media_type", "mime_type", "byte_size", *GAPS,
         F.when(has_time, "Unknown").alias("capture_source"), F.lit(None).cast("string").alias("category"), F.lit("LocalOnly").alias("storage_state"), F.lit("Active").alias("lifecycle_state"),
         F.lit(None).cast("timestamp_ntz").alias("purge_after"), "provenance", as_of.alias("created_at"), as_of.alias("updated_at"),
     )
-    incoming = first.filter("old_asset_id is not null").select("asset_id", *[F.col(g).alias(f"in_{g}") for g in GAPS], F.col("provenance").alias("in_provenance"), F.lit(True).alias("incoming"))
+    incoming = first.filter("has_old").select("asset_id", *[F.col(g).alias(f"in_{g}") for g in GAPS], F.col("provenance").alias("in_provenance"), F.lit(True).alias("incoming"))
     rows = assets.join(incoming, "asset_id", "left")
     here = F.coalesce("incoming", F.lit(False))
     gap = F.lit(False)
@@ -225,7 +228,7 @@ def merge_assets(valid: DataFrame, assets: DataFrame, user_id: int, as_of: Colum
         "updated_at": F.when(F.col("changed"), as_of).otherwise(F.col("updated_at")),
     }
     kept = rows.withColumns(filled)
-    return created, kept.select(*assets.columns).unionByName(created.select(*assets.columns)), kept.filter("changed").select(F.col("asset_id").alias("entity_public_id"), "asset_id", "content_sha256")
+    return created, kept.select(*assets.columns), kept.filter("changed").select(F.col("asset_id").alias("entity_public_id"), "asset_id", "content_sha256")
 
 
 #: What is decided about a row is told by these columns and what `classify` adds.
@@ -235,24 +238,39 @@ WITH_IDS = [*DECIDED, "old_asset_id", "first_row", "is_new", "outcome", "asset_i
 FACTS = {"file_name": "file_name", "locator": "locator", "revision": "source_revision", "observed_size": "byte_size"}
 #: Rows are dealt into so many parts, a power of two; a table is read in half as many turns, and so on, if a turn then has up to so many bytes of it.
 PARTS, PART_BYTES = 8, 48 << 20
+#: To their item rows move in less room, so a turn may have so many times that.
+ITEM_TURN = 2
+PART_FILE = 1 << 20
 
 
 def part(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
 
 
-def in_parts(table: DataFrame, name: str, step: Callable[[DataFrame, Callable[[DataFrame, Column], DataFrame]], DataFrame], *, by: str | None = None) -> DataFrame:
-    """What step(rows, here) makes of a table written by _part, some parts at a time; here(frame, key) is what of a frame the same parts meet.
+def content_part(text: Column) -> Column:
+    """The part of a content; the digest, which may be long to make, is asked for once where it is one."""
+    return part(F.coalesce(F.unhex(text), F.encode(text, "UTF-8")))
+
+
+def in_files(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of so many bytes in so few tasks that the files which each writes, one a part, have PART_FILE bytes or so."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, size // (PARTS * PART_FILE)))
+
+
+def in_parts(table: DataFrame, name: str, step: Callable[[DataFrame, Callable[[DataFrame, Column], DataFrame]], DataFrame], *, by: str | None = None, times: int = 1) -> DataFrame:
+    """What step(rows, here) makes of a table written by _part, some parts at a time; here(frame, its part) is what of a frame the same parts meet.
 
     All of the table is read, once; a part is removed when what came of it is written, and its shuffle files with it.
-    ``by``: the result's last column, of the parts it is dealt into.
+    ``by``: the result's last column, of the parts it is dealt into.  ``times``: a turn has up to so many times PART_BYTES.
     """
     size, turns, made = size_of(table), 1, None
-    while turns < PARTS and size > turns * PART_BYTES:
+    while turns < PARTS and size > turns * times * PART_BYTES:
         turns *= 2
     for turn in range(turns):
         mine = [p for p in range(PARTS) if p % turns == turn]
-        out = step(table.filter(F.col("_part").isin(mine)).drop("_part"), lambda frame, key, mine=mine: frame.filter(part(key).isin(mine)) if turns > 1 else frame)
+        out = step(table.filter(F.col("_part").isin(mine)).drop("_part"), lambda frame, its, mine=mine: frame.filter(its.isin(mine)) if turns > 1 else frame)
+        if by:
+            out = in_files(out, size // turns)
         made = durable(table.sparkSession, out, name, small=True, by=by, to=made)
         discard_parts(table, "_part", mine)
     discard(table)
@@ -261,7 +279,7 @@ def in_parts(table: DataFrame, name: str, step: Callable[[DataFrame, Callable[[D
 
 def packed(text: Column) -> Column:
     """A text as bytes, hex digests in half the length: all that is longer than 32 bytes is another text behind 33 zeros."""
-    return F.when(text.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(text)).otherwise(F.concat(F.lit(b"\0" * 33), F.encode(text, "UTF-8")))
+    return F.when((F.octet_length(text) == 64) & (F.lower(F.hex(F.unhex(text))) == text), F.unhex(text)).otherwise(F.concat(F.lit(b"\0" * 33), F.encode(text, "UTF-8")))
 
 
 def unpacked(value: Column) -> Column:
@@ -299,9 +317,11 @@ def known_items(source: Source, rows: DataFrame, occurrences: DataFrame, assets:
     own = packed(public_id("asset", F.lit(user_id), unpacked(F.col("content_sha256"))))
     # only what is linked is compared with the id that the content's asset would get
     linked = F.when(F.col("_linked").isNotNull(), F.when(F.col("_linked") == own, F.lit(b"")).otherwise(F.col("_linked")))
+    sha = F.col("content_sha256")
+    content = F.when(sha.isNull(), part(F.col("row_number"))).when(F.octet_length(sha) == 32, part(sha)).otherwise(content_part(unpacked(sha)))
     return rows.select(
         *source.kept, F.when(late, 1).cast("tinyint").alias("_fault"), "known_id", linked.alias("linked_id"), same.alias("_same_facts"), ((F.col("_old_sha") != F.col("content_sha256")) & valid & ~late).alias("_relinked"),
-        part(F.coalesce("content_sha256", F.col("row_number").cast("string").cast("binary"))).alias("_part"))
+        content.alias("_part"))
 
 
 def content_facts(items: DataFrame) -> DataFrame:
@@ -347,13 +367,14 @@ def with_ids(source: Source, table: DataFrame, user_id: int) -> DataFrame:
     """Decided rows with the manifest's columns, asset_id and occurrence_id; hashes and ids are texts again.  Usual ids are made here, not kept in tables."""
     ok = F.col("validation_state") == "Valid"
     own = {"old_asset_id": public_id("asset", F.lit(user_id), F.col("content_sha256")), "known_id": public_id("occurrence", F.col("source_item_id"))}
-    rows = told(source.make(table)).withColumn("content_sha256", unpacked(F.col("content_sha256")))
+    # has_old tells what old_asset_id is null tells, without making ids to look at them
+    rows = told(source.make(table)).withColumns({"content_sha256": unpacked(F.col("content_sha256")), "has_old": F.col("old_asset_id").isNotNull()})
     rows = rows.withColumns({c: F.when(F.octet_length(c) == 0, usual).otherwise(unpacked(F.col(c))) for c, usual in own.items()})
     rows = rows.withColumns({
         "asset_id": F.coalesce("old_asset_id", F.when(ok, own["old_asset_id"])),
         "occurrence_id": F.when(ok, F.coalesce("known_id", own["known_id"])),
     })
-    return rows.select(*dict.fromkeys([*(c for c in source.columns if c in rows.columns), *WITH_IDS]))
+    return rows.select(*dict.fromkeys([*(c for c in source.columns if c in rows.columns), *WITH_IDS, "has_old"]))
 
 
 def merge_occurrences(classified: DataFrame, occurrences: DataFrame, user_id: int, source_id: int, as_of: Column) -> DataFrame:

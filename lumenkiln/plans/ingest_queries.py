@@ -107,7 +107,7 @@ _GAP = """select a.asset_id, case when c.changed then coalesce(a.width, c.width)
   case when c.changed then 'Active' else a.lifecycle_state end as lifecycle_state from old_asset a left join (select o.old_asset_id as asset_id, o.width, o.captured_local,
     a.lifecycle_state = 'Trashed' or (a.width is null and o.width is not null) or (a.captured_local is null and o.captured_local is not null) as changed
     from outcomes o join old_asset a on a.asset_id = o.old_asset_id where o.validation_state = 'Valid' and o.row_number = o.first_row) c using (asset_id)"""
-_step("M13_gap_fill", _GAP)(lambda r: merged(r).assets.filter("length(asset_id) < 64").select("asset_id", "width", "captured_local", "lifecycle_state"))
+_step("M13_gap_fill", _GAP)(lambda r: merged(r).old_assets.select("asset_id", "width", "captured_local", "lifecycle_state"))
 _CHANGED = """select o.old_asset_id as asset_id from outcomes o join old_asset a on a.asset_id = o.old_asset_id where o.validation_state = 'Valid' and o.row_number = o.first_row
     and (a.lifecycle_state = 'Trashed' or (a.width is null and o.width is not null) or (a.captured_local is null and o.captured_local is not null))"""
 _step("M12_changed_assets", _CHANGED)(lambda r: merged(r).changes.filter("entity_type = 'MediaAsset' and length(asset_id) < 64").select("asset_id"))
